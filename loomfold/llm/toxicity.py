@@ -59,21 +59,29 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4, least_df: int = 3
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, least_df: int = 3, least_z: float = 5.0
 ) -> Model:
-    """Full-batch Adam on the non-negative risk; words in fewer than ``least_df`` documents keep weight 0."""
+    """Full-batch Adam on the non-negative risk.
+
+    Words keep weight 0 that are in fewer than ``least_df`` documents, or whose
+    shares of the two sets differ by less than ``least_z`` standard errors.
+    """
     rows = positive + unlabelled
     sizes = np.array([len(r) for r in rows], np.int64)
     cells = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
     is_p = np.arange(len(rows)) < len(positive)
     used, cells = np.unique(cells, return_inverse=True)
-    keep = np.bincount(cells, minlength=len(used)) >= least_df
+    df, in_p = np.bincount(cells, minlength=len(used)), np.bincount(cells[is_p[of]], minlength=len(used))
+    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
+    pooled = df / max(1, len(rows))
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u)) + 1e-12
+    keep = (df >= least_df) & (np.abs(in_p / n_p - (df - in_p) / n_u) >= least_z * error)
     of, cells = of[keep[cells]], cells[keep[cells]]
     w = np.zeros(len(used) + 1)
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    share = np.where(is_p, 1 / max(1, len(positive)), 1 / max(1, len(unlabelled)))
+    share = np.where(is_p, 1 / n_p, 1 / n_u)
     for t in range(1, rounds + 1):
         z = np.bincount(of, w[cells], len(rows)) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
