@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, near_dup, toxicity
+from . import fingerprint, language, near_dup, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, filters).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repository = F.col("source").cast("string")
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), repository=repository, owner=F.element_at(F.split(repository, "/"), 1))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -40,6 +45,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
+    "op6_secrets": op6_secrets,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
