@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, near_dup, secret_scan, toxicity
+from . import decontaminate, fingerprint, language, line_dedup, near_dup, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def _fold(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "lines_gone", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     filters = language.learn(docs, _fold(3) != 1)
@@ -48,6 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,

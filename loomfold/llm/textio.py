@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 SLICE = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASES = (BASE, np.uint64(0xD6E8FEB86659FD93))
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,7 +22,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -62,14 +62,17 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
+def _power_tables(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, for exponents up to ``n`` at least."""
+    if which not in _powers or len(_powers[which][0]) <= n:
         size = 1 << int(n + 1).bit_length()
-        for k, base in enumerate((BASE, BASE_INVERSE)):
+        tables = []
+        for base in (BASES[which], np.uint64(pow(int(BASES[which]), -1, 1 << 64))):
             table = np.full(size, base, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+            tables.append(np.multiply.accumulate(table))
+        _powers[which] = tuple(tables)
+    return _powers[which]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,9 +84,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    up, down = _power_tables(len(data))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand; ``second``: by another base."""
+    up, down = _power_tables(len(data), int(second))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
