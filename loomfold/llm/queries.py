@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, line_dedup, near_dup, secret_scan, toxicity
+from . import decontaminate, fingerprint, language, line_dedup, near_dup, piece_sampling, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "lines_gone", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    decoded = piece_sampling.decode(piece_sampling.encode(_table(spark, sf_dir, "documents"), path), path)
+    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), lossless.alias("lossless"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     filters = language.learn(docs, _fold(3) != 1)
@@ -54,6 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_piece_sampling": op3_piece_sampling,
     "op5_language_id": op5_language_id,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
