@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, line_dedup, near_dup, piece_sampling, secret_scan, toxicity
+from . import decontaminate, fingerprint, language, line_dedup, near_dup, piece_sampling, secret_scan, token_files, toxicity
+from .storage import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def _fold(n: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"))
+    return token_files.read(spark, folder)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "lines_gone", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
@@ -67,6 +74,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
     "op3_piece_sampling": op3_piece_sampling,
     "op5_language_id": op5_language_id,
