@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, line_dedup, near_dup, piece_sampling, secret_scan, token_files, toxicity
+from . import decontaminate, fingerprint, language, line_dedup, near_dup, personal_data, piece_sampling, secret_scan, token_files, toxicity
 from .storage import fresh_path
 
 
@@ -44,6 +44,11 @@ def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), lossless.alias("lossless"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data.scan(docs, personal_data.train(docs))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     filters = language.learn(docs, _fold(3) != 1)
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
     "op3_piece_sampling": op3_piece_sampling,
+    "op4_personal_data": op4_personal_data,
     "op5_language_id": op5_language_id,
     "op6_secrets": op6_secrets,
     "op7_decontaminate": op7_decontaminate,
