@@ -2,14 +2,19 @@
 
 1. Documents with equal shingle sets collapse to a class with one signature.
 2. Signatures are cut into bands; classes that share a band's value share a
-   bucket. Every class is first compared with the smallest class among all its
-   buckets, which settles large groups of copies with one pair for each class.
+   bucket. Every class is first verified against the smallest class among all
+   its buckets, which settles most groups with one pair for each class.
 3. Buckets that still hold several components are compared inside, in blocks of
    bounded size, signature batch after signature batch: a pair is dropped once
    the posterior probability that its similarity reaches the threshold is below
-   ``miss``. For each class and foreign component the likeliest pair is verified
-   first; pairs that are still between components follow.
-4. Every surviving pair is verified on the full shingle sets.
+   ``miss``. Each class puts forward its likeliest partner of another component;
+   these pairs are verified.
+4. In buckets that are still mixed, all pairs between components that the
+   signatures leave possible are verified, block by block with the sets at hand,
+   likeliest first, but for those that a confirmed link has joined meanwhile.
+
+Verification takes the full shingle sets, and no step emits more than a few rows
+for each class and bucket, so groups of any size cost no quadratic output.
 
 Nulls and texts without words have no shingles and link with nothing. Rows with
 the same doc_id are one node. Rows with a null doc_id are returned unlinked,
@@ -37,7 +42,7 @@ HASHES = BANDS * WIDTH
 #: Hashes compared between two looks at the posterior.
 BATCH = 16
 #: Rows of one block of a bucket.
-BLOCK = 1024
+BLOCK = 512
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -97,39 +102,102 @@ def _confirmed(percent: int):
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_jaccard_at_least(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _compared(threshold: float, miss: float):
+def _survivors(left: pd.DataFrame, right: pd.DataFrame, within: bool, threshold: float, needed: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``left``: places in ``right`` of other components that stay possible, and their matches."""
+    sa = np.frombuffer(b"".join(left.sig), np.uint32).reshape(-1, HASHES)
+    sb = np.frombuffer(b"".join(right.sig), np.uint32).reshape(-1, HASHES)
+    ca, cb, na, nb = (x.to_numpy() for x in (left.component, right.component, left.n_shingles, right.n_shingles))
+    for i in range(len(sa)):
+        fits = (cb != ca[i]) & (np.minimum(nb, na[i]) >= threshold * np.maximum(nb, na[i]) - 1e-9)
+        if within:
+            fits[: i + 1] = False
+        at = np.flatnonzero(fits)
+        matches, seen = np.zeros(len(at), np.int64), 0
+        for n, least in needed:
+            if not len(at):
+                break
+            matches = matches + (sb[at, seen:n] == sa[i, seen:n]).sum(axis=1)
+            keep = matches >= least
+            at, matches, seen = at[keep], matches[keep], n
+        if len(at):
+            yield i, at, matches
+
+
+def _halves(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two sides of a pair of blocks, or one block twice."""
+    left, right = block[block.side == 0], block[block.side == 1]
+    return left, right if len(right) else left, not len(right)
+
+
+def _likeliest(threshold: float, miss: float):
+    needed = least_matches(threshold, miss)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        left, right, within = _halves(block)
+        ids = left.rep.to_numpy(), right.rep.to_numpy()
+        best: dict[int, tuple[int, int]] = {}
+        for i, at, matches in _survivors(left, right, within, threshold, needed):
+            one = int(ids[0][i])
+            for other, m in zip(ids[1][at].tolist(), matches.tolist(), strict=True):
+                best[one] = max(best.get(one, (-1, 0)), (m, -other))
+                best[other] = max(best.get(other, (-1, 0)), (m, -one))
+        return pd.DataFrame({"rep": list(best), "matches": [m for m, _ in best.values()], "other": [-o for _, o in best.values()]}, dtype="int64")
+
+    return run
+
+
+def _open_rows(threshold: float, miss: float):
+    """Rows that have possible partners in another component."""
     needed = least_matches(threshold, miss)
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        """Survivors among the pairs of two halves of a bucket (or within one)."""
-        left, right = block[block.side == 0], block[block.side == 1]
-        within = not len(right)
-        right = left if within else right
-        sa = np.frombuffer(b"".join(left.sig), np.uint32).reshape(-1, HASHES)
-        sb = np.frombuffer(b"".join(right.sig), np.uint32).reshape(-1, HASHES)
-        ia, ib, ca, cb = (x.to_numpy() for x in (left.rep, right.rep, left.component, right.component))
-        na, nb = left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
+        left, right, within = _halves(block)
+        a, b = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for i, at, _ in _survivors(left, right, within, threshold, needed):
+            a[i] = True
+            b[at] = True
+        kept = left[a | b] if within else pd.concat([left[a], right[b]])
+        return kept[["bucket", "i", "j", "side", "rep", "n_shingles", "component", "sig"]]
+
+    return run
+
+
+def _jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _settled(percent: int, miss: float):
+    """Links that join the components of a pair of blocks, at most one fewer than its rows."""
+    needed = least_matches(percent / 100, miss)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        left, right, within = _halves(block)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        pairs = []
+        for i, at, matches in _survivors(left, right, within, percent / 100, needed):
+            pairs += zip((-matches).tolist(), [i] * len(at), at.tolist(), strict=True)
+        held = [[np.frombuffer(h, np.uint64) for h in side.held] for side in (left, right)]
+        component = left.component.tolist(), right.component.tolist()
         found = []
-        for i in range(len(ia)):
-            fits = (cb != ca[i]) & (np.minimum(nb, na[i]) >= threshold * np.maximum(nb, na[i]) - 1e-9)
-            if within:
-                fits &= ib > ia[i]
-            at = np.flatnonzero(fits)
-            matches, seen = np.zeros(len(at), np.int64), 0
-            for n, least in needed:
-                matches += (sb[at, seen:n] == sa[i, seen:n]).sum(axis=1)
-                at, matches, seen = at[matches >= least], matches[matches >= least], n
-                if not len(at):
-                    break
-            found.append(pd.DataFrame({"a": np.minimum(ia[i], ib[at]), "b": np.maximum(ia[i], ib[at]), "ca": ca[i], "cb": cb[at], "matches": matches}))
-        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("a", "b", "ca", "cb", "matches")})
+        for _, i, j in sorted(pairs):
+            p, q = find(component[0][i]), find(component[1][j])
+            if p != q and _jaccard_at_least(held[0][i], held[1][j], percent):
+                root[max(p, q)] = min(p, q)
+                found.append((int(left.rep.iloc[i]), int(right.rep.iloc[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -141,68 +209,52 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     similarity of at least ``percent`` / 100; a component is all that links
     reach, its id the smallest doc_id in it.
     """
-    spark = docs.sparkSession
+    threshold = percent / 100
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(_signed(size), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    banded = materialize(classes.select("rep", "sig").mapInArrow(_banded, "rep bigint, bucket bigint"), "bands")
-    buckets = materialize(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1"), "buckets")
-
-    sigs = classes.groupBy("rep").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    twice = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    same_id = some.join(twice, "doc_id").select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"])
+    by_rep = classes.groupBy("rep").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    banded = by_rep.select("rep", "sig").mapInArrow(_banded, "rep bigint, bucket bigint")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
+    shared = materialize(banded.join(buckets, "bucket"), "buckets")
+    involved = shared.select("rep").distinct()
+    held = texts.join(involved.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(size), "rep bigint, held binary")
+    held = materialize(held.groupBy("rep").agg(F.first("held").alias("held")), "sets")
+
+    same_id = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    same_id = some.join(same_id, "doc_id").select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"])
     same_id = same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        held = materialize(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(size), "rep bigint, held binary").dropDuplicates(["rep"]), "sets")
         joined = pairs.join(held.select(F.col("rep").alias("b"), F.col("held").alias("set_b")), "b")
         joined = joined.join(held.select(F.col("rep").alias("a"), F.col("held").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
         return materialize(joined.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
 
-    def pruned(pairs: DataFrame) -> DataFrame:
-        """Pairs whose signatures leave the threshold possible."""
-        n, least = least_matches(percent / 100, miss)[-1]
-        both = pairs.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
-                keep = np.ones(len(x), bool)
-                for n, least in least_matches(percent / 100, miss):
-                    keep[keep] = (x[keep, :n] == y[keep, :n]).sum(axis=1) >= least
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-        return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    def mixed_blocks(state: DataFrame) -> DataFrame:
+        """Rows of the buckets with several components, once for each pair of blocks they stand in."""
+        labelled = shared.select("bucket", "n", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")
+        labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
+        mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+        rows = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        return rows.join(by_rep, "rep")
+
+    first = shared.groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b")).where("a != b")
+    links = verified(first).union(same_id)
+    state = connected_components(links)
 
-    first = banded.join(buckets, "bucket").groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b")).where("a != b")
-    links = verified(materialize(pruned(first), "pairs")).union(same_id)
+    likeliest = mixed_blocks(state).groupBy("bucket", "i", "j").applyInPandas(_likeliest(threshold, miss), "rep bigint, matches bigint, other bigint")
+    likeliest = likeliest.groupBy("rep").agg(F.max(F.struct("matches", (-F.col("other")).alias("other"))).alias("best")).select(F.least("rep", -F.col("best.other")).alias("a"), F.greatest("rep", -F.col("best.other")).alias("b"))
+    links = links.union(verified(materialize(likeliest.distinct(), "pairs")))
     state = connected_components(links)
 
-    of = classes.select("rep", "n_shingles", "sig").join(state.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = banded.join(buckets.select("bucket", "n"), "bucket").join(of.select("rep", "component"), "rep")
-    mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = labelled.join(mixed, "bucket").withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows = rows.join(of, "rep")
-    survivors = rows.groupBy("bucket", "i", "j").applyInPandas(_compared(percent / 100, miss), "a bigint, b bigint, ca bigint, cb bigint, matches bigint")
-    survivors = materialize(survivors.distinct(), "survivors")
-    for likeliest in (True, False):
-        labels = state.select("node", "component")
-        rest = survivors.select("a", "b", "matches").join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        rest = rest.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        rest = rest.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca != cb")
-        if likeliest:
-            best = F.max_by(F.struct("a", "b"), F.struct("matches", F.col("a"), F.col("b"))).alias("p")
-            sides = [rest.groupBy(k, c).agg(best) for k, c in (("a", "cb"), ("b", "ca"))]
-            rest = sides[0].select("p.*").union(sides[1].select("p.*")).distinct()
-        rest = materialize(rest.select("a", "b"), "rest")
-        if rest.isEmpty():
-            break
-        links = links.union(verified(rest))
+    schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, component bigint, sig binary"
+    left = materialize(mixed_blocks(state).groupBy("bucket", "i", "j").applyInPandas(_open_rows(threshold, miss), schema), "open")
+    if not left.isEmpty():
+        settled = left.join(held, "rep").groupBy("bucket", "i", "j").applyInPandas(_settled(percent, miss), "a bigint, b bigint")
+        links = links.union(materialize(settled, "links"))
         state = connected_components(links)
 
     named = classes.select("key1", "key2", "n_shingles", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")

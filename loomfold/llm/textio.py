@@ -98,8 +98,8 @@ def row_of(firsts: np.ndarray) -> np.ndarray:
 
 
 def segment_sums(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """Sums by row; 0 for rows without items."""
-    sums = np.zeros(len(values) + 1, np.result_type(values.dtype, np.int64))
+    """Sums by row, of unsigned items modulo 2^64; 0 for rows without items."""
+    sums = np.zeros(len(values) + 1, np.uint64 if values.dtype == np.uint64 else np.int64)
     np.cumsum(values, out=sums[1:])
     return sums[firsts[1:]] - sums[firsts[:-1]]
 
