@@ -279,6 +279,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 firsts = firsts - firsts[0]
                 raw, at = ids.astype("<u4").tobytes(), (4 * firsts).tolist()
                 sums = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(np.diff(firsts)), pa.array(sums, pa.int64()), decode_slice(v, ids, firsts)], names=["doc_id", "text", "n_tokens", "ids_crc32", "decoded"])
+                yield pa.record_batch([part.column("doc_id"), part.column("text"), lists, pa.array(np.diff(firsts)), pa.array(sums, pa.int64()), decode_slice(v, ids, firsts)], names=["doc_id", "text", "ids", "n_tokens", "ids_crc32", "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id bigint, text string, n_tokens bigint, ids_crc32 bigint, decoded string")
+    return encoded.mapInArrow(run, "doc_id bigint, text string, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded string")
