@@ -32,7 +32,7 @@ K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK = 8
 #: Text bytes of the items of one shard, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 19
 _STEP = np.uint64(0x100000001B3D)
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -76,7 +76,7 @@ class Index:
     terms: np.ndarray
     most: np.ndarray
     block_max: np.ndarray
-    starts: np.ndarray
+    block_starts: np.ndarray
     posting_item: np.ndarray
     posting_share: np.ndarray
     questions: list[np.ndarray]
@@ -101,15 +101,14 @@ class Index:
         share = share / own[rows]
         order = np.lexsort((rows, h))
         rows, h, share = rows[order], h[order], share[order]
-        terms, starts = np.unique(h, return_index=True)
-        starts = np.append(starts, len(h))
-        term_of = np.repeat(np.arange(len(terms)), np.diff(starts))
+        terms, term_of = np.unique(h, return_inverse=True)
         block_max = np.zeros((len(terms), -(-max(1, len(items)) // BLOCK)), np.float32)
+        block_starts = np.searchsorted(term_of * block_max.shape[1] + rows // BLOCK, np.arange(block_max.size + 1))
         np.maximum.at(block_max, (term_of, rows // BLOCK), share.astype(np.float32))
         halves = [[hashed_words(pa.array([part], pa.large_string()))[0] for part in split_item(t)] for _, t in items]
         return cls(
             np.array([i for i, _ in items], np.int64), terms, block_max.max(axis=1) if len(terms) else np.zeros(0, np.float32), block_max,
-            starts, rows, share, [q for q, _ in halves], [a for _, a in halves], int(np.diff(firsts).max(initial=1)),
+            block_starts, rows, share, [q for q, _ in halves], [a for _, a in halves], int(np.diff(firsts).max(initial=1)),
         )
 
     def candidates(self, h: np.ndarray, firsts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
@@ -147,19 +146,29 @@ class Index:
             at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             sums[part[at]] += np.add.reduceat(self.block_max[own_terms[lo : lo + (1 << 16)]], at, axis=0)
         totals = sums[place[passages]] + np.where(follows[passages][:, None], sums[place[passages + 1]], 0)
-        for p, block in zip(*(x.tolist() for x in np.nonzero(totals >= threshold - slack)), strict=True):
-            c = int(passages[p])
-            last = c + 2 if follows[c] else c + 1
-            row = int(row_of_cell[c])
-            shares = np.zeros(BLOCK)
-            for t in np.unique(term[ends[c] : ends[last]]).tolist():
-                span = slice(self.starts[t], self.starts[t + 1])
-                item = self.posting_item[span]
-                near = item // BLOCK == block
-                shares[item[near] - block * BLOCK] += self.posting_share[span][near]
-            first = int(firsts[row] + (c - cell_starts[row]) * step)
-            for k in np.flatnonzero(shares >= threshold).tolist():
-                yield row, first, min(first + 2 * step, int(firsts[row + 1])), block * BLOCK + k, float(shares[k])
+        p, block = np.nonzero(totals >= threshold - slack)
+        c = passages[p]
+        last = np.where(follows[c], c + 2, c + 1)
+        # the items of these blocks, with terms of both cells counted twice, which only raises a share
+        n = ends[last] - ends[c]
+        pair = np.repeat(np.arange(len(p)), n)
+        upto = np.cumsum(n) - n
+        each = term[np.repeat(ends[c] - upto, n) + np.arange(len(pair))] * self.block_max.shape[1] + block[pair]
+        lo, n = self.block_starts[each], self.block_starts[each + 1] - self.block_starts[each]
+        pair, lo, n = pair[n > 0], lo[n > 0], n[n > 0]
+        upto = np.cumsum(n) - n
+        posting = np.repeat(lo - upto, n) + np.arange(n.sum())
+        cell_of = np.repeat(pair, n) * BLOCK + self.posting_item[posting] % BLOCK
+        shares = np.bincount(cell_of, self.posting_share[posting], len(p) * BLOCK)
+        for k in np.flatnonzero(shares >= threshold - slack).tolist():
+            k, item = k // BLOCK, int(block[k // BLOCK]) * BLOCK + k % BLOCK
+            own = np.unique(term[ends[c[k]] : ends[last[k]]]) * self.block_max.shape[1] + block[k]
+            near = np.concatenate([np.arange(self.block_starts[x], self.block_starts[x + 1]) for x in own.tolist()])
+            share = float(self.posting_share[near[self.posting_item[near] == item]].sum())
+            if share >= threshold:
+                row = int(row_of_cell[c[k]])
+                first = int(firsts[row] + (c[k] - cell_starts[row]) * step)
+                yield row, first, min(first + 2 * step, int(firsts[row + 1])), item, share
 
 
 def _matcher(shared, threshold: float, question: float, answer: float, gram: int):
