@@ -27,7 +27,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,62 +107,84 @@ def _confirmed(percent: int):
     return run
 
 
-def _survivors(left: pd.DataFrame, right: pd.DataFrame, within: bool, threshold: float, needed: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of ``left``: places in ``right`` of other components that stay possible, and their matches."""
-    sa = np.frombuffer(b"".join(left.sig), np.uint32).reshape(-1, HASHES)
-    sb = np.frombuffer(b"".join(right.sig), np.uint32).reshape(-1, HASHES)
-    ca, cb, na, nb = (x.to_numpy() for x in (left.component, right.component, left.n_shingles, right.n_shingles))
-    for i in range(len(sa)):
-        fits = (cb != ca[i]) & (np.minimum(nb, na[i]) >= threshold * np.maximum(nb, na[i]) - 1e-9)
-        if within:
-            fits[: i + 1] = False
-        at = np.flatnonzero(fits)
-        matches, seen = np.zeros(len(at), np.int64), 0
-        for n, least in needed:
-            if not len(at):
-                break
-            matches = matches + (sb[at, seen:n] == sa[i, seen:n]).sum(axis=1)
-            keep = matches >= least
-            at, matches, seen = at[keep], matches[keep], n
-        if len(at):
-            yield i, at, matches
+#: Pairs compared at once.
+_PAIRS = 1 << 17
 
 
-def _halves(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    """The two sides of a pair of blocks, or one block twice."""
-    left, right = block[block.side == 0], block[block.side == 1]
-    return left, right if len(right) else left, not len(right)
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole (bucket, i, j) groups from rows sorted by them."""
+    pending = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if pending is None else [pending, batch]).combine_chunks()
+        if not len(table):
+            continue
+        batch = table.to_batches()[0]
+        key = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        at = int(new[-1]) if len(new) else 0
+        if at:
+            yield batch.slice(0, at)
+        pending = batch.slice(at)
+    if pending is not None and len(pending):
+        yield pending
+
+
+def _survivors(batch: pa.RecordBatch, threshold: float, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of pairs within groups, of different components, that stay possible, and their matches."""
+    bucket, i, j, side, component, size = (batch.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "component", "n_shingles"))
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    n = len(batch)
+    new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    end = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
+    partners = end - np.arange(n) - 1
+    upto = np.concatenate([[0], np.cumsum(partners)])
+    out, start = [], 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] + _PAIRS, "right")) - 1)
+        rows = np.arange(start, stop)
+        left = np.repeat(rows, partners[start:stop])
+        right = left + 1 + np.arange(len(left)) - (upto[left] - upto[start])
+        a, b = size[left], size[right]
+        fits = (component[left] != component[right]) & ((i[left] == j[left]) | (side[left] != side[right])) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+        left, right = left[fits], right[fits]
+        matches, seen = np.zeros(len(left), np.int64), 0
+        for upto_hash, least in needed:
+            matches = matches + (sig[left, seen:upto_hash] == sig[right, seen:upto_hash]).sum(axis=1)
+            keep = matches >= least
+            left, right, matches, seen = left[keep], right[keep], matches[keep], upto_hash
+        out.append((left, right, matches))
+        start = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _likeliest(threshold: float, miss: float):
+    """For each row the partner with most matches."""
     needed = least_matches(threshold, miss)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left, right, within = _halves(block)
-        ids = left.rep.to_numpy(), right.rep.to_numpy()
-        best: dict[int, tuple[int, int]] = {}
-        for i, at, matches in _survivors(left, right, within, threshold, needed):
-            one = int(ids[0][i])
-            for other, m in zip(ids[1][at].tolist(), matches.tolist(), strict=True):
-                best[one] = max(best.get(one, (-1, 0)), (m, -other))
-                best[other] = max(best.get(other, (-1, 0)), (m, -one))
-        return pd.DataFrame({"rep": list(best), "matches": [m for m, _ in best.values()], "other": [-o for _, o in best.values()]}, dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            left, right, matches = _survivors(batch, threshold, needed)
+            rep = batch.column("rep").to_numpy()
+            one, other, m = np.concatenate([rep[left], rep[right]]), np.concatenate([rep[right], rep[left]]), np.concatenate([matches, matches])
+            order = np.lexsort((other, -m, one))
+            one, other, m = one[order], other[order], m[order]
+            best = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(x[best]) for x in (one, m, other)], names=["rep", "matches", "other"])
 
     return run
 
 
+_OPEN = ["bucket", "i", "j", "side", "rep", "n_shingles", "component", "sig"]
+
+
 def _open_rows(threshold: float, miss: float):
     """Rows that have possible partners in another component."""
     needed = least_matches(threshold, miss)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left, right, within = _halves(block)
-        a, b = np.zeros(len(left), bool), np.zeros(len(right), bool)
-        for i, at, _ in _survivors(left, right, within, threshold, needed):
-            a[i] = True
-            b[at] = True
-        kept = left[a | b] if within else pd.concat([left[a], right[b]])
-        return kept[["bucket", "i", "j", "side", "rep", "n_shingles", "component", "sig"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            left, right, _ = _survivors(batch, threshold, needed)
+            yield batch.select(_OPEN).take(pa.array(np.union1d(left, right)))
 
     return run
 
@@ -177,27 +198,26 @@ def _settled(percent: int, miss: float):
     """Links that join the components of a pair of blocks, at most one fewer than its rows."""
     needed = least_matches(percent / 100, miss)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left, right, within = _halves(block)
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
-        pairs = []
-        for i, at, matches in _survivors(left, right, within, percent / 100, needed):
-            pairs += zip((-matches).tolist(), [i] * len(at), at.tolist(), strict=True)
-        held = [[np.frombuffer(h, np.uint64) for h in side.held] for side in (left, right)]
-        component = left.component.tolist(), right.component.tolist()
-        found = []
-        for _, i, j in sorted(pairs):
-            p, q = find(component[0][i]), find(component[1][j])
-            if p != q and _jaccard_at_least(held[0][i], held[1][j], percent):
-                root[max(p, q)] = min(p, q)
-                found.append((int(left.rep.iloc[i]), int(right.rep.iloc[j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches):
+            left, right, matches = _survivors(batch, percent / 100, needed)
+            rep, component, bucket = (batch.column(c).to_numpy() for c in ("rep", "component", "bucket"))
+            held = batch.column("held")
+            root: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def find(c: tuple[int, int]) -> tuple[int, int]:
+                while root.get(c, c) != c:
+                    c = root[c]  # noqa: B023
+                return c
+
+            found = []
+            for k in np.argsort(-matches, kind="stable").tolist():
+                x, y = int(left[k]), int(right[k])
+                p, q = find((int(bucket[x]), int(component[x]))), find((int(bucket[x]), int(component[y])))
+                if p != q and _jaccard_at_least(*(np.frombuffer(held[r].as_buffer(), np.uint64) for r in (x, y)), percent):
+                    root[max(p, q)] = min(p, q)
+                    found.append((int(rep[x]), int(rep[y])))
+            yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -241,19 +261,22 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
         rows = rows.select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
         return rows.join(by_rep, "rep")
 
+    def by_group(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
     first = shared.groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b")).where("a != b")
     links = verified(first).union(same_id)
     state = connected_components(links)
 
-    likeliest = mixed_blocks(state).groupBy("bucket", "i", "j").applyInPandas(_likeliest(threshold, miss), "rep bigint, matches bigint, other bigint")
+    likeliest = by_group(mixed_blocks(state)).mapInArrow(_likeliest(threshold, miss), "rep bigint, matches bigint, other bigint")
     likeliest = likeliest.groupBy("rep").agg(F.max(F.struct("matches", (-F.col("other")).alias("other"))).alias("best")).select(F.least("rep", -F.col("best.other")).alias("a"), F.greatest("rep", -F.col("best.other")).alias("b"))
     links = links.union(verified(materialize(likeliest.distinct(), "pairs")))
     state = connected_components(links)
 
     schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, component bigint, sig binary"
-    left = materialize(mixed_blocks(state).groupBy("bucket", "i", "j").applyInPandas(_open_rows(threshold, miss), schema), "open")
+    left = materialize(by_group(mixed_blocks(state)).mapInArrow(_open_rows(threshold, miss), schema), "open")
     if not left.isEmpty():
-        settled = left.join(held, "rep").groupBy("bucket", "i", "j").applyInPandas(_settled(percent, miss), "a bigint, b bigint")
+        settled = by_group(left.join(held, "rep")).mapInArrow(_settled(percent, miss), "a bigint, b bigint")
         links = links.union(materialize(settled, "links"))
         state = connected_components(links)
 
