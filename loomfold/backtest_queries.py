@@ -22,8 +22,9 @@ def _engine(spark: SparkSession, sf_dir: str, **kw) -> VectorEngine:
     return VectorEngine(SIGNAL, supplier_panel(spark, sf_dir), rebalance_freq=FREQ, top_n=TOP, cost_rate=COST, **kw)
 
 
-def _rounded(df: DataFrame, *exact: str) -> DataFrame:
-    return df.select(*exact, *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in df.columns if c not in exact))
+def _rounded(df: DataFrame, *exact: str, nudge: float = 0.0) -> DataFrame:
+    """Six places; ``nudge`` moves values that lie exactly midway between two."""
+    return df.select(*exact, *((F.round(F.col(c) + nudge, 6) + F.lit(0.0)).alias(c) for c in df.columns if c not in exact))
 
 
 def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False) -> str:
