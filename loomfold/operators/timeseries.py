@@ -18,8 +18,12 @@ def rolling(name: str, x: Expr, n: int, fn: Callable[[Column], Column], least: i
     """``fn`` over the trailing window where it has ``least`` (by default n) values."""
     if n < 1 or (least or 0) > n:
         raise ValueError(f"{name}: a window of {n} rows cannot hold {least or 1} values")
-    w = trailing(n, lag)
-    return ts((name, n, least, lag), lambda a: F.when(F.count(a).over(w) >= (n if least is None else least), fn(a).over(w)), x)
+
+    def build(a: Column) -> Column:
+        w = trailing(n, lag)
+        return F.when(F.count(a).over(w) >= (n if least is None else least), fn(a).over(w))
+
+    return ts((name, n, least, lag), build, x)
 
 
 def Ts_Sum(x: Expr, window: int) -> Expr:
@@ -76,9 +80,9 @@ def Ts_Rank(x: Expr, window: int) -> Expr:
 
 def Ts_Corr(x: Expr, y: Expr, window: int) -> Expr:
     """Pearson correlation over rows where both are given, as many as the window; null if either is constant."""
-    w = trailing(window)
 
     def corr(a: Column, b: Column) -> Column:
+        w = trailing(window)
         a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
         varied = (F.max(a).over(w) > F.min(a).over(w)) & (F.max(b).over(w) > F.min(b).over(w))
         r = F.try_divide(F.covar_samp(a, b).over(w), F.stddev_samp(a).over(w) * F.stddev_samp(b).over(w))
@@ -96,9 +100,9 @@ def Ts_Autocorr(x: Expr, lag: int, window: int) -> Expr:
 def _moment(name: str, x: Expr, window: int, least: int, constant: float, fn: Callable[[Column, Column], Column]) -> Expr:
     if window < least:
         raise ValueError(f"{name}: the window must have at least {least} rows")
-    w = trailing(window)
 
     def build(a: Column) -> Column:
+        w = trailing(window)
         n = F.count(a).over(w).cast("double")
         flat = F.max(a).over(w) == F.min(a).over(w)
         return F.when(n >= window, F.when(flat, F.lit(constant)).otherwise(fn(n, a)))
@@ -108,14 +112,12 @@ def _moment(name: str, x: Expr, window: int, least: int, constant: float, fn: Ca
 
 def Ts_Skew(x: Expr, window: int) -> Expr:
     """Bias-corrected skewness; 0 over a constant window."""
-    w = trailing(window)
-    return _moment("skew", x, window, 3, 0.0, lambda n, a: F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(a).over(w))
+    return _moment("skew", x, window, 3, 0.0, lambda n, a: F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(a).over(trailing(window)))
 
 
 def Ts_Kurt(x: Expr, window: int) -> Expr:
     """Bias-corrected excess kurtosis; -3 over a constant window."""
-    w = trailing(window)
-    return _moment("kurt", x, window, 4, -3.0, lambda n, a: (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(a).over(w) + 6))
+    return _moment("kurt", x, window, 4, -3.0, lambda n, a: (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(a).over(trailing(window)) + 6))
 
 
 def _list(x: Expr, window: int, least: int) -> Expr:

@@ -7,6 +7,7 @@ by symbol through the bucket and by date through file statistics.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -69,16 +70,20 @@ class Repository:
                 raise ValueError(f"{kind}: {[tuple(r) for r in bad]}")
         self._write(kind, data)
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """A written copy, for what must outlive a change of the files it comes from."""
+        path = f"{self.root.rstrip('/')}/.staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _write(self, path_kind: str, data: DataFrame) -> None:
         path = self._path(path_kind)
         data = data.withColumn("bucket", self._bucket()).withColumn("_seq", F.monotonically_increasing_id())
         if self._exists(path):
             touched = data.select("bucket").distinct()
             old = self.spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(data.select("symbol").distinct(), "symbol", "left_anti")
-            data = old.unionByName(data, allowMissingColumns=True).persist()
-            data.count()  # old rows are read before their buckets are replaced
+            data = self._staged(old.unionByName(data, allowMissingColumns=True))
         data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-        data.unpersist()
 
     def save_derived(self, data: DataFrame, feature_type: str) -> None:
         """Merge derived features into what is stored; new rows replace old ones."""
@@ -114,10 +119,8 @@ class Repository:
     def delete(self, symbol: str, kind: str) -> bool:
         if not self.exists(kind, symbol):
             return False
-        rest = self.spark.read.parquet(self._path(kind)).where(F.col("symbol") != symbol).persist()
-        rest.count()
+        rest = self._staged(self.spark.read.parquet(self._path(kind)).where(F.col("symbol") != symbol))
         rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self._path(kind))
-        rest.unpersist()
         return True
 
     def metadata(self, kind: str) -> DataFrame:
@@ -149,10 +152,10 @@ class Repository:
             broken = hfq_violations(merged).groupBy("symbol").agg(F.array_sort(F.collect_list("date")).alias("hfq_violations"))
             audit = audit.join(broken, "symbol", "left").withColumn("hfq_monotonic", F.col("hfq_violations").isNull())
         audit = audit.withColumn("success", F.lit(True)).unionByName(bad.withColumn("success", F.lit(False)), allowMissingColumns=True)
-        audit = audit.withColumn("data_type", F.lit(kind)).withColumn("updated_at", F.current_timestamp()).persist()
-        audit.count()  # before the table changes
+        audit = audit.withColumn("data_type", F.lit(kind)).withColumn("updated_at", F.current_timestamp())
+        audit = self._staged(audit)
         if not dry_run and not good.isEmpty():
-            self._write(kind, merged.join(good.select("symbol").distinct(), "symbol", "left_semi"))
+            self._write(kind, self._staged(merged.join(good.select("symbol").distinct(), "symbol", "left_semi")))
         return audit
 
 
