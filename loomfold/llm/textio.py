@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASES = (BASE, np.uint64(0xD6E8FEB86659FD93))
 
