@@ -172,6 +172,7 @@ def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
         firsts = runs.groupBy("m", "a", "b").agg(F.min(F.struct("d", "t", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         same = (F.col("first.d") == F.col("d")) & (F.col("first.t") == F.col("t"))
         later = runs.join(firsts, ["m", "a", "b"]).where(~same | (F.col("first.seq") + F.col("m") <= F.col("seq"))).select("d", "t", "seq", "m")
+        later = materialize(later, "later")  # ends the stage with the join, so AQE may split a hot run
         flagged = later if flagged is None else flagged.union(later)
         pairs = step.where("m = 0")
         if pairs.isEmpty():
