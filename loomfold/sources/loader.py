@@ -96,3 +96,17 @@ def label_industry(df: DataFrame, industry: DataFrame | None) -> DataFrame:
     named = next((c for c in INDUSTRY_COLUMNS if c in industry.columns), None)
     names = industry.select("symbol", (F.col(named) if named else F.lit(None).cast("string")).alias("industry")).dropDuplicates(["symbol"])
     return df.join(names, "symbol", "left").withColumn("industry", F.coalesce("industry", F.lit(UNKNOWN)))
+
+
+def field_panel(table: DataFrame, fields: list[str], date: str = "date", symbols: list[str] | None = None) -> DataFrame:
+    """Long panel of some fields of a fundamentals table on the union of its dates; no as-of join to trading days."""
+    if missing := [c for c in fields if c not in table.columns]:
+        raise ValueError(f"missing columns {missing}")
+    rows = table.select(F.col(date).alias("date"), "symbol", *fields)
+    rows = rows if symbols is None else rows.where(F.col("symbol").isin(symbols))
+    return densify(rows)
+
+
+def matrix(df: DataFrame, value: str) -> DataFrame:
+    """Dates by symbols, for export; the only place where a panel becomes wide."""
+    return df.groupBy("date").pivot("symbol").agg(F.first(value)).orderBy("date")

@@ -129,6 +129,33 @@ class Repository:
         span = self.load(kind).groupBy("symbol").agg(F.min(d).cast("string").alias("start_date"), F.max(d).cast("string").alias("end_date"), F.count("*").cast("int").alias("rows"))
         return span.select("symbol", F.lit(kind).alias("data_type"), "start_date", "end_date", "rows", F.lit(True).alias("available"))
 
+    def write_metadata(self, kind: str) -> None:
+        """One JSON row for each symbol beside the table."""
+        stamped = self.metadata(kind).withColumn("updated_at", F.current_timestamp().cast("string"))
+        self._staged(stamped).coalesce(1).write.mode("overwrite").json(f"{self._path(kind)}_metadata")
+
+    def fetch_start(self, kind: str, requested: Any) -> Any:
+        """Where a fetch must begin: adjustment factors share a base, so theirs goes back to the first stored date."""
+        if kind != "adjustment" or not self._exists(self._path(kind)):
+            return requested
+        first = self.load(kind).agg(F.min("date")).first()[0]
+        return requested if first is None else min(first, requested)
+
+    def update_all(self, fetched: dict[str, DataFrame], calendar: DataFrame | None = None, dry_run: bool = False, skip_on_error: bool = True) -> DataFrame:
+        """An update for each kind of data; the audit rows of all, with the error of a kind that failed as a whole."""
+        out = None
+        for kind, data in fetched.items():
+            try:
+                audit = self.update(kind, data, calendar, dry_run)
+            except Exception as e:
+                if not skip_on_error:
+                    raise
+                audit = self.spark.createDataFrame([(kind, False, str(e)[:500])], "data_type string, success boolean, error string")
+            out = audit if out is None else out.unionByName(audit, allowMissingColumns=True)
+        if out is None:
+            raise ValueError("nothing to update")
+        return out
+
     def load_complete(self, symbols: list[str] | None = None, start: Any = None, end: Any = None, include_derived: bool = False) -> dict[str, Any]:
         """ohlcv and adjustment are required; other kinds are None where absent."""
         out: dict[str, Any] = {k: self.load(k, symbols, start, end) for k in ("ohlcv", "adjustment")}
@@ -159,6 +186,13 @@ class Repository:
         return audit
 
 
+def audit_text(row: Any) -> str:
+    """One line of an audit row."""
+    r = row.asDict()
+    state = "ok" if r.get("success") else f"failed ({r.get('error') or 'invalid rows'})"
+    return f"{r.get('symbol') or '*'} {r['data_type']}: {state}, {r.get('new_rows') or 0} new, {r.get('overlap_rows') or 0} overlapping, {r.get('updated_cells') or 0} cells changed"
+
+
 _default: dict[str, Repository] = {}
 
 

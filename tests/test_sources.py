@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from loomfold.sources import importers, loader, providers, validation
-from loomfold.sources.repository import Repository, get_repository
+from loomfold.sources.repository import Repository, audit_text, get_repository
 from loomfold.sources.synthetic import SyntheticMarket
 
 BARS = "symbol string, date date, open double, high double, low double, close double, volume double"
@@ -144,3 +144,19 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["stream_upsert", "tuner_grid", "upsert_diff"])
 def test_query_runs(spark, sf_dir, name):
     assert entry_points.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_update_all_and_panels(spark, bars, tmp_path):
+    r = Repository(spark, f"file://{tmp_path}/all")
+    broken = spark.createDataFrame([("x",)], "symbol string")
+    rows = r.update_all({"ohlcv": bars, "adjustment": broken}).collect()
+    assert {(x.data_type, x.success) for x in rows} == {("ohlcv", True), ("adjustment", False)} and all(audit_text(x) for x in rows)
+    with pytest.raises(ValueError):
+        r.update_all({"adjustment": broken}, skip_on_error=False)
+    r.write_metadata("ohlcv")
+    assert spark.read.json(f"file://{tmp_path}/all/ohlcv_metadata").count() == 2
+    factors = spark.createDataFrame([("000001", date(2024, 1, 2), 1.0, 1.0)], "symbol string, date date, qfq_factor double, hfq_factor double")
+    r.save("adjustment", factors)
+    assert r.fetch_start("adjustment", date(2024, 2, 1)) == date(2024, 1, 2) and r.fetch_start("ohlcv", 5) == 5
+    grid = loader.field_panel(bars, ["close"])
+    assert grid.count() == 8 and loader.matrix(grid, "close").columns == ["date", "000001", "000002"]
