@@ -33,7 +33,7 @@ from .textio import mix, slices, utf8
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 
 
 @dataclass
