@@ -20,12 +20,15 @@ keys share a seed.
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ from .textio import mix, slices, utf8
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
-_SLICE = 1 << 21
+_SLICE = 1 << 20
 
 
 @dataclass
@@ -245,40 +248,64 @@ def _vocabulary(path: str, alpha: float, offset: float) -> Vocabulary:
 
 
 def row_seeds(keys: pa.Array, seed: int) -> np.ndarray:
-    k = pa.compute.fill_null(keys, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    k = pc.fill_null(keys, -1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     return mix(mix(k + np.uint64(seed)) + np.uint64(0x5851F42D4C957F2D))
 
 
+def _checksums(ids: np.ndarray, firsts: np.ndarray) -> pa.Array:
+    """Unsigned crc32 of each row's ids as little-endian 32-bit integers."""
+    raw, at = ids.astype("<u4").tobytes(), (4 * firsts).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+
+
+def _lists(ids: np.ndarray, firsts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, path: str, *, seed: int = 0, alpha: float = 1.0, offset: float = 10.0) -> DataFrame:
-    """doc_id, text and ids (array<int>) for every row; ``path`` names the model file on each executor."""
+    """doc_id, ids (array<int>), n_tokens and ids_crc32 for every row; ``path`` names the model file on each executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(path, alpha, offset)
         for batch in batches:
             for part in slices(batch, limit=_SLICE):
                 ids, firsts = encode_slice(v, part.column("text"), row_seeds(part.column("doc_id"), seed))
-                lists = pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([part.column("doc_id"), part.column("text"), lists], names=["doc_id", "text", "ids"])
+                yield pa.record_batch([part.column("doc_id"), _lists(ids, firsts), pa.array(np.diff(firsts)), _checksums(ids, firsts)], names=["doc_id", "ids", "n_tokens", "ids_crc32"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text string, ids array<int>")
+    return _rows(docs).mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (doc_id, text, ids) with the decoded text and a checksum of the ids."""
-    import zlib
+    """doc_id and text of every row of ``encoded`` (doc_id, ids); null ids decode to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(path, 1.0, 10.0)
         for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
                 lists = part.column("ids")
-                firsts = lists.offsets.to_numpy().astype(np.int64)
-                ids = lists.values.to_numpy()[firsts[0] : firsts[-1]].astype(np.int64)
-                firsts = firsts - firsts[0]
-                raw, at = ids.astype("<u4").tobytes(), (4 * firsts).tolist()
-                sums = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.record_batch([part.column("doc_id"), part.column("text"), lists, pa.array(np.diff(firsts)), pa.array(sums, pa.int64()), decode_slice(v, ids, firsts)], names=["doc_id", "text", "ids", "n_tokens", "ids_crc32", "decoded"])
-
-    return encoded.mapInArrow(run, "doc_id bigint, text string, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded string")
+                firsts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                yield pa.record_batch([part.column("doc_id"), decode_slice(v, lists.flatten().to_numpy().astype(np.int64), firsts)], names=["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+
+
+def round_trip(docs: DataFrame, path: str, *, seed: int = 0, alpha: float = 1.0, offset: float = 10.0) -> DataFrame:
+    """What :func:`encode` gives, with decoded_sha256 and lossless of decoding it again, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(path, alpha, offset)
+        names = ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"]
+        for batch in batches:
+            for part in slices(batch, limit=_SLICE):
+                text = pc.fill_null(part.column("text"), "")
+                ids, firsts = encode_slice(v, text, row_seeds(part.column("doc_id"), seed))
+                back = decode_slice(v, ids.astype(np.int64), firsts)
+                digest = [hashlib.sha256(x.as_buffer()).hexdigest() for x in back]
+                yield pa.record_batch([part.column("doc_id"), _lists(ids, firsts), pa.array(np.diff(firsts)), _checksums(ids, firsts), pa.array(digest, pa.string()), pc.equal(back, text)], names=names)
+
+    return _rows(docs).mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean")

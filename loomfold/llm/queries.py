@@ -38,10 +38,8 @@ def vocabulary(name: str) -> str:
 
 
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("piece_bpe_32k.model")
-    decoded = piece_sampling.decode(piece_sampling.encode(_table(spark, sf_dir, "documents"), path), path)
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), lossless.alias("lossless"))
+    found = piece_sampling.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless")
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,9 +116,16 @@ def test_fingerprints(docs, empty):
 
 def test_pieces(docs, empty):
     path = vocabulary("piece_bpe_32k.model")
-    rows = piece_sampling.decode(piece_sampling.encode(docs, path), path).collect()
-    assert len(rows) == len(TEXTS) and all(r.decoded == (r.text or "") for r in rows)
-    assert n(piece_sampling.decode(piece_sampling.encode(empty, path), path)) == 0
+    encoded = piece_sampling.encode(docs, path)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text)
+    texts = sorted(piece_sampling.decode(encoded, path).collect(), key=key)
+    assert [r.text for r in texts] == [t or "" for _, t in sorted(TEXTS, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
+    rows = piece_sampling.round_trip(docs, path).collect()
+    assert len(rows) == len(TEXTS) and all(r.lossless for r in rows)
+    assert sorted(r.ids_crc32 for r in rows) == sorted(r.ids_crc32 for r in encoded.collect())
+    for run in (piece_sampling.encode, piece_sampling.round_trip):
+        assert n(run(empty, path)) == 0
+    assert n(piece_sampling.decode(encoded.limit(0), path)) == 0
 
 
 def test_stages(spark, docs, empty, sf_dir):
