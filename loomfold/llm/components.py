@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -29,11 +29,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     state = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     mark = None
     while True:
-        state = star(materialize(star(state, True).distinct(), name), False).distinct()
-        state = materialize(state, name)
+        before, half = state, materialize(star(state, True).distinct(), name)
+        state = materialize(star(half, False).distinct(), name)
+        discard(before, half)
         now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first())
         if now == mark:
             break
         mark = now
     members = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members.union(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = materialize(members.union(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), name)
+    discard(state)
+    return out

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
+from .storage import discard, materialize
 from .textio import mix, row_of, slices, span_hashes, utf8, words
 
 _LINES = "d bigint, t bigint, seq int, h1 bigint, h2 bigint, w int"
@@ -163,11 +163,14 @@ def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
     """(d, t, runs): for each document with later copies, their (seq, m) in lines that aren't blank."""
     d, t = document_key()
     lines = materialize(docs.select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(_lines, _LINES), "lines")
-    state = lines.join(_ranked(lines, ["h1", "h2"], "ranks"), ["h1", "h2"]).select("d", "t", F.struct("seq", "rank", "w").alias("item"))
+    ranks = _ranked(lines, ["h1", "h2"], "ranks")
+    used = [lines, ranks]
+    state = lines.join(ranks, ["h1", "h2"]).select("d", "t", F.struct("seq", "rank", "w").alias("item"))
     flagged, k = None, 0
     while True:
         grouped = state.groupBy("d", "t").agg(F.collect_list("item").alias("items"))
         step = materialize(grouped.mapInArrow(_level(k, least_words), _STEP), "level")
+        discard(*used)
         runs = step.where("m > 0").select("d", "t", "seq", "m", "a", "b")
         firsts = runs.groupBy("m", "a", "b").agg(F.min(F.struct("d", "t", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         same = (F.col("first.d") == F.col("d")) & (F.col("first.t") == F.col("t"))
@@ -177,8 +180,11 @@ def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
         pairs = step.where("m = 0")
         if pairs.isEmpty():
             break
-        state = pairs.join(_ranked(pairs, ["a", "b"], "ranks"), ["a", "b"]).select("d", "t", F.struct("seq", "rank", "ms").alias("item"))
+        ranks = _ranked(pairs, ["a", "b"], "ranks")
+        used = [step, ranks]
+        state = pairs.join(ranks, ["a", "b"]).select("d", "t", F.struct("seq", "rank", "ms").alias("item"))
         k += 1
+    discard(step)
     return flagged.groupBy("d", "t").agg(F.collect_set(F.struct("seq", "m")).alias("runs"))
 
 

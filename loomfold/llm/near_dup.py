@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shingles import shingles, signatures
-from .storage import materialize
+from .storage import discard, materialize
 from .textio import mix, segment_sums, slices
 
 BANDS, WIDTH = 32, 4
@@ -246,10 +246,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     same_id = some.join(same_id, "doc_id").select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"])
     same_id = same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
 
+    spent = [shared, held]
+
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(held.select(F.col("rep").alias("b"), F.col("held").alias("set_b")), "b")
         joined = joined.join(held.select(F.col("rep").alias("a"), F.col("held").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-        return materialize(joined.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links")
+        spent.append(materialize(joined.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links"))
+        return spent[-1]
 
     def mixed_blocks(state: DataFrame) -> DataFrame:
         """Rows of the buckets with several components, once for each pair of blocks they stand in."""
@@ -270,15 +273,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
 
     likeliest = by_group(mixed_blocks(state)).mapInArrow(_likeliest(threshold, miss), "rep bigint, matches bigint, other bigint")
     likeliest = likeliest.groupBy("rep").agg(F.max(F.struct("matches", (-F.col("other")).alias("other"))).alias("best")).select(F.least("rep", -F.col("best.other")).alias("a"), F.greatest("rep", -F.col("best.other")).alias("b"))
-    links = links.union(verified(materialize(likeliest.distinct(), "pairs")))
+    pairs = materialize(likeliest.distinct(), "pairs")
+    links = links.union(verified(pairs))
+    spent += [pairs, state]
     state = connected_components(links)
 
     schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, component bigint, sig binary"
     left = materialize(by_group(mixed_blocks(state)).mapInArrow(_open_rows(threshold, miss), schema), "open")
     if not left.isEmpty():
         settled = by_group(left.join(held, "rep")).mapInArrow(_settled(percent, miss), "a bigint, b bigint")
-        links = links.union(materialize(settled, "links"))
-        state = connected_components(links)
+        settled = materialize(settled, "links")
+        spent += [settled, state]
+        state = connected_components(links.union(settled))
+    discard(left, *spent)
 
     named = classes.select("key1", "key2", "n_shingles", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -36,11 +36,19 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._loom_path = path
+    return table
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate that no later plan reads."""
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no later plan reads."""
+    for table in tables:
+        if path := getattr(table, "_loom_path", None):
+            discard_path(table.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rans import Coder, checksum, normalised
-from .storage import discard, fresh_path
+from .storage import discard_path, fresh_path
 from .textio import LOWER, slices, utf8
 
 #: Ids of a block, about.
@@ -235,7 +235,7 @@ def write(docs: DataFrame, folder: str, path: str, *, end_id: int = 1) -> None:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
     ordered.mapInArrow(_encoded(shared, kind), _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
-    discard(spark, between)
+    discard_path(spark, between)
 
 
 def _decoded(shared, with_ids: bool):
