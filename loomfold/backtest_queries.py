@@ -11,15 +11,16 @@ from .factor_queries import BY, CLOSE, PANEL_SQL, _round, decay_sql, rank_sql
 from .operators import ops
 from .plans import performance
 from .plans.backtest import VectorEngine
-from .plans.expr import col, compile_exprs
+from .plans.expr import Expr, col, compile_exprs
 from .sources.bars import supplier_panel
 
 FREQ, TOP, COST = 5, 5, 0.0015
-SIGNAL = ops.Rank(_round(ops.Ts_Delta(CLOSE, 20), 6))
+MOVE = _round(ops.Ts_Delta(CLOSE, 20), 6)
+SIGNAL = ops.Rank(MOVE)
 
 
-def _engine(spark: SparkSession, sf_dir: str, **kw) -> VectorEngine:
-    return VectorEngine(SIGNAL, supplier_panel(spark, sf_dir), rebalance_freq=FREQ, top_n=TOP, cost_rate=COST, **kw)
+def _engine(spark: SparkSession, sf_dir: str, factor: Expr = SIGNAL, **kw) -> VectorEngine:
+    return VectorEngine(factor, supplier_panel(spark, sf_dir), rebalance_freq=FREQ, top_n=TOP, cost_rate=COST, **kw)
 
 
 def _rounded(df: DataFrame, *exact: str, nudge: float = 0.0) -> DataFrame:
@@ -40,7 +41,7 @@ def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False) ->
     weight = "1.0 / n" if method == "equal" else "CASE WHEN s > 1e-10 THEN abs(x) / s ELSE 1.0 / n END"
     return f"""WITH {PANEL_SQL},
 a0 AS (SELECT *, round(close - lag(close, 20) OVER {BY}, 6) AS d, close / nullif(lag(close) OVER {BY}, 0) - 1 AS ret FROM panel),
-a1 AS (SELECT *, {rank_sql('d')} AS f0 FROM a0),
+a1 AS (SELECT *, {'d' if neutral else rank_sql('d')} AS f0 FROM a0),
 a2 AS (SELECT *, {f1} FROM a1),
 a3 AS (SELECT *, {f2} FROM a2),
 a4 AS (SELECT *, {f3} FROM a3),
@@ -80,7 +81,8 @@ def backtest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backtest_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_engine(spark, sf_dir, weight_method="factor_weighted", decay=3, industry=True).run().daily, "date", "t_idx", "is_rebalance")
+    """Residuals of ranks would tie but for the order of summation, so the factor is the move itself."""
+    return _rounded(_engine(spark, sf_dir, MOVE, weight_method="factor_weighted", decay=3, industry=True).run().daily, "date", "t_idx", "is_rebalance")
 
 
 def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
