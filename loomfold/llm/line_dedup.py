@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import discard, materialize
-from .textio import mix, row_of, slices, span_hashes, utf8, words
+from .textio import row_of, slices, span_hashes, utf8, words
 
 _LINES = "d bigint, t bigint, seq int, h1 bigint, h2 bigint, w int"
 _STEP = "d bigint, t bigint, seq int, m int, a bigint, b bigint, ms array<int>"
