@@ -105,6 +105,10 @@ class Filters:
 
     def predict(self, column: pa.Array, rates: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (the winner's part of all corrected hits) and the share of n-grams it explains."""
+        return self.measure(column, rates)[:3]
+
+    def measure(self, column: pa.Array, rates: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """What :meth:`predict` gives, and the number of n-grams."""
         data, offsets = utf8(column)
         hashes, firsts = grams(data, offsets)
         n = np.diff(firsts)
@@ -116,12 +120,12 @@ class Filters:
         hits = np.clip((hits - n[:, None] * rates) / (1 - rates), 0, None)
         known = has_letter(data, offsets) & ~column.is_null().to_numpy(zero_copy_only=False)
         if not self.languages:
-            return [UNKNOWN] * len(n), np.zeros(len(n)), np.zeros(len(n))
+            return [UNKNOWN] * len(n), np.zeros(len(n)), np.zeros(len(n)), n
         best = hits.argmax(axis=1)
         top = hits[np.arange(len(n)), best]
         score = np.where(known, np.where(top > 0, top / np.maximum(hits.sum(axis=1), 1e-9), 0.0), 0.0)
         names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-        return names, np.clip(score, 0, 1), np.where(known, top / np.maximum(n, 1), 0.0)
+        return names, np.clip(score, 0, 1), np.where(known, top / np.maximum(n, 1), 0.0), n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,3 +175,23 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, explained double")
+
+
+def in_known_language(docs: DataFrame, filters: Filters, *, least: float, least_grams: int) -> DataFrame:
+    """Rows of ``docs`` that aren't ``und`` and of whose n-grams a share of ``least`` is explained.
+
+    Texts of fewer than ``least_grams`` n-grams are too short for the share to
+    tell and stay. Each row is judged by its own text, whatever its doc_id.
+    """
+    rates = filters.false_positive_rates()
+    shared = docs.sparkSession.sparkContext.broadcast((filters, rates))  # of a fixed number of rows
+    text = next(c for c in docs.columns if c.lower() == "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, fp = shared.value
+        for batch in batches:
+            for part in slices(batch, text):
+                names, _, explained, n = own.measure(part.column(text), fp)
+                yield part.filter(pa.array((np.array(names) != UNKNOWN) & ((n < least_grams) | (explained >= least))))
+
+    return docs.mapInArrow(run, docs.schema)
