@@ -30,3 +30,54 @@ def test_language_keeps_short_documents(spark, sf_dir, prose):
     bad = [(6, "12 345", "en"), (7, noise, None), (8, None, "en"), (9, "漢字" * 40, None)]
     out = corpus_pipeline.identify_language(spark, table(spark, prose + short + bad), sf_dir)
     assert pairs(out) == pairs(table(spark, prose + short))
+
+
+def shingle_set(text, size=5):
+    w = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near_dup_by_brute_force(rows):
+    """One (doc_id, text) of each component of rows: the smallest doc_id's."""
+    sets, root = [shingle_set(t or "") for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            same = rows[x] == rows[y]
+            if same or sets[x] and sets[y] and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                root[find(x)] = find(y)
+    groups = {}
+    for x, row in enumerate(rows):
+        groups.setdefault(find(x), []).append(row)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+LINE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+REPEATED = [
+    (4, LINE, "en"), (4, LINE, "en"), (4, LINE, "en"), (3, LINE + " nu", "en"), (None, LINE, "en"), (None, "one lone row", "en"), (None, "one lone row", "en"),
+    (5, "first text of id five", "en"), (5, "quite another text of the same id", "en"), (6, "quite another text of the same id", "en"), (7, "", "en"), (7, "", "en"), (7, None, "en"),
+    (7, None, "en"), (8, "", "en"), (None, "", "en"), (None, "", "en"), (None, None, "en"), (9, "Re.", "en"), (9, "Re.", "en"), (9, "A.", "en"),
+]
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark, sf_dir):
+    out = corpus_pipeline.dedup_documents(spark, table(spark, REPEATED), sf_dir)
+    assert pairs(out) == sorted(near_dup_by_brute_force([r[:2] for r in REPEATED]), key=repr)
+
+
+def test_language_judges_rows_not_ids(spark, sf_dir, prose):
+    rows = [(None, "123 456", "en"), (None, "Re.", "en"), (7, "123 456", "en"), (7, "A.", "en")]
+    out = corpus_pipeline.identify_language(spark, table(spark, prose + rows), sf_dir)
+    assert pairs(out) == pairs(table(spark, [*prose, rows[1], rows[3]]))
+
+
+def test_decontamination_judges_rows_not_ids(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, item, "en"), (1, "a clean text under the same id", "en"), (None, f"before it {item} after it", "en"), (None, "a clean text without an id", "en"), (2, "Re.", "en"), (2, "Re.", "en")]
+    out = corpus_pipeline.decontaminate_benchmark(spark, table(spark, rows), sf_dir)
+    assert pairs(out) == sorted([(1, rows[1][1]), (None, rows[3][1]), (2, "Re."), (2, "Re.")], key=repr)
