@@ -177,11 +177,41 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double, explained double")
 
 
-def in_known_language(docs: DataFrame, filters: Filters, *, least: float, least_grams: int) -> DataFrame:
-    """Rows of ``docs`` that aren't ``und`` and of whose n-grams a share of ``least`` is explained.
+def least_shares(docs: DataFrame, filters: Filters, lengths: tuple[int, ...], *, floor: float, quantile: float = 0.001, margin: float = 0.5, least_rows: int = 50, max_training: int = 3000) -> np.ndarray:
+    """Least explained share by language (rows) and number of n-grams (columns: from each of ``lengths`` on; first of 0).
 
-    Texts of fewer than ``least_grams`` n-grams are too short for the share to
-    tell and stay. Each row is judged by its own text, whatever its doc_id.
+    That is ``margin`` times the low ``quantile`` among labelled documents of the
+    same predicted language and length, drawn apart from those of :func:`learn`
+    as far as there are more; ``floor`` where they are under ``least_rows``.
+    Texts under the first length are too short for the share to tell.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((filters, filters.false_positive_rates()))  # of a fixed number of rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, fp = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                names, _, explained, n = own.measure(part.column("text"), fp)
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.searchsorted(lengths, n, "right")), pa.array(explained)], names=["lang", "length", "explained"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where("doc_id is not null and lang is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n_docs"))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("shares")), F.lit(1 << 20))
+    sample = rows.join(F.broadcast(sizes), "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("text")
+    shares = sample.mapInArrow(run, "lang string, length bigint, explained double").where((F.col("length") > 0) & (F.col("lang") != UNKNOWN))
+    out = np.full((len(filters.languages), len(lengths) + 1), floor)
+    out[:, 0] = 0.0
+    for r in shares.groupBy("lang", "length").agg(F.count("*").alias("n"), F.percentile("explained", F.lit(quantile)).alias("low")).collect():  # one for each language and length
+        if r.n >= least_rows:
+            out[filters.languages.index(r.lang), r.length] = max(floor, margin * r.low)
+    return out
+
+
+def in_known_language(docs: DataFrame, filters: Filters, least: np.ndarray, lengths: tuple[int, ...]) -> DataFrame:
+    """Rows of ``docs`` that aren't ``und`` and that reach the shares of :func:`least_shares`.
+
+    Each row is judged by its own text, whatever its doc_id.
     """
     rates = filters.false_positive_rates()
     shared = docs.sparkSession.sparkContext.broadcast((filters, rates))  # of a fixed number of rows
@@ -192,6 +222,8 @@ def in_known_language(docs: DataFrame, filters: Filters, *, least: float, least_
         for batch in batches:
             for part in slices(batch, text):
                 names, _, explained, n = own.measure(part.column(text), fp)
-                yield part.filter(pa.array((np.array(names) != UNKNOWN) & ((n < least_grams) | (explained >= least))))
+                known = np.array(names) != UNKNOWN
+                of = np.searchsorted(own.languages, np.where(known, names, own.languages[0]))
+                yield part.filter(pa.array(known & (explained >= least[of, np.searchsorted(lengths, n, "right")])))
 
     return docs.mapInArrow(run, docs.schema)

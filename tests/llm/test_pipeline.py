@@ -81,3 +81,18 @@ def test_decontamination_judges_rows_not_ids(spark, sf_dir):
     rows = [(1, item, "en"), (1, "a clean text under the same id", "en"), (None, f"before it {item} after it", "en"), (None, "a clean text without an id", "en"), (2, "Re.", "en"), (2, "Re.", "en")]
     out = corpus_pipeline.decontaminate_benchmark(spark, table(spark, rows), sf_dir)
     assert pairs(out) == sorted([(1, rows[1][1]), (None, rows[3][1]), (2, "Re."), (2, "Re.")], key=repr)
+
+
+POLISH = (
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. Dziś piękność twą w całej ozdobie widzę i opisuję, bo tęsknię po tobie. "
+    "Panno święta, co jasnej bronisz Częstochowy i w Ostrej świecisz Bramie, ty, co gród zamkowy nowogródzki ochraniasz z jego wiernym ludem, jak mnie dziecko do zdrowia powróciłaś cudem, "
+    "gdy od płaczącej matki pod twoją opiekę ofiarowany, martwą podniosłem powiekę i zaraz mogłem pieszo do twych świątyń progu iść za wrócone życie podziękować Bogu, tak nas powrócisz cudem na ojczyzny łono. "
+    "Tymczasem przenoś moję duszę utęsknioną do tych pagórków leśnych, do tych łąk zielonych, szeroko nad błękitnym Niemnem rozciągnionych."
+)
+
+
+def test_language_rejects_languages_that_were_not_learned(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = spark.createDataFrame([(-1, POLISH)], "doc_id bigint, text string").join(docs.drop("doc_id", "text").limit(1).drop("lang")).selectExpr("*", "cast(null as string) as lang")
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(foreign), sf_dir)
+    assert pairs(out) == pairs(docs)
