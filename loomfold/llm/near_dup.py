@@ -17,7 +17,8 @@ Verification takes the full shingle sets, and no step emits more than a few rows
 for each class and bucket, so groups of any size cost no quadratic output.
 
 Nulls and texts without words have no shingles and link with nothing. Rows with
-the same doc_id are one node. Rows with a null doc_id are returned unlinked,
+the same doc_id are one node, which links by each of their texts: classes have
+numbers of their own, in order of the smallest doc_id. Rows with a null doc_id are returned unlinked,
 with a null component, kept. An empty table gives no rows.
 """
 
@@ -40,6 +41,8 @@ BANDS, WIDTH = 32, 4
 HASHES = BANDS * WIDTH
 #: Hashes compared between two looks at the posterior.
 BATCH = 16
+#: Columns that name a class.
+KEY = ["key1", "key2", "n_shingles"]
 #: Rows of one block of a bucket.
 BLOCK = 512
 
@@ -89,8 +92,9 @@ def _sets(size: int):
             for part in slices(batch):
                 rows, h = shingles(part.column("text"), size)
                 firsts = np.searchsorted(rows, np.arange(len(part) + 1))
+                key = [segment_sums(mix(h ^ np.uint64(s)), firsts).view(np.int64) for s in (1, 2)]
                 held = [h[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-                yield pa.record_batch([part.column("doc_id"), pa.array(held, pa.binary())], names=["rep", "held"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(firsts)), *map(pa.array, key), pa.array(held, pa.binary())], names=["doc_id", "n_shingles", "key1", "key2", "held"])
 
     return run
 
@@ -233,20 +237,24 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(_signed(size), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    by_rep = classes.groupBy("rep").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    grouped = some.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    ordered = grouped.repartitionByRange("doc_id", *KEY).sortWithinPartitions("doc_id", *KEY)
+    classes = materialize(ordered.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    by_rep = classes.select("rep", "sig", "n_shingles")
     banded = by_rep.select("rep", "sig").mapInArrow(_banded, "rep bigint, bucket bigint")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
     shared = materialize(banded.join(buckets, "bucket"), "buckets")
-    involved = shared.select("rep").distinct()
-    held = texts.join(involved.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(size), "rep bigint, held binary")
-    held = materialize(held.groupBy("rep").agg(F.first("held").alias("held")), "sets")
+    involved = classes.select("doc_id", *KEY, "rep").join(shared.select("rep").distinct(), "rep", "left_semi")
+    held = texts.join(involved.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, held binary")
+    held = held.groupBy("doc_id", *KEY).agg(F.first("held").alias("held"))
+    held = materialize(held.join(involved, ["doc_id", *KEY]).select("rep", "held"), "sets")
 
     same_id = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
-    same_id = some.join(same_id, "doc_id").select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"])
-    same_id = same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
+    same_id = some.join(same_id, "doc_id").select("doc_id", *KEY).distinct().join(classes.select(*KEY, "rep"), KEY)
+    several = materialize(same_id.select("doc_id", "rep"), "ids")
+    same_id = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a != b")
 
-    spent = [shared, held]
+    spent = [shared, held, several]
 
     def verified(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(held.select(F.col("rep").alias("b"), F.col("held").alias("set_b")), "b")
@@ -287,7 +295,9 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
         state = connected_components(links.union(settled))
     discard(left, *spent)
 
-    named = classes.select("key1", "key2", "n_shingles", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("sig").join(named, ["key1", "key2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = classes.select(*KEY, "doc_id", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select(*KEY, "doc_id", F.coalesce("component", "rep").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = named.drop("doc_id").join(smallest, "component").drop("component")
+    out = signed.drop("sig").join(named, KEY, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from loomfold.llm import near_dup  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -96,3 +97,16 @@ def test_language_rejects_languages_that_were_not_learned(spark, sf_dir):
     foreign = spark.createDataFrame([(-1, POLISH)], "doc_id bigint, text string").join(docs.drop("doc_id", "text").limit(1).drop("lang")).selectExpr("*", "cast(null as string) as lang")
     out = corpus_pipeline.identify_language(spark, docs.unionByName(foreign), sf_dir)
     assert pairs(out) == pairs(docs)
+
+
+def test_near_duplicates_of_every_text_of_one_id(spark):
+    rng = random.Random(4)
+    bases = [[f"{k}w{rng.randint(0, 400)}" for _ in range(60)] for k in range(40)]
+    rows, want = [], {}
+    for k in range(0, 40, 2):  # two texts under one id, and a near copy of each under others
+        for j, base in enumerate(bases[k : k + 2]):
+            rows += [(k, " ".join(base)), (100 + k + j, " ".join(base[:-1]))]
+        want |= {k: k, 100 + k: k, 101 + k: k}
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4).collect()
+    assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in out)
