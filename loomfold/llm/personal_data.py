@@ -1,27 +1,44 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail and IP addresses, card and phone numbers. The field then
-labels every token of a document that has a digit or an at-sign: its unary
-potentials are shape features of the token and its neighbours, chain edges join
-tokens that stand together, and skip edges join each token with the next one in
-the document that is equal or ends in the same seven digits, however far. Loopy
-sum-product message passing runs over all documents of a slice at once. Tokens
-inside a pattern's match are observed; a token outside all of them becomes a
-further span when its most probable label is an entity with at least ``least``.
-
-The weights are fitted piecewise: the unary ones by softmax regression, the
-edges' as pointwise mutual information of the labels they join, on the pattern
-labels of a bounded sample of about ``max_training`` documents chosen by a hash
-of their id. Tokens without digits or at-signs are outside: no feature speaks
-for them, and a document without any has only its (empty) pattern matches.
-
-Null texts are empty; whole texts are read; repeated rows get equal results.
+labels every token of a document that has a digit or an at-sign (also written
+``[at]``): its unary potentials are shape features of the token and its
+neighbours, chain edges join tokens that stand together, and skip edges join
+tokens that are equal or similar, that is of the same address or of the same last
+seven digits. Each joins the nearest such token before it and the hubs of its
+group: one token of each label that patterns gave it. Evidence thus reaches every
+repeat in one step, however far and however many there are.
+Loopy sum-product message passing runs over all documents of a slice at once.
+
+Tokens inside a pattern's match are observed. Others become part of a further
+span when their most probable label is an entity with at least ``least``;
+neighbours of one label join to one span. A span has to keep its kind's own rule
+(four parts of at most 255, a Luhn number of 16 to 19 digits, 7 to 15 digits, an
+address with a dotted domain), and so has every token as far as it can tell.
+
+The weights are fitted by pseudo-likelihood on a bounded sample of about
+``max_training`` documents of at most ``max_chars``, chosen by a hash of their
+id. As patterns alone would teach the field nothing but themselves, a share of
+their labels is hidden, mentions are added in writings that no pattern takes
+(other separators, no country code), and so are look-alike numbers that repeat
+nothing, labelled as none. Tokens without digits or at-signs are outside: no
+feature speaks for them, and a document without any has only its (empty) pattern
+matches.
+
+Null texts are empty; whole texts are read, in time proportional to their length;
+repeated rows get equal results, and so do null or repeated ids, as rows are
+judged alone. Of labels equally probable the first by KINDS wins. An empty table
+gives no rows, and a field without training finds only patterns. Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +56,16 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_MARK = re.compile(r"[0-9@]")
+_AT = re.compile(r"[\[({](?:at|@)[\])}]", re.IGNORECASE)
+_DOT = re.compile(r"[\[({](?:dot|\.)[\])}]", re.IGNORECASE)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_MARK = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
 _WORD = re.compile(r"\S+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_EDGE = "\"'`.,;:!?()[]{}<>|"
+_NUMBERS = re.compile(r"[0-9]+")
+#: Digits of one span of each kind, at most; tokens join to one span within them.
+_MOST_DIGITS = (0, 0, 19, 15)
+_EDGE = "\"'`.,;:!?()[]{}<>|*#&$%"
 
 Span = tuple[int, int, int]
 
@@ -107,6 +130,8 @@ def marked_tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Log potential of what cannot be, below any sum of messages.
+_NEVER = -1e9
 #: Number of values of each feature.
 _SIZES = (10, 5, 2, 2, 2, 2, 3, 6, 2, 2, 12, 12)
 _OFFSETS = np.concatenate([[0], np.cumsum(_SIZES)])
@@ -131,9 +156,37 @@ def _features(tokens: list[str], at: int, near: tuple[bool, bool]) -> list[int]:
     return [int(o + v) for o, v in zip(_OFFSETS, values, strict=False)]
 
 
+def _plain(token: str) -> str:
+    """An address without the brackets that hide its at-sign and dots."""
+    return _DOT.sub(".", _AT.sub("@", token)) if "(" in token or "[" in token or "{" in token else token
+
+
 def _key(token: str) -> str:
+    """Equal for similar tokens."""
     digits = _NOT_DIGIT.sub("", token)
-    return digits[-7:] if len(digits) >= 7 else token.casefold()
+    plain = _plain(token)
+    return plain.casefold() if "@" in plain or len(digits) < 7 else digits[-7:]
+
+
+def keeps_rule(kind: int, text: str) -> bool:
+    """Whether a span of a kind keeps the kind's own rule, in whatever writing."""
+    if kind == 0:
+        return _ADDRESS.fullmatch(_plain(text)) is not None
+    if any(c.isalpha() for c in text):
+        return False
+    parts = _NUMBERS.findall(text)
+    digits = "".join(parts)
+    if kind == 1:
+        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
+    return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
+
+
+def _possible(token: str) -> list[bool]:
+    """Labels that a token may have; cards and phones may spread over several tokens."""
+    mixed = any(c.isalpha() for c in token)
+    n = len(_NOT_DIGIT.sub("", token))
+    card = not mixed and 0 < n <= 19 and (n < 16 or keeps_rule(2, token))
+    return [True, keeps_rule(0, token), keeps_rule(1, token), card, not mixed and 0 < n <= 15]
 
 
 @dataclass
@@ -141,41 +194,57 @@ class Graph:
     """Nodes of several documents, with chain (0) and skip (1) edges."""
 
     features: np.ndarray
+    possible: np.ndarray
     observed: np.ndarray
     edges: np.ndarray
     doc: np.ndarray
     spans: np.ndarray
 
 
+def _labels_of(tokens: list[tuple[int, int]], known: list[Span]) -> list[int]:
+    """The label of each token from spans, 0 outside them; the first kind where several meet."""
+    by_start = sorted((s, e, k) for k, s, e in known)
+    cover: list[tuple[int, int, int]] = []
+    out, pointer = [], 0
+    for a, b in tokens:
+        while pointer < len(by_start) and by_start[pointer][0] < b:
+            cover.append(by_start[pointer])
+            pointer += 1
+        cover = [c for c in cover if c[1] > a]
+        out.append(1 + min((c[2] for c in cover), default=-1))
+    return out
+
+
 def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
-    features, observed, edges, doc, places = [], [], [], [], []
+    """The graph of texts whose ``spans`` are observed."""
+    features, possible, observed, edges, doc, places = [], [], [], [], [], []
     for d, (text, known) in enumerate(zip(texts, spans, strict=True)):
         tokens = marked_tokens(text)
         words = [text[a:b] for a, b in tokens]
+        labels = _labels_of(tokens, known)
         base = len(observed)
-        by_start = sorted((s, e, k) for k, s, e in known)
-        cover: list[tuple[int, int, int]] = []
-        pointer = 0
-        last: dict[str, int] = {}
         close = [b[0] - a[1] <= 3 for a, b in zip(tokens[:-1], tokens[1:], strict=True)]
-        for i, (a, b) in enumerate(tokens):
-            while pointer < len(by_start) and by_start[pointer][0] < b:
-                cover.append(by_start[pointer])
-                pointer += 1
-            cover = [c for c in cover if c[1] > a]
-            observed.append(1 + min((c[2] for c in cover), default=-1))
+        groups: dict[str, list[int]] = {}
+        for i, word in enumerate(words):
             features.append(_features(words, i, (i > 0 and close[i - 1], i + 1 < len(tokens) and close[i])))
-            doc.append(d)
-            places.append((a, b))
-            if i and close[i - 1]:
-                edges.append((base + i - 1, base + i, 0))
-            key = _key(words[i])
-            if key in last:
-                edges.append((last[key], base + i, 1))
-            last[key] = base + i
+            possible.append(_possible(word))
+            groups.setdefault(_key(word), []).append(i)
+        for _, a, b in known:  # what several tokens spell is repeated with the last of them
+            if inside := [i for i in range(bisect_left(tokens, (a, a)), bisect_left(tokens, (b, b))) if tokens[i][1] <= b][1:]:
+                groups.setdefault(_key(text[a:b]), []).append(inside[-1])
+        edges += [(base + i, base + i + 1, 0) for i, c in enumerate(close) if c]
+        for group in map(sorted, map(set, groups.values())):
+            if len(group) > 1:
+                hubs = {labels[i]: i for i in reversed(group) if labels[i]}.values()
+                pairs = set(zip(group[:-1], group[1:], strict=True))
+                pairs |= {(min(h, i), max(h, i)) for h in hubs for i in group if i != h}
+                edges += [(base + a, base + b, 1) for a, b in sorted(pairs)]
+        observed += labels
+        doc += [d] * len(tokens)
+        places += tokens
     return Graph(
-        np.array(features, np.int64).reshape(-1, len(_SIZES)), np.array(observed, np.int64), np.array(edges, np.int64).reshape(-1, 3),
-        np.array(doc, np.int64), np.array(places, np.int64).reshape(-1, 2),
+        np.array(features, np.int64).reshape(-1, len(_SIZES)), np.array(possible, bool).reshape(-1, len(KINDS) + 1), np.array(observed, np.int64),
+        np.array(edges, np.int64).reshape(-1, 3), np.array(doc, np.int64), np.array(places, np.int64).reshape(-1, 2),
     )
 
 
@@ -195,8 +264,9 @@ class Field:
         """Label probabilities of each node after loopy message passing."""
         n, labels = len(g.observed), len(KINDS) + 1
         unary = self.unary[g.features].sum(axis=1) if n else np.zeros((0, labels))
+        unary = np.where(g.possible, unary, _NEVER)
         seen = np.flatnonzero(g.observed)
-        unary[seen] = -12.0
+        unary[seen] = _NEVER
         unary[seen, g.observed[seen]] = 0.0
         a, b = np.concatenate([g.edges[:, 0], g.edges[:, 1]]), np.concatenate([g.edges[:, 1], g.edges[:, 0]])
         pair = self.pair[g.edges[:, 2]]
@@ -216,56 +286,150 @@ class Field:
         return np.exp(belief - _log_sum(belief, axis=1)[:, None]) if n else unary
 
 
-def fit(graphs: list[Graph], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Piecewise estimates from graphs whose observed labels are the truth."""
+def fit(graphs: list[tuple[Graph, np.ndarray]], rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Field:
+    """Weights of greatest pseudo-likelihood of the true labels of graphs' nodes."""
     labels, size = len(KINDS) + 1, int(_OFFSETS[-1])
-    x = np.concatenate([g.features for g in graphs]) if graphs else np.zeros((0, len(_SIZES)), np.int64)
-    y = np.concatenate([g.observed for g in graphs]) if graphs else np.zeros(0, np.int64)
-    w = np.zeros((size, labels))
+    upto = np.cumsum([0, *(len(t) for _, t in graphs)])
+    x = np.concatenate([g.features for g, _ in graphs]) if graphs else np.zeros((0, len(_SIZES)), np.int64)
+    y = np.concatenate([t for _, t in graphs]) if graphs else np.zeros(0, np.int64)
+    allowed = np.concatenate([g.possible for g, _ in graphs]) if graphs else np.zeros((0, labels), bool)
+    edges = np.concatenate([g.edges + [u, u, 0] for (g, _), u in zip(graphs, upto, strict=False)]) if graphs else np.zeros((0, 3), np.int64)
+    w, pair = np.zeros((size, labels)), np.zeros((2, labels, labels))
     w[:, 0] = 1 / len(_SIZES)  # without evidence a token is no entity
+    start = w.copy()
     truth = np.eye(labels)[y]
-    for _ in range(rounds if len(y) else 0):
-        z = w[x].sum(axis=1)
+    allowed = np.where(allowed | (truth > 0), 0.0, _NEVER)
+    state = [(p, np.zeros_like(p), np.zeros_like(p)) for p in (w, pair)]
+    for step in range(1, rounds + 1 if len(y) else 1):
+        z = w[x].sum(axis=1) + allowed
+        for kind in (0, 1):
+            a, b = edges[edges[:, 2] == kind, :2].T
+            np.add.at(z, a, pair[kind][:, y[b]].T)
+            np.add.at(z, b, pair[kind][y[a]])
         p = np.exp(z - _log_sum(z, axis=1)[:, None]) - truth
-        g = np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], x.shape[1]), size) for k in range(labels)], axis=1)
-        w -= rate * (g / len(y) + decay * w)
-    pair = np.zeros((2, labels, labels))
-    for kind in (0, 1):
-        joint = np.full((labels, labels), 0.5)
-        for g in graphs:
-            e = g.edges[g.edges[:, 2] == kind]
-            np.add.at(joint, (g.observed[e[:, 0]], g.observed[e[:, 1]]), 1)
-        joint = joint + joint.T if kind else joint
-        joint /= joint.sum()
-        pair[kind] = np.clip(np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0))), -4, 4)
+        slope = np.stack([np.bincount(x.ravel(), np.repeat(p[:, k], x.shape[1]), size) for k in range(labels)], axis=1)
+        joint = np.zeros_like(pair)
+        for kind in (0, 1):
+            a, b = edges[edges[:, 2] == kind, :2].T
+            np.add.at(joint[kind].T, y[b], p[a])
+            np.add.at(joint[kind], y[a], p[b])
+        joint[1] = (joint[1] + joint[1].T) / 2  # a skip edge has no direction
+        for (value, m, v), g in zip(state, (slope, joint), strict=True):
+            g = g / len(y) + (10 * decay * value if value is pair else decay * (value - start))
+            m[:] = 0.9 * m + 0.1 * g
+            v[:] = 0.999 * v + 0.001 * g * g
+            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Field(w, pair)
 
 
-def train(docs: DataFrame, *, max_training: int = 3000) -> Field:
+def _otherwise_written(kind: int, text: str, rng: random.Random) -> str:
+    """A mention of the same thing in a writing that no pattern takes."""
+    parts = _NUMBERS.findall(text)
+    if kind == 0:
+        return text.replace("@", rng.choice(("[at]", "(at)"))).replace(".", rng.choice((".", "[dot]")))
+    if kind == 1:
+        return rng.choice(("[.]", "(.)", "-", "_")).join(parts)
+    digits = "".join(parts)
+    if kind == 2:
+        return rng.choice((".", "_", "/")).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    own = digits[-10:] if len(digits) > 8 else digits
+    return rng.choice(("({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "{0}{1}{2}", "{1}-{2}")).format(own[:-7], own[-7:-4], own[-4:])
+
+
+def _look_alike(kind: int, text: str, rng: random.Random) -> str:
+    """A number in a similar writing that repeats nothing, or breaks the kind's rule."""
+    if kind == 1:
+        return ".".join(str(rng.choice((rng.randrange(300), rng.randrange(256, 5000)))) for _ in range(rng.choice((2, 3, 4, 4))))
+    digits = "".join(str(rng.randrange(10)) for _ in _NOT_DIGIT.sub("", text))
+    return _otherwise_written(kind, digits, rng) if kind > 1 else digits[:6] or "17"
+
+
+def _another(kind: int, text: str, rng: random.Random) -> str:
+    """Something else of the same kind and writing."""
+    if kind == 1:
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
+    while True:
+        keep = 2 if kind == 3 else 1
+        out = text[:keep] + "".join(str(rng.randrange(10)) if "0" <= c <= "9" else c for c in text[keep:])
+        if kind != 2 or luhn(_NOT_DIGIT.sub("", out)):
+            return out
+
+
+def training_graph(text: str, rng: random.Random) -> tuple[Graph, np.ndarray]:
+    """A text with added mentions and look-alikes as a graph without observations, and its nodes' labels."""
+    spans = pattern_spans(text)
+    added = [(k, _otherwise_written(k, text[a:b], rng)) for k, a, b in spans for _ in range(rng.choice((0, 1, 1, 2)))]
+    added += [(-1, _look_alike(k, text[a:b], rng)) for k, a, b in spans for _ in range(rng.choice((0, 1, 2)))]
+    added += [(k, _another(k, text[a:b], rng)) for k, a, b in spans if rng.random() < 0.5]
+    inside = np.zeros(len(text) + 1, bool)
+    for _, a, b in spans:
+        inside[a:b] = True
+    breaks = [m.start() for m in re.finditer(r"\s", text) if not inside[m.start()]] + [len(text)]
+    pieces: list[str] = []
+    labelled: list[Span] = []
+    moved, upto = 0, 0
+    # old spans and added mentions by the place in the text where they stand
+    beside = [b for _, _, b in spans if b in set(breaks)] or breaks  # where patterns may run on into what follows
+    events = [(a, k, b, "") for k, a, b in spans] + [(rng.choice(breaks if rng.random() < 0.7 else beside), k, 0, mention) for k, mention in added]
+    for place, k, end, mention in sorted(events):
+        if mention:
+            pieces += [text[upto:place], f" {mention}"]
+            upto, moved = place, moved + len(mention) + 1
+            start, end = place + moved - len(mention), place + moved
+        else:
+            start, end = place + moved, end + moved
+        labelled += [(k, start, end)] if k >= 0 else []
+    whole = "".join([*pieces, text[upto:]])
+    truth = np.array(_labels_of(marked_tokens(whole), labelled), np.int64)
+    g = graph([whole], [[s for s in labelled if rng.random() < 0.5]])  # the share whose labels may lead others
+    g.observed[:] = 0
+    return g, truth
+
+
+def train(docs: DataFrame, *, max_training: int = 3000, max_chars: int = 20_000) -> Field:
     """Fit on a bounded sample of the documents that have any token to label."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars))
     total = max(1, rows.count())
     turn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     sample = rows.where(turn < max_training / total * (1 << 20)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            g = graph(texts, [pattern_spans(t) for t in texts])
-            yield pa.record_batch([pa.array([x.astype("<i8").tobytes()]) for x in (g.features, g.observed, g.edges)], names=["features", "observed", "edges"])
+            for text in batch.column("text").to_pylist():
+                g, truth = training_graph(text, random.Random(zlib.crc32(text.encode())))
+                parts = [x.astype("<i4").tobytes() for x in (g.features, g.possible, g.edges, truth)]
+                yield pa.record_batch([pa.array([x]) for x in parts], names=["features", "possible", "edges", "truth"])
 
-    parts = sample.mapInArrow(run, "features binary, observed binary, edges binary").collect()  # of the stated bound
-    none = np.zeros(0, np.int64)
-    return fit([
-        Graph(np.frombuffer(p.features, "<i8").reshape(-1, len(_SIZES)), np.frombuffer(p.observed, "<i8"), np.frombuffer(p.edges, "<i8").reshape(-1, 3), none, none)
-        for p in parts
-    ])
+    none, found = np.zeros(0, np.int64), []
+    for p in sample.mapInArrow(run, "features binary, possible binary, edges binary, truth binary").collect():  # of the stated bound
+        features, possible, edges, truth = (np.frombuffer(x, "<i4").astype(np.int64) for x in (p.features, p.possible, p.edges, p.truth))
+        found.append((features.tobytes(), edges.tobytes(), Graph(features.reshape(-1, len(_SIZES)), possible.reshape(-1, len(KINDS) + 1) > 0, none, edges.reshape(-1, 3), none, none), truth))
+    return fit([(g, t) for _, _, g, t in sorted(found, key=lambda x: x[:2])])  # in an order that partitions do not change
 
 
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def added_spans(g: Graph, p: np.ndarray, texts: list[str], least: float) -> list[list[Span]]:
+    """Spans of tokens outside patterns, by document; neighbours of one label join."""
+    out: list[list[Span]] = [[] for _ in texts]
+    label = np.where(g.observed == 0, p.argmax(axis=1), 0) if len(p) else g.observed
+    label = np.where(p.max(axis=1, initial=0.0) >= least, label, 0)
+    run: list[int] | None = None
+    for node in [*np.flatnonzero(label).tolist(), -1]:
+        if node >= 0:
+            d, k, (a, b) = int(g.doc[node]), int(label[node]) - 1, g.spans[node].tolist()
+            if run and run[:2] == [d, k] and run[4] == node - 1 and a - run[3] <= 3 and len(_NOT_DIGIT.sub("", texts[d][run[2] : b])) <= _MOST_DIGITS[k]:
+                run[3:] = [b, node]
+                continue
+        if run and run[2] < run[3] and keeps_rule(run[1], texts[run[0]][run[2] : run[3]]):
+            out[run[0]].append((run[1], run[2], run[3]))
+        run = [d, k, a, b, node] if node >= 0 else None
+    return out
+
+
 _NAMES = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
 
@@ -284,13 +448,8 @@ def scan(docs: DataFrame, field: Field, *, least: float = 0.5) -> DataFrame:
                     base[i] = pattern_spans(texts[i])
                 spans = list(base)
                 g = graph([texts[i] for i in marked], [base[i] for i in marked])
-                p = own.marginals(g)
-                label = p.argmax(axis=1) if len(p) else g.observed
-                for node in np.flatnonzero((g.observed == 0) & (label > 0)).tolist():
-                    a, b = g.spans[node].tolist()
-                    if p[node, label[node]] >= least and a < b:
-                        i = marked[int(g.doc[node])]
-                        spans[i] = [*spans[i], (int(label[node]) - 1, a, b)]
+                for d, found in enumerate(added_spans(g, own.marginals(g), [texts[i] for i in marked], least)):
+                    spans[marked[d]] = [*spans[marked[d]], *found]
                 counts = np.zeros((len(texts), len(KINDS)), np.int64)
                 for i in marked:
                     for k, _, _ in base[i]:

@@ -129,16 +129,94 @@ def test_personal_data_patterns():
         assert personal_data.pattern_spans(text) == want
 
 
-def test_skip_chain_marginals_are_exact_on_a_tree():
+def exact_marginals(field, g):
+    unary = np.where(g.possible, field.unary[g.features].sum(axis=1), -1e9)
+    weight = np.zeros((5,) * len(unary))
+    for labels in np.ndindex(*weight.shape):
+        weight[labels] = sum(unary[i, x] for i, x in enumerate(labels)) + sum(field.pair[k][labels[a], labels[b]] for a, b, k in g.edges.tolist())
+        if any(o and o != x for o, x in zip(g.observed.tolist(), labels, strict=True)):
+            weight[labels] = -np.inf
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    return np.stack([p.sum(axis=tuple(j for j in range(len(unary)) if j != i)) for i in range(len(unary))])
+
+
+@pytest.mark.parametrize("text", ["17 18 zz zz zz zz zz 17", "+1 555-0100 and much later 555-0100 yes", "12 no no no no 7 no no no no 12"])
+def test_skip_chain_marginals_are_exact_on_a_tree(text):
     rng = np.random.default_rng(0)
     field = personal_data.Field(rng.normal(size=(int(personal_data._OFFSETS[-1]), 5)), rng.normal(size=(2, 5, 5)))
-    g = personal_data.graph(["a1 b2 zz zz zz zz zz a1"], [[]])
-    assert g.edges.tolist() == [[0, 1, 0], [0, 2, 1]]
-    unary = field.unary[g.features].sum(axis=1)
-    p = np.exp(unary[0][:, None, None] + unary[1][None, :, None] + unary[2][None, None, :] + field.pair[0][:, :, None] + field.pair[1][:, None, :])
-    p /= p.sum()
-    got = field.marginals(g, rounds=60)
-    assert np.allclose(got[0], p.sum(axis=(1, 2)), atol=1e-2) and np.allclose(got[2], p.sum(axis=(0, 1)), atol=1e-2)
+    field.pair[1] += field.pair[1].T
+    for known in ([], [(3, 0, 2)]):
+        g = personal_data.graph([text], [known])
+        assert len(g.edges) < len(g.observed) and 1 in g.edges[:, 2]
+        observed = g.observed > 0
+        assert np.allclose(field.marginals(g, rounds=80)[~observed], exact_marginals(field, g)[~observed], atol=2e-2)
+
+
+def test_hubs_reach_every_repeat():
+    text = " x ".join(["555-0100"] * 40) + " +1 (212) 555-0100"
+    g = personal_data.graph([text], [personal_data.pattern_spans(text)])
+    hub = int(np.flatnonzero(g.observed)[-1])
+    assert {a for a, b, k in g.edges.tolist() if b == hub and k} == set(range(40)) and len(g.edges) < 4 * len(g.observed)
+
+
+@pytest.fixture(scope="module")
+def field():
+    table = pytest.importorskip("pyarrow.parquet").read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    texts = [x for x in table if x and len(x) < 20_000 and personal_data.pattern_spans(x)]
+    return personal_data.fit([personal_data.training_graph(x, random.Random(i)) for i, x in enumerate(texts)])
+
+
+def added(field, *texts):
+    g = personal_data.graph(list(texts), [personal_data.pattern_spans(x) for x in texts])
+    return [[(personal_data.KINDS[k], x[a:b]) for k, a, b in s] for s, x in zip(personal_data.added_spans(g, field.marginals(g), list(texts), 0.5), texts, strict=True)]
+
+
+FILL = "the house by the river was old and nobody had lived in it for many years "
+
+
+@pytest.mark.parametrize(
+    ("kind", "first", "other"),
+    [
+        ("phone", "+1 (212) 555-0147", "212-555-0147"), ("phone", "+1 (212) 555-0147", "555-0147"), ("phone", "+1 (212) 555-0147", "212.555.0147"),
+        ("card", "4532015112830366", "4532/0151/1283/0366"), ("card", "4532 0151 1283 0366", "4532_0151_1283_0366"), ("ip", "97.51.17.173", "97[.]51[.]17[.]173"),
+        ("email", "jo.81@mail7.example.com", "jo.81[at]mail7.example.com"),
+    ],
+)
+def test_the_field_finds_repeats_in_other_writings(field, kind, first, other):
+    before, after = f"{FILL}{first} {FILL * 30}{other} {FILL}", f"{FILL}{other} {FILL * 30}{first} {FILL}"
+    assert added(field, before, after) == [[(kind, other)], [(kind, other)]]
+    many = f"{FILL}{first} " + f"{FILL}{other} " * 50
+    assert added(field, many) == [[(kind, other)] * 50]
+
+
+def test_the_field_adds_nothing_to_other_numbers(field):
+    texts = (
+        "Version 300.10.0.1 and build 10.0.0.999 and 1.2.3.4567", f"{FILL}+1 (212) 555-0147 {FILL}order 313-555-9921 {FILL}", "Licensed under CC BY-NC 4.0 of 2024-01-15 at 10:30:05",
+        f"{FILL}97.51.17.173 {FILL} release 97.51.17 and 97.51.17.1733 {FILL}", "token = \"908038b7daaf91e730d2f64001c52934d43d9336\" and 9807915762804490",
+    )
+    assert added(field, *texts) == [[]] * len(texts)
+
+
+def test_the_field_finds_what_a_greedy_pattern_runs_past(field):
+    assert added(field, f"{FILL}+1 (826) 555-4081 190.137.223.204 {FILL}") == [[("phone", "+1 (826) 555-4081")]]
+
+
+def test_op4_base_by_brute_force(spark, sf_dir, documents):
+    got = queries.op4_personal_data(spark, sf_dir).toPandas().set_index("doc_id")
+    for i, text in zip(documents.doc_id, documents.text, strict=True):
+        want = []
+        for k, p in enumerate(PII):
+            for m in re.finditer(p, text or ""):
+                d = re.sub("[^0-9]", "", m[0])
+                if (True, k == 1 and all(int(x) <= 255 for x in m[0].split(".")), 16 <= len(d) <= 19 and personal_data.luhn(d), 8 <= len(d) <= 15)[k]:
+                    want.append((k, m.start(), m.end()))
+        r = got.loc[i]
+        joined = [f"{personal_data.KINDS[k]}:{a}:{b}" for k, a, b in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in personal_data.KINDS] == [sum(x[0] == j for x in want) for j in range(4)]
+        spans = r.spans.split(",") if r.spans else []
+        assert len(spans) == len(want) + r.n_added and set(joined) <= set(spans)
 
 
 SECRETS = (
