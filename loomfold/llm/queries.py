@@ -90,32 +90,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-
 def _secret_spans_sql(place: int, pattern: str, value: str = "found", extra: str = "true") -> str:
-    """Spans of a pattern: the pieces between matches give the places."""
+    """Spans of a pattern: the pieces and matches before a match give its place."""
     p = "'" + pattern.replace("'", "''") + "'"
-    before = "coalesce(list_sum(list_transform(pieces[1:j], lambda s: length(s))), 0) + coalesce(list_sum(list_transform(m[1:j - 1], lambda s: length(s))), 0)"
     return f"""SELECT row, {place} AS place, st AS a, st + length(found) AS b, {value.format(p=p)} AS v FROM (
-  SELECT row, CAST({before} AS INTEGER) AS st, m[j] AS found FROM (
-    SELECT row, m, pieces, unnest(range(1, len(m) + 1)) AS j FROM (
-      SELECT row, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS pieces FROM d) WHERE len(m) > 0)) WHERE length({value.format(p=p)}) >= 8 AND {extra}"""
+  SELECT row, found, CAST(sum(length(piece) + length(found)) OVER (PARTITION BY row ORDER BY j) - length(found) AS INTEGER) AS st FROM (
+    SELECT row, unnest(m) AS found, unnest(pieces[1:len(m)]) AS piece, unnest(range(1, len(m) + 1)) AS j FROM (
+      SELECT row, regexp_extract_all(t, {p}) AS m, string_split_regex(t, {p}) AS pieces FROM d))) WHERE length({value.format(p=p)}) >= 8 AND {extra}"""
 
 
+_ENDS = f"'{secret_scan.ENDS}'"
+_PIECES_SQL = " UNION ".join(
+    f"SELECT row, place, a + CAST(length(v) - length(ltrim(v, {_ENDS})) AS INTEGER) AS a, b - CAST(length(v) - length(rtrim(v, {_ENDS})) AS INTEGER) AS b, trim(v, {_ENDS}) AS v FROM ("
+    + _secret_spans_sql(3, f"[0-9{alphabet}]{{8,}}", extra="regexp_matches(found, '[0-9]')")
+    + f") WHERE length(trim(v, {_ENDS})) >= 8"
+    for alphabet, _ in secret_scan.ALPHABETS
+)
 _SECRETS_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS repository, split_part(coalesce(source, ''), '/', 1) AS owner, coalesce(text, '') AS t FROM documents),
 base AS ({_secret_spans_sql(0, secret_scan.ASSIGN, "regexp_extract(found, {p}, 2)")} UNION ALL {_secret_spans_sql(1, secret_scan.ACCESS)} UNION ALL {_secret_spans_sql(2, secret_scan.HEX)}),
-owners AS (SELECT v, count(DISTINCT owner) AS n FROM base JOIN d USING (row) GROUP BY v),
-live AS (SELECT v FROM owners WHERE n <= 2 AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(lower(v), 'example|sample|placeholder|changeme|xxxx')
+owned AS (SELECT w, min(v) AS v, n_o <= 2 AND n_r <= 20 * n_o AS few FROM (
+  SELECT w, v, count(DISTINCT owner) OVER (PARTITION BY w) AS n_o, count(DISTINCT (owner, repository)) OVER (PARTITION BY w) AS n_r FROM (SELECT *, trim(v, {_ENDS}) AS w FROM base) JOIN d USING (row)) GROUP BY w, n_o, n_r),
+live AS (SELECT w FROM owned WHERE few AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(lower(v), 'example|sample|placeholder|changeme|xxxx')
   AND len(list_filter(range(1, length(v) - 4), lambda i: lower(substr(v, i, 6)) = repeat(lower(substr(v, i, 1)), 6))) = 0),
-tokens AS ({_secret_spans_sql(3, secret_scan.TOKEN, extra="regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]')")}),
-added AS (SELECT t.* FROM tokens t WHERE t.v IN (SELECT v FROM live) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = t.row AND b.a < t.b AND t.a < b.b)),
-spans AS (SELECT *, ['assign', 'access', 'hex', 'value'][place + 1] || ':' || a || ':' || b AS s, v IN (SELECT v FROM live) AS is_live FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
+pieces AS ({_PIECES_SQL}),
+bare AS (SELECT DISTINCT t.* FROM pieces t WHERE t.v IN (SELECT w FROM live) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = t.row AND b.a < t.b AND t.a < b.b)),
+added AS (SELECT t.* FROM bare t WHERE NOT EXISTS (SELECT 1 FROM bare o WHERE o.row = t.row AND o.a <= t.a AND t.b <= o.b AND o.b - o.a > t.b - t.a)),
+spans AS (SELECT *, ['assign', 'access', 'hex', 'value'][place + 1] || ':' || a || ':' || b AS s, trim(v, {_ENDS}) IN (SELECT w FROM live) AS is_live, trim(v, {_ENDS}) IN (SELECT w FROM owned WHERE NOT few) AS is_copied
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
 joined AS (
   SELECT row, count(*) FILTER (WHERE place = 0) AS n0, count(*) FILTER (WHERE place = 1) AS n1, count(*) FILTER (WHERE place = 2) AS n2,
-    string_agg(s, ',' ORDER BY a, place, b) FILTER (WHERE place < 3) AS base, string_agg(s, ',' ORDER BY a, place, b) AS spans, string_agg(s, ',' ORDER BY a, place, b) FILTER (WHERE is_live) AS live
+    string_agg(s, ',' ORDER BY a, place, b) FILTER (WHERE place < 3) AS base, string_agg(s, ',' ORDER BY a, place, b) AS spans, string_agg(s, ',' ORDER BY a, place, b) FILTER (WHERE is_live) AS live,
+    string_agg(s, ',' ORDER BY a, place, b) FILTER (WHERE is_copied) AS copied
   FROM spans GROUP BY row)
 SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(live, '') AS live FROM d LEFT JOIN joined USING (row)
+  coalesce(spans, '') AS spans, coalesce(live, '') AS live, coalesce(copied, '') AS copied FROM d LEFT JOIN joined USING (row)
 """
 
 ORACLES: dict[str, str] = {

@@ -249,6 +249,45 @@ def test_bare_copies_of_live_secrets_are_added(spark):
     assert got[2].spans == "value:4:24" and got[1].live == "assign:0:26" and got[30].spans == "" and got[10].live == ""
 
 
+def scanned(spark, rows, **options):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t, r) for i, (t, r) in enumerate(rows)], "doc_id bigint, text string, source string")
+    found = secret_scan.scan(docs, repository=F.col("source"), owner=F.split("source", "/")[0], **options)
+    return [found.where(f"doc_id = {i}").first() for i in range(len(rows))]
+
+
+def test_bare_values_are_found_short_dotted_and_glued(spark):
+    dotted = "ab12.cd34-secretvalue99"
+    rows = [("password=hunter42x and", "a/r"), (f'secret: "{dotted}"', "b/r"), ("I typed hunter42x. Then", "c/r"), (f"HOST={dotted} x", "c/s"), ("a/hunter42x/b?k=hunter42x", "d/r"), ("hunter42xyz 2hunter42x", "d/r")]
+    got = scanned(spark, rows)
+    assert [r.spans for r in got] == ["assign:0:18", f"assign:0:{9 + len(dotted)}", "value:8:17", f"value:5:{5 + len(dotted)}", "value:2:11,value:16:25", ""]
+
+
+def test_ownership_counts_owners_and_repositories(spark):
+    forks = [("token=forkedkey12345", f"one/r{i}") for i in range(4)]
+    copies = [("token=copiedkey12345", f"o{i}/r") for i in range(4)]
+    bare = [("copiedkey12345 forkedkey12345", "z/z")]
+    *_, last = scanned(spark, forks + copies + bare, most_repositories=5)
+    assert last.spans == last.live == "value:15:29"
+    got = scanned(spark, forks + copies + bare, most_repositories=3)
+    assert got[-1].spans == "" and all(r.copied == "assign:0:20" and r.live == "" for r in got[:-1])
+
+
+def test_secret_scan_is_linear_in_a_text(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"token=v{i:07d} w{i:07d}x" for i in range(n))
+        began = time.time()
+        (r,) = scanned(spark, [(text, "a/b")])
+        assert r.n_assign == n and r.spans.startswith("assign:0:14,assign:25:39")
+        return time.time() - began
+
+    took(100)
+    assert took(16_000) < 10 + 6 * took(4_000)
+
+
 def test_language_accuracy(spark, sf_dir, documents):
     got = queries.op5_language_id(spark, sf_dir).where("held_out").toPandas().merge(documents[["doc_id", "lang"]], on="doc_id")
     assert (got.lang_pred == got.lang).mean() > 0.95
