@@ -2,24 +2,36 @@
 
 1. Documents with equal shingle sets collapse to a class with one signature.
 2. Signatures are cut into bands; classes that share a band's value share a
-   bucket. Every class is first verified against the smallest class among all
-   its buckets, which settles most groups with one pair for each class.
-3. Buckets that still hold several components are compared inside, in blocks of
-   bounded size, signature batch after signature batch: a pair is dropped once
-   the posterior probability that its similarity reaches the threshold is below
-   ``miss``. Each class puts forward its likeliest partner of another component;
-   these pairs are verified.
+   bucket. A pair is compared signature batch after signature batch, and dropped
+   once the posterior probability that its similarity reaches the threshold is
+   below ``miss``; survivors are verified on their full sets. Every class first
+   meets the smallest class among all its buckets, which settles most groups with
+   one pair for each class.
+3. Buckets that still hold several components are compared inside, block by block.
+   Each class puts forward its likeliest partner of another component; these pairs
+   are verified.
 4. In buckets that are still mixed, all pairs between components that the
    signatures leave possible are verified, block by block with the sets at hand,
-   likeliest first, but for those that a confirmed link has joined meanwhile.
-
-Verification takes the full shingle sets, and no step emits more than a few rows
-for each class and bucket, so groups of any size cost no quadratic output.
-
-Nulls and texts without words have no shingles and link with nothing. Rows with
-the same doc_id are one node, which links by each of their texts: classes have
-numbers of their own, in order of the smallest doc_id. Rows with a null doc_id are returned unlinked,
-with a null component, kept. An empty table gives no rows.
+   but for those that a confirmed link has joined meanwhile.
+
+Classes of mixed buckets with over BLOCK classes are first counted for shingles
+that no other of them has. These can be in no intersection, which bounds a class's
+similarity to all others, exactly; so classes that share boilerplate only leave
+their buckets before any pair is made.
+
+A bucket of n classes is cut into at most MOST_BLOCKS blocks (more where a block
+would pass BLOCK_ROWS rows or BLOCK_BYTES), and each class is sent once for each
+block: up to MOST_BLOCKS * BLOCK_ROWS classes that is a constant number of rows for
+each class and bucket. Comparisons inside remain quadratic where classes are many,
+alike below the threshold and without shingles of their own.
+
+Nulls and texts without words have no shingles and link with nothing. Very long
+texts are read whole; their sets make smaller blocks. Rows with the same doc_id are
+one node, which links by each of their texts: classes have numbers of their own, in
+order of the smallest doc_id. Repeated rows get equal results, ties go to the
+smaller number, rows with a null doc_id are returned unlinked, with a null
+component, kept. An empty table gives no rows. Only doc_id and text are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,8 +55,10 @@ HASHES = BANDS * WIDTH
 BATCH = 16
 #: Columns that name a class.
 KEY = ["key1", "key2", "n_shingles"]
-#: Rows of one block of a bucket.
-BLOCK = 512
+#: Rows of one block of a bucket where that makes no more than MOST_BLOCKS.
+BLOCK, MOST_BLOCKS = 512, 8
+#: Rows and bytes of a block, about, at most.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 25
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -99,14 +113,30 @@ def _sets(size: int):
     return run
 
 
-def _confirmed(percent: int):
+def _possible(x: np.ndarray, y: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of signatures, row by row, that no look at the posterior drops, and their matches."""
+    at, matches, seen = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    for upto, least in needed:
+        matches = matches + (x[at, seen:upto] == y[at, seen:upto]).sum(axis=1)
+        keep = matches >= least
+        at, matches, seen = at[keep], matches[keep], upto
+    return at, matches
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _confirmed(percent: int, miss: float):
+    """Pairs that their signatures leave possible and their sets confirm."""
+    needed = least_matches(percent / 100, miss)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(_jaccard_at_least(x, y, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            at, _ = _possible(_signatures_of(batch.column("sig_a")), _signatures_of(batch.column("sig_b")), needed)
+            a, b = batch.column("set_a"), batch.column("set_b")
+            keep = [i for i in at.tolist() if _jaccard_at_least(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64), percent)]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -133,62 +163,74 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pending
 
 
-def _survivors(batch: pa.RecordBatch, threshold: float, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of pairs within groups, of different components, that stay possible, and their matches."""
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _survivors(batch: pa.RecordBatch, percent: int, needed: list[tuple[int, int]], root: np.ndarray | None = None) -> Iterator[Pairs]:
+    """Rows of pairs within groups, of different components, that stay possible, and their matches.
+
+    ``root``, changed between steps, joins components further on.
+    """
     bucket, i, j, side, component, size = (batch.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "component", "n_shingles"))
-    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    common = batch.column("common").to_numpy()
+    sig = _signatures_of(batch.column("sig"))
     n = len(batch)
+    root = component if root is None else root
     new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
     end = np.repeat(np.append(new[1:], n), np.diff(np.append(new, n)))
     partners = end - np.arange(n) - 1
     upto = np.concatenate([[0], np.cumsum(partners)])
-    out, start = [], 0
+    start = 0
     while start < n:
         stop = max(start + 1, int(np.searchsorted(upto, upto[start] + _PAIRS, "right")) - 1)
         rows = np.arange(start, stop)
         left = np.repeat(rows, partners[start:stop])
         right = left + 1 + np.arange(len(left)) - (upto[left] - upto[start])
+        start = stop
         a, b = size[left], size[right]
-        fits = (component[left] != component[right]) & ((i[left] == j[left]) | (side[left] != side[right])) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
+        most = np.minimum(np.minimum(a, b), np.minimum(common[left], common[right]))
+        fits = (root[left] != root[right]) & ((i[left] == j[left]) | (side[left] != side[right])) & ((100 + percent) * most >= percent * (a + b))
         left, right = left[fits], right[fits]
-        matches, seen = np.zeros(len(left), np.int64), 0
-        for upto_hash, least in needed:
-            matches = matches + (sig[left, seen:upto_hash] == sig[right, seen:upto_hash]).sum(axis=1)
-            keep = matches >= least
-            left, right, matches, seen = left[keep], right[keep], matches[keep], upto_hash
-        out.append((left, right, matches))
-        start = stop
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        at, matches = _possible(sig[left], sig[right], needed)
+        if len(at):
+            yield left[at], right[at], matches
 
 
-def _likeliest(threshold: float, miss: float):
+def _likeliest(percent: int, miss: float):
     """For each row the partner with most matches."""
-    needed = least_matches(threshold, miss)
+    needed = least_matches(percent / 100, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            left, right, matches = _survivors(batch, threshold, needed)
             rep = batch.column("rep").to_numpy()
-            one, other, m = np.concatenate([rep[left], rep[right]]), np.concatenate([rep[right], rep[left]]), np.concatenate([matches, matches])
-            order = np.lexsort((other, -m, one))
-            one, other, m = one[order], other[order], m[order]
-            best = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(x[best]) for x in (one, m, other)], names=["rep", "matches", "other"])
+            best = np.full(len(rep), -1, np.int64)  # matches, then the smaller partner
+            partner = np.zeros(len(rep), np.int64)
+            for left, right, matches in _survivors(batch, percent, needed):
+                one, other, m = np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([matches, matches])
+                order = np.lexsort((rep[other], -m, one))
+                first = order[np.append(True, one[order][1:] != one[order][:-1])]
+                one, other, m = one[first], rep[other[first]], m[first]
+                better = (m > best[one]) | ((m == best[one]) & (other < partner[one]))
+                best[one[better]], partner[one[better]] = m[better], other[better]
+            at = np.flatnonzero(best >= 0)
+            yield pa.record_batch([pa.array(x[at]) for x in (rep, best, partner)], names=["rep", "matches", "other"])
 
     return run
 
 
-_OPEN = ["bucket", "i", "j", "side", "rep", "n_shingles", "component", "sig"]
+_OPEN = ["bucket", "i", "j", "side", "rep", "n_shingles", "common", "component", "sig"]
 
 
-def _open_rows(threshold: float, miss: float):
+def _open_rows(percent: int, miss: float):
     """Rows that have possible partners in another component."""
-    needed = least_matches(threshold, miss)
+    needed = least_matches(percent / 100, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            left, right, _ = _survivors(batch, threshold, needed)
-            yield batch.select(_OPEN).take(pa.array(np.union1d(left, right)))
+            is_open = np.zeros(len(batch), bool)
+            for left, right, _ in _survivors(batch, percent, needed):
+                is_open[left] = is_open[right] = True
+            yield batch.select(_OPEN).take(pa.array(np.flatnonzero(is_open)))
 
     return run
 
@@ -198,34 +240,71 @@ def _jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def overlaps(values: np.ndarray, firsts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets, all of the pairs of one left set at once."""
+    lefts, rights = np.unique(left), np.unique(right)
+    sets = [values[firsts[x] : firsts[x + 1]] for x in lefts]
+    union = np.unique(np.concatenate(sets))
+    sizes = firsts[rights + 1] - firsts[rights]
+    starts = np.cumsum(sizes) - sizes
+    h = values[np.repeat(firsts[rights] - starts, sizes) + np.arange(sizes.sum())]
+    place = np.minimum(np.searchsorted(union, h), max(0, len(union) - 1))
+    hit = union[place] == h
+    place = place[hit]
+    upto = np.concatenate([[0], np.cumsum(hit)])[np.append(starts, sizes.sum())]
+    out, of = np.zeros(len(left), np.int64), np.searchsorted(rights, right)
+    order = np.argsort(left, kind="stable")
+    for own, at in zip(sets, np.split(order, np.searchsorted(left[order], lefts[1:])), strict=True):
+        flag = np.zeros(len(union), np.int64)
+        flag[np.searchsorted(union, own)] = 1
+        sums = np.concatenate([[0], np.cumsum(flag[place])])
+        out[at] = (sums[upto[1:]] - sums[upto[:-1]])[of[at]]
+    return out
+
+
 def _settled(percent: int, miss: float):
     """Links that join the components of a pair of blocks, at most one fewer than its rows."""
     needed = least_matches(percent / 100, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            left, right, matches = _survivors(batch, percent / 100, needed)
-            rep, component, bucket = (batch.column(c).to_numpy() for c in ("rep", "component", "bucket"))
-            held = batch.column("held")
-            root: dict[tuple[int, int], tuple[int, int]] = {}
-
-            def find(c: tuple[int, int]) -> tuple[int, int]:
-                while root.get(c, c) != c:
-                    c = root[c]  # noqa: B023
-                return c
-
+            rep, size = batch.column("rep").to_numpy(), batch.column("n_shingles").to_numpy()
+            held = batch.column("held").cast(pa.large_binary())
+            firsts = np.concatenate([[0], np.cumsum(size)])
+            values = np.frombuffer(b"".join(held.to_pylist()), np.uint64)
+            # components apart for each group, as numbers from 0
+            key = [batch.column(c).to_numpy() for c in ("bucket", "i", "j", "component")]
+            root = np.unique(np.stack(key, axis=1), axis=0, return_inverse=True)[1].ravel()
             found = []
-            for k in np.argsort(-matches, kind="stable").tolist():
-                x, y = int(left[k]), int(right[k])
-                p, q = find((int(bucket[x]), int(component[x]))), find((int(bucket[x]), int(component[y])))
-                if p != q and _jaccard_at_least(*(np.frombuffer(held[r].as_buffer(), np.uint64) for r in (x, y)), percent):
-                    root[max(p, q)] = min(p, q)
-                    found.append((int(rep[x]), int(rep[y])))
+            for left, right, _ in _survivors(batch, percent, needed, root):
+                both = overlaps(values, firsts, left, right)
+                linked = np.flatnonzero(100 * both >= percent * (size[left] + size[right] - both))
+                for x, y in zip(left[linked].tolist(), right[linked].tolist(), strict=True):
+                    if root[x] != root[y]:
+                        root[root == root[y]] = root[x]
+                        found.append((int(rep[x]), int(rep[y])))
             yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each class."""
+    for batch in batches:
+        for part in slices(batch, "held", 1 << 22):
+            sets = part.column("held").to_pylist()
+            h = np.frombuffer(b"".join(sets), np.int64)
+            yield pa.record_batch([pa.array(np.repeat(part.column("rep").to_numpy(), [len(x) // 8 for x in sets])), pa.array(h)], names=["rep", "h"])
+
+
+def without_own_shingles(rows: DataFrame, held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rep, common): how many shingles of each class of ``rows`` any other of them has."""
+    members = rows.select("rep").distinct()
+    each = held.select("rep", "held").join(members, "rep", "left_semi").mapInArrow(_exploded, "rep bigint, h bigint")
+    own = each.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    return members.join(sizes, "rep").join(own, "rep", "left").select("rep", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -233,7 +312,6 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     similarity of at least ``percent`` / 100; a component is all that links
     reach, its id the smallest doc_id in it.
     """
-    threshold = percent / 100
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(_signed(size), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, sig binary"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
@@ -244,10 +322,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     banded = by_rep.select("rep", "sig").mapInArrow(_banded, "rep bigint, bucket bigint")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
     shared = materialize(banded.join(buckets, "bucket"), "buckets")
-    involved = classes.select("doc_id", *KEY, "rep").join(shared.select("rep").distinct(), "rep", "left_semi")
+    involved = classes.select("doc_id", *KEY, "rep", "sig").join(shared.select("rep").distinct(), "rep", "left_semi")
     held = texts.join(involved.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, key1 bigint, key2 bigint, held binary")
     held = held.groupBy("doc_id", *KEY).agg(F.first("held").alias("held"))
-    held = materialize(held.join(involved, ["doc_id", *KEY]).select("rep", "held"), "sets")
+    held = materialize(held.join(involved, ["doc_id", *KEY]).select("rep", "held", "sig"), "sets")
 
     same_id = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
     same_id = some.join(same_id, "doc_id").select("doc_id", *KEY).distinct().join(classes.select(*KEY, "rep"), KEY)
@@ -257,20 +335,26 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     spent = [shared, held, several]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(held.select(F.col("rep").alias("b"), F.col("held").alias("set_b")), "b")
-        joined = joined.join(held.select(F.col("rep").alias("a"), F.col("held").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-        spent.append(materialize(joined.mapInArrow(_confirmed(percent), "a bigint, b bigint"), "links"))
+        joined = pairs.join(held.select(F.col("rep").alias("b"), F.col("held").alias("set_b"), F.col("sig").alias("sig_b")), "b")
+        joined = joined.join(held.select(F.col("rep").alias("a"), F.col("held").alias("set_a"), F.col("sig").alias("sig_a")), "a").select("a", "b", "set_a", "set_b", "sig_a", "sig_b")
+        spent.append(materialize(joined.mapInArrow(_confirmed(percent, miss), "a bigint, b bigint"), "links"))
         return spent[-1]
 
-    def mixed_blocks(state: DataFrame) -> DataFrame:
-        """Rows of the buckets with several components, once for each pair of blocks they stand in."""
-        labelled = shared.select("bucket", "n", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")
+    def mixed_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
+        """Rows of the buckets with several components."""
+        labelled = rows.drop("component").join(state.withColumnRenamed("node", "rep"), "rep", "left")
         labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
         mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        rows = labelled.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        return labelled.join(mixed, "bucket")
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """Rows once for each pair of blocks they stand in."""
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("own_rows"), F.sum(F.col("n_shingles") * 8 + 4 * HASHES).alias("own_bytes"))
+        blocks = F.greatest(F.least(F.ceil(F.col("own_rows") / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(F.col("own_rows") / BLOCK_ROWS), F.ceil(F.col("own_bytes") / BLOCK_BYTES))
+        rows = rows.join(sizes.select("bucket", blocks.cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        return rows.join(by_rep, "rep")
+        rows = rows.select("bucket", "rep", "n_shingles", "common", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        return rows.join(by_rep.select("rep", "sig"), "rep")
 
     def by_group(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -279,17 +363,26 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     links = verified(first).union(same_id)
     state = connected_components(links)
 
-    likeliest = by_group(mixed_blocks(state)).mapInArrow(_likeliest(threshold, miss), "rep bigint, matches bigint, other bigint")
+    sizes = by_rep.select("rep", "n_shingles")
+    mixed = materialize(mixed_rows(shared.select("bucket", "n", "rep").join(sizes, "rep"), state), "mixed")
+    large = mixed.where(F.col("n") > BLOCK)
+    common = materialize(without_own_shingles(large, held, sizes), "common")
+    # percent times the size of the largest class that can be near, were all common shingles in it
+    bounded = mixed.join(common, "rep", "left").withColumn("common", F.coalesce("common", "n_shingles"))
+    bounded = bounded.withColumn("reach", (100 + percent) * F.col("common") - percent * F.col("n_shingles")).where(100 * F.col("reach") >= percent * percent * F.col("n_shingles"))
+    least = bounded.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
+    bounded = materialize(bounded.join(least, "bucket").where(F.col("reach") >= percent * F.col("least")).drop("reach", "least", "n"), "bounded")
+    likeliest = by_group(in_blocks(bounded)).mapInArrow(_likeliest(percent, miss), "rep bigint, matches bigint, other bigint")
     likeliest = likeliest.groupBy("rep").agg(F.max(F.struct("matches", (-F.col("other")).alias("other"))).alias("best")).select(F.least("rep", -F.col("best.other")).alias("a"), F.greatest("rep", -F.col("best.other")).alias("b"))
     pairs = materialize(likeliest.distinct(), "pairs")
     links = links.union(verified(pairs))
-    spent += [pairs, state]
+    spent += [pairs, state, mixed, common, bounded]
     state = connected_components(links)
 
-    schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, component bigint, sig binary"
-    left = materialize(by_group(mixed_blocks(state)).mapInArrow(_open_rows(threshold, miss), schema), "open")
+    schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, common bigint, component bigint, sig binary"
+    left = materialize(by_group(in_blocks(mixed_rows(bounded, state))).mapInArrow(_open_rows(percent, miss), schema), "open")
     if not left.isEmpty():
-        settled = by_group(left.join(held, "rep")).mapInArrow(_settled(percent, miss), "a bigint, b bigint")
+        settled = by_group(left.join(held.select("rep", "held"), "rep")).mapInArrow(_settled(percent, miss), "a bigint, b bigint")
         settled = materialize(settled, "links")
         spent += [settled, state]
         state = connected_components(links.union(settled))
