@@ -1,15 +1,20 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other training documents,
-marked or not, are the unlabelled set. A linear classifier over hashed words
+Confirmed toxic documents are the positives; the unlabelled set is drawn from all
+training documents, marked or not, toxic ones included, so that it has the prior's
+share of positives, as the risk asks. A linear classifier over hashed words
 minimises the class-prior-corrected risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the sigmoid loss;
 where the bracket turns negative, the step goes the other way.
 
 The classifier is fitted on a bounded sample of training rows (about
-``max_positive`` and ``max_unlabelled`` documents, chosen by a hash of their id); the class
-prior is a statistic of all training labels. Scoring covers all whole texts.
-Null and empty texts have no words and get the score of the intercept.
+``max_positive`` and ``max_unlabelled`` documents of at most ``max_chars``, chosen by
+a hash of their id); the class prior is the share of toxic ones among all training
+documents that are marked. Scoring covers all whole texts, very long ones too.
+Null and empty texts have no words and get the score of the intercept; repeated
+rows and rows with null ids are scored by their own text; at a score of 0.5 a text
+is predicted toxic. An empty table gives no rows. Of the tables only doc_id, text
+and toxic are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -58,6 +63,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("positive"), lists], names=["positive", "cells"])
 
 
+def risk_and_slope(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores, and the direction to step against by score.
+
+    Where the corrected negative risk is below 0, that part alone is raised.
+    """
+    share = np.where(positive, 1 / max(1, positive.sum()), 1 / max(1, (~positive).sum()))
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # the loss of calling a row negative; 1 - p: positive
+    slope = share * p * (1 - p)
+    negative = (share * p)[~positive].sum() - prior * (share * p)[positive].sum()
+    risk = prior * (share * (1 - p))[positive].sum() + max(0.0, negative)
+    return risk, np.where(positive, -2 * prior * slope, slope) if negative >= 0 else np.where(positive, prior * slope, -slope)
+
+
 def fit_nnpu(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, least_df: int = 3, least_z: float = 5.0
 ) -> Model:
@@ -81,16 +99,9 @@ def fit_nnpu(
     w = np.zeros(len(used) + 1)
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    share = np.where(is_p, 1 / n_p, 1 / n_u)
     for t in range(1, rounds + 1):
         z = np.bincount(of, w[cells], len(rows)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        slope = p * (1 - p)  # of the loss sigmoid(z) of calling a row positive
-        negative_risk = (share * p)[~is_p].sum() - prior * (share * p)[is_p].sum()
-        if negative_risk >= 0:
-            g = np.where(is_p, -2 * prior * share * slope, share * slope)
-        else:
-            g = np.where(is_p, prior * share * slope, -share * slope)
+        _, g = risk_and_slope(z, is_p, prior)
         grad = np.append(np.bincount(cells, g[of], len(used)), g.sum())
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -100,7 +111,7 @@ def fit_nnpu(
     return Model(weights, float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, training: F.Column, *, max_positive: int = 4000, max_unlabelled: int = 12000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, training: F.Column, *, max_positive: int = 4000, max_unlabelled: int = 12000, max_chars: int = 50_000) -> Model:
     """Fit on rows of ``docs`` where ``training`` (over ``doc_id``) holds.
 
     ``labels`` has doc_id and toxic; null and repeated labels are allowed (a
@@ -112,18 +123,22 @@ def train(docs: DataFrame, labels: DataFrame, training: F.Column, *, max_positiv
     marked, toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0))).first()
     if not toxic:
         return Model(np.zeros(1 << _BITS), -30.0)
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").where(training)
-    others = max(1, ids.count() - toxic)
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
-    ids = ids.join(marks, "doc_id", "left").select("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"))
-    shares = F.when(F.col("positive"), max_positive / toxic).otherwise(max_unlabelled / others)
-    sample = F.broadcast(ids.where(turn < shares * (1 << 20)).distinct())  # of the stated bound
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("positive", "text")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(F.col("doc_id").isNotNull() & (F.length(F.col("text").cast("string")) <= max_chars)).where(training)
+    every = max(1, ids.count())
+
+    def drawn(share: float, of: str) -> F.Column:
+        return F.pmod(F.xxhash64("doc_id", F.lit(of)), F.lit(1 << 20)) < share * (1 << 20)
+
+    positives = marks.where("positive").where(drawn(max_positive / toxic, "sample")).select("doc_id", F.lit(True).alias("positive"))
+    unlabelled = ids.where(drawn(max_unlabelled / every, "unlabelled")).select("doc_id", F.lit(False).alias("positive")).distinct()
+    sample = F.broadcast(positives.union(unlabelled))  # of the stated bounds
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    rows = texts.join(sample, "doc_id").select("positive", "text")
     table = rows.mapInArrow(_featured, "positive boolean, cells array<int>").toArrow()
     sides: tuple[list, list] = ([], [])
     for flag, cells in zip(table.column("positive").to_pylist(), (x.values.to_numpy() for chunk in table.column("cells").chunks for x in chunk), strict=True):
         sides[not flag].append(cells.astype(np.int64))
-    return fit_nnpu(*sides, prior=min(0.5, toxic / marked))
+    return fit_nnpu(*sides, prior=toxic / marked)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
