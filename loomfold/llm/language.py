@@ -1,25 +1,29 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
-Every language has a Bloom filter of its characteristic byte n-grams. The
+Every language has a Bloom filter of the byte n-grams of its training texts. The
 filters share their hash functions and are stored bit-sliced: one row for each
 bit position, one bit of that row for each language. Looking up an n-gram and
 ANDing its rows returns the bitmask of all languages that contain it. The hits
 of a document are counted for each language, corrected for the filter's rate of
 false positives, and the largest corrected count decides.
 
-A filter holds at most ``per_language`` n-grams: those most frequent in the
-language's training texts that are also ``lead`` times as frequent there as on
-average over the languages. Training uses a bounded sample of about
-``max_training`` documents for each language, chosen by a hash of their id.
+A filter holds every n-gram seen in the language's training texts, up to the size
+it is made for: of more than ``per_language`` the most frequent ones, and ``left_out``
+says what share of the language's n-gram occurrences the rest have. Training uses a
+bounded sample of about ``max_training`` documents for each language, chosen by a
+hash of their id.
 
 Texts that are null or have no letter are ``und`` with score 0; so is every
-text if nothing could be learned. Ties go to the first language by name.
+text if nothing could be learned. Ties go to the first language by name. Whole
+texts are read, however long; rows are judged alone, so repeated rows and null ids
+change nothing. An empty table gives no rows. Of the table only doc_id, lang and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from .textio import BASE, LOWER, mix, segment_sums, slices, utf8
 UNKNOWN = "und"
 N = 4
 _HASHES = 3
-_ROWS = 1 << 20
+_ROWS = 1 << 21
 #: Runs of these bytes count as one blank.
 _BLANK = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _FOLDED = np.where(_BLANK, 32, LOWER).astype(np.uint8)
@@ -73,7 +77,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _places(hashes: np.ndarray) -> Iterator[np.ndarray]:
     for k in range(_HASHES):
-        yield (hashes >> np.uint64(20 * k)).astype(np.int64) & (_ROWS - 1)
+        yield (hashes >> np.uint64(21 * k)).astype(np.int64) & (_ROWS - 1)
 
 
 @dataclass
@@ -82,15 +86,16 @@ class Filters:
 
     languages: list[str]
     slices: np.ndarray
+    left_out: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, members: dict[str, np.ndarray]) -> Filters:
+    def build(cls, members: dict[str, np.ndarray], left_out: dict[str, float] | None = None) -> Filters:
         languages = sorted(members)
         table = np.zeros((_ROWS, max(1, -(-len(languages) // 64))), np.uint64)
         for i, name in enumerate(languages):
             for place in _places(members[name].astype(np.uint64)):
                 table[place, i // 64] |= np.uint64(1 << (i % 64))
-        return cls(languages, table)
+        return cls(languages, table, left_out or {})
 
     def false_positive_rates(self) -> np.ndarray:
         fill = [((self.slices[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.languages))]
@@ -144,7 +149,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([lang.dictionary.take(pa.array(of[at])), pa.array(hashes[at].view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, training: F.Column, *, max_training: int = 3000, per_language: int = 20000, lead: float = 1.5) -> Filters:
+def learn(docs: DataFrame, training: F.Column, *, max_training: int = 3000, per_language: int = 1 << 17) -> Filters:
     """Fit filters on rows of ``docs`` where ``training`` (over ``doc_id``) holds and lang is not null."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(training)
@@ -152,13 +157,11 @@ def learn(docs: DataFrame, training: F.Column, *, max_training: int = 3000, per_
     turn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     sample = rows.join(F.broadcast(sizes), "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    n_languages = F.lit(float(max(1, sizes.count())))
-    share = share.withColumn("typical", F.sum("share").over(Window.partitionBy("gram")) / n_languages)
-    chosen = share.where((F.col("n") >= 3) & (F.col("share") >= F.least(F.lit(lead), 0.99 * n_languages) * F.col("typical")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    table = chosen.withColumn("place", place).where(F.col("place") <= per_language).select("lang", "gram").toArrow().to_pandas()
-    return Filters.build({k: v.to_numpy() for k, v in table.groupby("lang")["gram"]})
+    by_count = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
+    held = counts.withColumns({"place": F.row_number().over(by_count), "upto": F.sum("n").over(by_count), "total": F.sum("n").over(Window.partitionBy("lang"))}).where(F.col("place") <= per_language)
+    # at most per_language rows for each language
+    table = held.select("lang", "gram", (1 - F.col("upto") / F.col("total")).alias("rest")).toArrow().to_pandas()
+    return Filters.build({k: v.to_numpy() for k, v in table.groupby("lang")["gram"]}, table.groupby("lang")["rest"].min().to_dict())
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -50,7 +50,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     filters = language.learn(docs, _fold(3) != 1)
-    return language.identify(docs, filters).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, filters).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"), _fold(5) != 0)
-    return toxicity.score(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

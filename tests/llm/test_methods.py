@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("loomfold.llm.queries")
-from loomfold.llm import decontaminate, fingerprint, language, line_dedup, near_dup, personal_data, piece_sampling, queries, rans, secret_scan, shingles, token_files  # noqa: E402
+from loomfold.llm import decontaminate, fingerprint, language, line_dedup, near_dup, personal_data, piece_sampling, queries, rans, secret_scan, shingles, token_files, toxicity  # noqa: E402
 from loomfold.llm.components import connected_components  # noqa: E402
 
 
@@ -303,6 +303,44 @@ def test_bloom_filters_return_all_languages():
     assert f.false_positive_rates().max() < 0.01
 
 
+def test_every_seen_gram_is_in_its_languages_and_counts_are_corrected(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"aa": ["abcd efgh", "efgh ijkl"], "bb": ["efgh mnop"]}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, v in texts.items() for t in v)], "doc_id bigint, text string, lang string")
+    f = language.learn(docs, F.lit(True))
+
+    def seen(text):
+        return {text[i : i + 4] for i in range(len(text) - 3)}
+
+    members = {k: set().union(*map(seen, v)) for k, v in texts.items()}
+    assert f.languages == ["aa", "bb"] and f.left_out == {"aa": 0.0, "bb": 0.0}
+    text = "efgh mnop qrst abcd"
+    grams = [text[i : i + 4] for i in range(len(text) - 3)]
+    hashes, _ = language.grams(*language.utf8(pa.array([text])))
+    assert f.masks(hashes, 0).tolist() == [sum(1 << i for i, k in enumerate(("aa", "bb")) if g in members[k]) for g in grams]
+    rates = np.array([0.05, 0.1])  # the correction is of the rates given
+    corrected = [max(0.0, (sum(g in members[k] for g in grams) - len(grams) * r) / (1 - r)) for k, r in zip(("aa", "bb"), rates, strict=True)]
+    names, score, explained = f.predict(pa.array([text]), rates)
+    best = int(np.argmax(corrected))
+    assert names == [f.languages[best]] and np.isclose(score[0], corrected[best] / sum(corrected)) and np.isclose(explained[0], corrected[best] / len(grams))
+
+
+def test_small_filters_keep_the_most_frequent(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "aaaa aaaa bbbb", "xx")], "doc_id bigint, text string, lang string")
+    f = language.learn(docs, F.lit(True), per_language=2)  # two n-grams occur twice, seven once
+    assert np.isclose(f.left_out["xx"], 7 / 11)
+
+
+def test_language_ties_go_to_the_first_by_name(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "same text", "zz"), (2, "same text", "yy")], "doc_id bigint, text string, lang string")
+    assert {r.lang_pred for r in language.identify(docs, language.learn(docs, F.lit(True))).collect()} == {"yy"}
+
+
 def test_decontamination_finds_all_leaks(spark, sf_dir, documents):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas()
     want = {(d, i) for i, x in zip(items.item_id, items.text, strict=True) for d, t in zip(documents.doc_id, documents.text, strict=True) if x.lower() in t.lower()}
@@ -373,6 +411,35 @@ def test_near_duplicates(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 12)
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(103)]
+    texts = [core + [f"own{i}x{k}" for k in range(20)] for i in range(60)]  # boilerplate with words of their own
+    texts += [core + [rng.choice("abcdef") for _ in range(rng.randint(8, 22))] for _ in range(90)]  # and without
+    rows = list(enumerate(map(" ".join, texts)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, size=4).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
+def test_own_shingles_bound_similarity(spark):
+    sets = {1: [1, 2, 3], 2: [2, 3, 4], 3: [9], 4: [3, 9, 10, 11]}
+    held = spark.createDataFrame([(i, bytearray(np.array(s, np.uint64).tobytes())) for i, s in sets.items()], "rep bigint, held binary")
+    sizes = spark.createDataFrame([(i, len(s)) for i, s in sets.items()], "rep bigint, n_shingles bigint")
+    got = {r.rep: r.common for r in near_dup.without_own_shingles(sizes.where("rep != 2"), held, sizes).collect()}
+    assert got == {1: 1, 3: 1, 4: 2}
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint64) for _ in range(30)]
+    left, right = rng.integers(0, 30, 200), rng.integers(0, 30, 200)
+    got = near_dup.overlaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), left, right)
+    assert got.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(left, right, strict=True)]
+
+
 def test_minhash_estimates_jaccard():
     a, b = " ".join(f"a{i}" for i in range(1000)), " ".join(f"a{i}" for i in range(200, 1200))
     rows, h = shingles.shingles(pa.array([a, b]), 4)
@@ -387,6 +454,30 @@ def test_components(spark):
     assert all(got[i] == i // 10 * 10 for i in range(60)) and got[100] == 0
 
 
+def test_non_negative_risk_and_its_slope():
+    rng = np.random.default_rng(3)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for prior, shift in ((0.1, 0.0), (0.6, 0.0), (0.6, 4.0)):
+        positive = rng.random(40) < 0.4
+        z = rng.normal(size=40) + shift * positive
+
+        def parts(v):
+            p = [sigmoid(a) for a, k in zip(v, positive, strict=True) if k]
+            u = [sigmoid(a) for a, k in zip(v, positive, strict=True) if not k]
+            return prior * sum(1 - a for a in p) / len(p), sum(u) / len(u) - prior * sum(p) / len(p)
+
+        plus, minus = parts(z)
+        risk, slope = toxicity.risk_and_slope(z, positive, prior)
+        assert np.isclose(risk, plus + max(0.0, minus))
+        for i in range(0, 40, 7):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            a, b = parts(up), parts(down)
+            want = (sum(a) - sum(b)) / 2e-5 if minus >= 0 else -(a[1] - b[1]) / 2e-5
+            assert np.isclose(slope[i], want, atol=1e-6)
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
     got = queries.op9_toxicity(spark, "/root/testdata/sf0.01").where("held_out").toPandas().merge(labels, on="doc_id")
