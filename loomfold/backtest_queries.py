@@ -28,8 +28,9 @@ def _rounded(df: DataFrame, *exact: str, nudge: float = 0.0) -> DataFrame:
     return df.select(*exact, *((F.round(F.col(c) + nudge, 6) + F.lit(0.0)).alias(c) for c in df.columns if c not in exact))
 
 
-def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False) -> str:
+def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False, *, ranked: bool | None = None, days: int = 20, freq: int = FREQ, top: int = TOP) -> str:
     """CTEs up to ``daily`` of the engine."""
+    ranked = not neutral if ranked is None else ranked
     f1 = f"lag(f0) OVER {BY} AS f1"
     f2 = f"{decay_sql('f1', decay)} AS f2" if decay else "f1 AS f2"
     f3 = (
@@ -40,17 +41,17 @@ def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False) ->
     )
     weight = "1.0 / n" if method == "equal" else "CASE WHEN s > 1e-10 THEN abs(x) / s ELSE 1.0 / n END"
     return f"""WITH {PANEL_SQL},
-a0 AS (SELECT *, round(close - lag(close, 20) OVER {BY}, 6) AS d, close / nullif(lag(close) OVER {BY}, 0) - 1 AS ret FROM panel),
-a1 AS (SELECT *, {'d' if neutral else rank_sql('d')} AS f0 FROM a0),
+a0 AS (SELECT *, round(close - lag(close, {days}) OVER {BY}, 6) AS d, close / nullif(lag(close) OVER {BY}, 0) - 1 AS ret FROM panel),
+a1 AS (SELECT *, {rank_sql('d') if ranked else 'd'} AS f0 FROM a0),
 a2 AS (SELECT *, {f1} FROM a1),
 a3 AS (SELECT *, {f2} FROM a2),
 a4 AS (SELECT *, {f3} FROM a3),
-b0 AS (SELECT *, CASE WHEN t_idx % {FREQ} = 0 AND NOT (is_suspended OR is_limit) THEN f END AS x FROM a4),
+b0 AS (SELECT *, CASE WHEN t_idx % {freq} = 0 AND NOT (is_suspended OR is_limit) THEN f END AS x FROM a4),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY t_idx ORDER BY x DESC NULLS LAST, symbol_pos) AS k FROM b0),
-b2 AS (SELECT *, k <= {TOP} AND x IS NOT NULL AS picked FROM b1),
+b2 AS (SELECT *, k <= {top} AND x IS NOT NULL AS picked FROM b1),
 b3 AS (SELECT *, sum(CASE WHEN picked THEN 1 ELSE 0 END) OVER (PARTITION BY t_idx) AS n, sum(CASE WHEN picked THEN abs(x) END) OVER (PARTITION BY t_idx) AS s FROM b2),
-b4 AS (SELECT *, CASE WHEN t_idx % {FREQ} = 0 THEN CASE WHEN picked THEN {weight} ELSE 0.0 END END AS w0 FROM b3),
-b5 AS (SELECT h.*, coalesce(r.w0, 0) AS weight FROM b4 h LEFT JOIN b4 r ON r.symbol = h.symbol AND r.t_idx = h.t_idx - h.t_idx % {FREQ}),
+b4 AS (SELECT *, CASE WHEN t_idx % {freq} = 0 THEN CASE WHEN picked THEN {weight} ELSE 0.0 END END AS w0 FROM b3),
+b5 AS (SELECT h.*, coalesce(r.w0, 0) AS weight FROM b4 h LEFT JOIN b4 r ON r.symbol = h.symbol AND r.t_idx = h.t_idx - h.t_idx % {freq}),
 b6 AS (SELECT *, abs(weight - lag(weight) OVER {BY}) AS traded FROM b5),
 g0 AS (SELECT date, t_idx, CASE WHEN t_idx = 0 THEN 0.0 ELSE coalesce(sum(weight * ret), 0) END AS gross_return, CASE WHEN t_idx = 0 THEN 0.0 ELSE coalesce(sum(traded) / 2, 0) END AS turnover FROM b6 GROUP BY date, t_idx),
 g1 AS (SELECT *, turnover * {COST} AS cost, gross_return - turnover * {COST} AS net_return FROM g0),
@@ -58,7 +59,7 @@ g2 AS (SELECT *, CASE WHEN t_idx = 0 THEN 1.0 ELSE product(1 + net_return) OVER
 i0 AS (SELECT t_idx, {rank_sql('f')} AS rf, {rank_sql('ret')} AS rr FROM b6),
 i1 AS (SELECT t_idx, rf - avg(rf) OVER (PARTITION BY t_idx) AS rf, rr - avg(rr) OVER (PARTITION BY t_idx) AS rr FROM i0),
 i2 AS (SELECT t_idx, coalesce(sum(rf * rr), 0) / nullif(sqrt(sum(rf * rf)) * sqrt(sum(rr * rr)), 0) AS ic FROM i1 GROUP BY t_idx),
-daily AS (SELECT g2.*, i2.ic, t_idx % {FREQ} = 0 AS is_rebalance FROM g2 LEFT JOIN i2 USING (t_idx)),
+daily AS (SELECT g2.*, i2.ic, t_idx % {freq} = 0 AS is_rebalance FROM g2 LEFT JOIN i2 USING (t_idx)),
 dd AS (SELECT *, nav / max(nav) OVER (ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS drawdown FROM daily)"""
 
 

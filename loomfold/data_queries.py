@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .backtest_queries import _rounded
-from .factor_queries import BY, CLOSE, PANEL_SQL, VOLUME, rank_sql, roll, staged
+from .backtest_queries import METRICS_SQL, _rounded, engine_sql
+from .factor_queries import BY, CLOSE, PANEL_SQL, VOLUME, _round, rank_sql, roll, staged
 from .operators import ops
 from .plans import performance
 from .plans.expr import col
@@ -19,6 +18,7 @@ from .plans.tuning import ParameterTuner
 from .sources import loader, providers, validation
 from .sources.bars import event_panel, supplier_bars, supplier_panel
 from .sources.repository import Repository
+from .sources.shared import fresh_folder
 from .sources.synthetic import SyntheticMarket
 from .streaming.upsert import stream_into
 
@@ -157,6 +157,59 @@ _WEIGHTED = (
 )
 
 
+_COMPLETE = "x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL"
+
+
+def _minor(a: str, b: str, c: str, d: str) -> str:
+    return f"({a} * {d} - {b} * {c})"
+
+
+def _det(m: list[list[str]]) -> str:
+    """Determinant of a 3 x 3 matrix of column names."""
+    (a, b, c), x, y = m
+    return f"({a} * {_minor(x[1], x[2], y[1], y[2])} - {b} * {_minor(x[0], x[2], y[0], y[2])} + {c} * {_minor(x[0], x[1], y[0], y[1])})"
+
+
+def _solved(m: list[list[str]], right: list[str]) -> list[str]:
+    """Cramer's rule."""
+    whole = _det(m)
+    return [f"{_det([[right[r] if c == k else m[r][c] for c in range(3)] for r in range(3)])} / {whole}" for k in range(3)]
+
+
+def _model_sql(alpha: float) -> str:
+    """Linear models of three ranks, refitted every 20 dates from date 24 on, by their normal equations."""
+    g = [[f"g{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    sums = ", ".join([f"sum(x{i}) AS s{i}, sum(x{i} * y0) AS b{i}" for i in range(3)] + [f"sum(x{i} * x{j}) AS a{i}{j}" for i, j in pairs])
+    gram = ", ".join([f"a{i}{j} - s{i} * s{j} / n{f' + {alpha}' if i == j else ''} AS g{i}{j}" for i, j in pairs] + [f"b{i} - s{i} * sy / n AS r{i}" for i in range(3)])
+    weights = ", ".join(f"{w} AS w{k}" for k, w in enumerate(_solved(g, ["r0", "r1", "r2"])))
+    return (
+        _RANKS.replace(" AS y FROM q0)", " AS y, y0 FROM q0)")
+        + f", m0 AS (SELECT DISTINCT 24 + 20 * ((t_idx - 24) // 20) AS e FROM q1 WHERE t_idx >= 24), m1 AS (SELECT e, CAST(count(*) AS DOUBLE) AS n, sum(y0) AS sy, {sums} FROM m0 JOIN q1 ON t_idx < e WHERE {_COMPLETE} AND y0 IS NOT NULL GROUP BY e),"
+        f" m2 AS (SELECT e, n, sy, s0, s1, s2, {gram} FROM m1), m3 AS (SELECT *, {weights} FROM m2)"
+        " SELECT t_idx, symbol, round((sy - w0 * s0 - w1 * s1 - w2 * s2) / n + w0 * x0 + w1 * x1 + w2 * x2, 6) + 0.0 AS value FROM q1 LEFT JOIN m3 ON t_idx >= 24 AND e = 24 + 20 * ((t_idx - 24) // 20)"
+    )
+
+
+def _min_variance_sql() -> str:
+    """Of the least-variance weights of every subset of three ranks, the feasible ones of least variance."""
+    c = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    found = [[f"{float(i == k)}" for i in range(3)] for k in range(3)]
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        w = f"(({c[j][j]} - {c[i][j]}) / ({c[i][i]} + {c[j][j]} - 2 * {c[i][j]}))"
+        found.append([w if k == i else f"(1 - {w})" if k == j else "0.0" for k in range(3)])
+    free = _solved(c, ["1", "1", "1"])
+    total = f"({' + '.join(free)})"
+    found.append([f"({w}) / {total}" for w in free])
+    options = " UNION ALL ".join(f"SELECT {', '.join(f'{w} AS w{k}' for k, w in enumerate(ws))}, * FROM v0" for ws in found)
+    covariances = ", ".join(f"covar_samp(x{i}, x{j}) AS c{i}{j}" for i in range(3) for j in range(i, 3))
+    variance = " + ".join(f"w{i} * w{j} * {c[i][j]}" for i in range(3) for j in range(3))
+    return (
+        _RANKS + f", v0 AS (SELECT {covariances} FROM q1 WHERE {_COMPLETE}), v1 AS ({options}), v2 AS (SELECT * FROM v1 WHERE least(w0, w1, w2) >= 0 ORDER BY {variance} LIMIT 1)"
+        " SELECT t_idx, symbol, round(CASE WHEN coalesce(x0, x1, x2) IS NOT NULL THEN w0 * coalesce(x0, 0) + w1 * coalesce(x1, 0) + w2 * coalesce(x2, 0) END + 3e-8, 6) + 0.0 AS value FROM q1 CROSS JOIN v2"
+    )
+
+
 def ic_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(StatisticalCombiner("ic_weighted").ic_matrix(supplier_panel(spark, sf_dir), FACTORS, LABEL), "t_idx")
 
@@ -170,13 +223,31 @@ def _model(kind: str, **options) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+DAYS, TOPS, DECAYS = (3, 6), (5, 10), (0, 3)
+
+
 def tuner_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked metrics of all combinations; returns of monthly bars compound to huge years, hence the logarithms."""
+
     def factor(close, volume, high, low, days: int):
-        return ops.Rank(ops.Ts_Delta(close, days))
+        return _round(ops.Ts_Delta(close, days), 6)
 
-    tuner = ParameterTuner(factor, supplier_panel(spark, sf_dir), {"days": [3, 6]}, {"top_n": [5, 10], "decay": [0, 3]}, n_jobs=4)
+    tuner = ParameterTuner(factor, supplier_panel(spark, sf_dir), {"days": list(DAYS)}, {"top_n": list(TOPS), "decay": list(DECAYS)}, n_jobs=4)
     tuner.run()
-    return tuner.results()
+    found = tuner.results().withColumns({c: F.ln(1 + F.col(c)) for c in ("ann_return", "calmar")})
+    return _rounded(found, "rank", "combo_id", "f_days", "b_decay", "b_top_n")
+
+
+def _tuner_sql() -> str:
+    parts = []
+    for days in DAYS:
+        for decay in DECAYS:
+            for top in TOPS:
+                own = engine_sql(decay=decay, ranked=False, days=days, freq=1, top=top) + METRICS_SQL
+                parts.append(f"SELECT 'days={days}|decay={decay}|top_n={top}' AS combo_id, {days} AS f_days, {decay} AS b_decay, {top} AS b_top_n, * FROM ({own})")
+    metrics = "ann_return, sharpe, calmar, max_drawdown, ic_mean, icir, ic_win_rate, avg_turnover, fitness"
+    rows = " UNION ALL ".join(parts)
+    return f"SELECT row_number() OVER (ORDER BY sharpe DESC) AS rank, combo_id, CAST(f_days AS BIGINT) AS f_days, CAST(b_decay AS BIGINT) AS b_decay, CAST(b_top_n AS BIGINT) AS b_top_n, ann_vol, {metrics} FROM ({rows})"
 
 
 def return_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,10 +272,7 @@ def synthetic_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of values by day and type, merged into a repository table; the result is that table."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomfold-")
-    import uuid
-
-    folder = f"{folder}/stream-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq[u]et")
     rows = rows.select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("report_date"), F.to_date("ts").alias("date"), F.struct("ts", "event_id").alias("arrived"), "value")
@@ -241,7 +309,7 @@ SELECT symbol, CAST(sum(CASE WHEN only_new THEN 1 ELSE 0 END) AS BIGINT) AS new_
     "label_log_return": staged(f"{_LABEL} AS r", value="CASE WHEN r > 0 THEN ln(r) END"),
     "ic_matrix": _ICS + " SELECT t_idx, round(ic_0, 6) + 0.0 AS ic_0, round(ic_1, 6) + 0.0 AS ic_1, round(ic_2, 6) + 0.0 AS ic_2 FROM q2",
     "fusion_equal": _RANKS + " SELECT t_idx, symbol, round(CASE WHEN coalesce(x0, x1, x2) IS NOT NULL THEN (coalesce(x0, 0) + coalesce(x1, 0) + coalesce(x2, 0)) / 3 END + 3e-8, 6) + 0.0 AS value FROM q1",
-    "fusion_ic_weighted": _WEIGHTED,
+    "fusion_ic_weighted": _WEIGHTED, "fusion_min_variance": _min_variance_sql(), "fusion_linear": _model_sql(0.0), "fusion_ridge": _model_sql(1.0), "tuner_grid": _tuner_sql(),
     "return_histogram": f"WITH {PANEL_SQL}, e AS (SELECT min(volume) AS lo, max(volume) AS hi FROM panel), b AS (SELECT CAST(least(19, floor((volume - lo) / ((hi - lo) / 20))) AS INTEGER) AS bin, lo, (hi - lo) / 20 AS w FROM panel CROSS JOIN e WHERE volume IS NOT NULL)"
     " SELECT bin, round(lo + bin * w, 6) + 0.0 AS low, count(*) AS n FROM b GROUP BY bin, lo, w",
     "event_zscore": """WITH d AS (SELECT CAST(ts AS DATE) AS date, event_type AS symbol, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2), c AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS t_idx FROM (SELECT DISTINCT date FROM d)),

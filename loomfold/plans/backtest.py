@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import ops
 from . import performance
 from .expr import EPS, Expr, along, col, compile_exprs
-from .panel import Panel, calendar_of
+from .panel import Panel, broadcast_if_small, calendar_of
 
 WEIGHTS = ("equal", "factor_weighted")
 _CONTEXT = ("industry", "industry_known", "n_industries")
@@ -77,7 +77,7 @@ class VectorEngine:
         calendar = calendar_of(df)
         if calendar.isEmpty():
             raise ValueError(f"no dates are left between {self.start_date} and {self.end_date}")
-        return df.drop("t_idx").join(F.broadcast(calendar), "date")
+        return df.drop("t_idx").join(broadcast_if_small(calendar), "date")
 
     def preprocessed(self) -> DataFrame:
         factor: Expr = col("factor")

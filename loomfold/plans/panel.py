@@ -25,6 +25,11 @@ def calendar_of(facts: DataFrame) -> DataFrame:
     return dates.withColumn("t_idx", (F.row_number().over(Window.orderBy("date")) - 1).cast("int"))
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint up to BROADCAST_DATES rows, counted no further."""
+    return F.broadcast(df) if df.limit(BROADCAST_DATES + 1).count() <= BROADCAST_DATES else df
+
+
 def densify(facts: DataFrame, symbols: DataFrame | None = None, calendar: DataFrame | None = None) -> DataFrame:
     """Facts (date, symbol, fields…) on the full grid, with ``t_idx`` and ``symbol_pos``.
 
@@ -35,8 +40,7 @@ def densify(facts: DataFrame, symbols: DataFrame | None = None, calendar: DataFr
     calendar = calendar if calendar is not None else calendar_of(facts)
     symbols = symbols if symbols is not None else facts.select("symbol").where("symbol is not null").distinct()
     ranked = symbols.select("symbol").withColumn("symbol_pos", (F.row_number().over(Window.orderBy("symbol")) - 1).cast("int"))
-    side = F.broadcast(calendar) if calendar.count() <= BROADCAST_DATES else calendar
-    grid = ranked.crossJoin(side)
+    grid = ranked.crossJoin(broadcast_if_small(calendar))
     fields = [c for c in facts.columns if c not in ("date", "symbol")]
     return grid.join(facts, ["date", "symbol"], "left").select("date", "t_idx", "symbol", "symbol_pos", *fields)
 
@@ -64,7 +68,7 @@ class Panel:
         df = self.df
         df = df if start is None else df.where(F.col("date") >= F.lit(start).cast("date"))
         df = df if end is None else df.where(F.col("date") <= F.lit(end).cast("date"))
-        return Panel(df.drop("t_idx").join(F.broadcast(calendar_of(df)), "date"), self.industry)
+        return Panel(df.drop("t_idx").join(broadcast_if_small(calendar_of(df)), "date"), self.industry)
 
     def universe(self, field: str, most_null: float) -> Panel:
         """Symbols with an industry whose share of nulls in ``field`` is at most ``most_null``."""

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.panel import Panel, calendar_of, densify
+from ..plans.panel import Panel, broadcast_if_small, calendar_of, densify
 
 PRICES = ("open", "high", "low", "close")
 LIMIT = 0.099
@@ -68,7 +68,7 @@ def load(
     """The panel of all symbols in one plan, without a loop over them."""
     facts = ohlcv
     asked = None if symbols is None else ohlcv.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-    facts = facts if asked is None else facts.join(F.broadcast(asked), "symbol", "left_semi")
+    facts = facts if asked is None else facts.join(broadcast_if_small(asked), "symbol", "left_semi")
     facts = facts if start is None else facts.where(F.col("date") >= F.lit(start).cast("date"))
     facts = facts if end is None else facts.where(F.col("date") <= F.lit(end).cast("date"))
     calendar = calendar_of(facts)

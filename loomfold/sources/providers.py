@@ -97,15 +97,27 @@ def market_values(bars: DataFrame, shares: DataFrame, snapshot: DataFrame | None
     return out
 
 
+def latest_caps(info: DataFrame, spot: DataFrame, today: Any) -> DataFrame:
+    """Today's caps in units of 1e8 by symbol from (symbol, item, value) pairs, else from a spot table (symbol, total, circulating)."""
+    items = {"总市值": "total_market_cap", "流通市值": "circulating_market_cap"}  # fixed values: names of items
+    own = info.groupBy("symbol").pivot("item", list(items)).agg(F.max(F.col("value").cast("string").try_cast("double"))).withColumnsRenamed(items)
+    both = own.alias("o").join(spot.alias("s"), "symbol", "full_outer")
+    caps = {"total_market_cap": "total", "circulating_market_cap": "circulating"}
+    return both.select("symbol", F.lit(str(today)).cast("date").alias("date"), *((F.coalesce(f"o.{k}", f"s.{v}") / UNIT).alias(k) for k, v in caps.items()))
+
+
 def financial_indicators(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:
-    """Indicators by symbol and report date, amounts in units of 1e8, ratios in per cent."""
+    """Indicators by symbol and report date, amounts in units of 1e8, ratios in per cent.
+
+    Of rows repeated for a report date the one that is greatest, item by item, stays.
+    """
 
     def items(df: DataFrame, *names: str) -> DataFrame:
         found = {n: [F.col(f"`{c}`").cast("string").try_cast("double") for c in STATEMENT_ITEMS[n] if c in df.columns] for n in names}
         date = F.try_to_date(F.col(REPORT_DATE).cast("string"), "yyyyMMdd").alias("report_date")
         cols = [(F.coalesce(*v) if v else F.lit(None).cast("double")).alias(n) for n, v in found.items()]
-        last = df.select("symbol", date, *cols).where("report_date is not null")
-        return last.groupBy("symbol", "report_date").agg(*(F.last(n).alias(n) for n in names))
+        rows = df.select("symbol", date, *cols).where("report_date is not null")
+        return rows.groupBy("symbol", "report_date").agg(F.max(F.struct(*names)).alias("own")).select("symbol", "report_date", *(F.col(f"own.{n}") for n in names))
 
     x = items(income, "revenue", "cost", "net_profit").join(items(balance, "total_assets", "total_equity"), ["symbol", "report_date"], "left")
     x = x.join(items(cashflow, "operating_cash_flow"), ["symbol", "report_date"], "left")

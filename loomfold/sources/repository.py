@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .validation import KEYS, REQUIRED, diff_summary, hfq_violations, merge, missing_dates, validate
+from .validation import REQUIRED, diff_summary, hfq_violations, merge, missing_dates, validate
 
 KINDS = ("ohlcv", "adjustment", "financial", "market_value")
 
@@ -74,7 +74,19 @@ class Repository:
         """A written copy, for what must outlive a change of the files it comes from."""
         path = f"{self.root.rstrip('/')}/.staging/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._staged_at = path
+        return out
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _overwrite(self, path: str, data: DataFrame) -> None:
+        """Replace the buckets of ``data``; a staged copy is deleted afterwards."""
+        data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        if staged := getattr(data, "_staged_at", None):
+            self._remove(staged)
 
     def _write(self, path_kind: str, data: DataFrame) -> None:
         path = self._path(path_kind)
@@ -83,7 +95,7 @@ class Repository:
             touched = data.select("bucket").distinct()
             old = self.spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(data.select("symbol").distinct(), "symbol", "left_anti")
             data = self._staged(old.unionByName(data, allowMissingColumns=True))
-        data.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        self._overwrite(path, data)
 
     def save_derived(self, data: DataFrame, feature_type: str) -> None:
         """Merge derived features into what is stored; new rows replace old ones."""
@@ -119,8 +131,16 @@ class Repository:
     def delete(self, symbol: str, kind: str) -> bool:
         if not self.exists(kind, symbol):
             return False
-        rest = self._staged(self.spark.read.parquet(self._path(kind)).where(F.col("symbol") != symbol))
-        rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(self._path(kind))
+        path = self._path(kind)
+        bucket = self.spark.createDataFrame([(symbol,)], "symbol string").select(self._bucket()).first()[0]
+        table = self.spark.read.parquet(path)
+        rest = self._staged(table.where((F.col("bucket") == bucket) & (F.col("symbol") != symbol)))
+        if not rest.isEmpty():
+            self._overwrite(path, rest)
+        else:  # the bucket goes whole, and the table with its last bucket
+            others = not table.where(F.col("bucket") != bucket).isEmpty()
+            self._remove(f"{path}/bucket={bucket}" if others else path)
+            self._remove(rest._staged_at)
         return True
 
     def metadata(self, kind: str) -> DataFrame:
@@ -132,7 +152,9 @@ class Repository:
     def write_metadata(self, kind: str) -> None:
         """One JSON row for each symbol beside the table."""
         stamped = self.metadata(kind).withColumn("updated_at", F.current_timestamp().cast("string"))
-        self._staged(stamped).coalesce(1).write.mode("overwrite").json(f"{self._path(kind)}_metadata")
+        staged = self._staged(stamped)
+        staged.coalesce(1).write.mode("overwrite").json(f"{self._path(kind)}_metadata")
+        self._remove(staged._staged_at)
 
     def fetch_start(self, kind: str, requested: Any) -> Any:
         """Where a fetch must begin: adjustment factors share a base, so theirs goes back to the first stored date."""
@@ -172,9 +194,12 @@ class Repository:
         else:
             bad, good = fetched.select("symbol").limit(0), fetched
         old = self.load(kind) if self._exists(self._path(kind)) else good.limit(0)
-        audit = diff_summary(good, old.join(good.select("symbol").distinct(), "symbol", "left_semi"))
-        audit = audit.join(missing_dates(good, old, calendar), "symbol", "left").withColumn("date_continuous", F.coalesce(F.size("missing_dates") == 0, F.lit(True)))
-        merged = merge(good, old, KEYS if kind != "financial" else ("symbol", "report_date"))
+        date = self._date(kind)
+        keys = ("symbol", date)
+        audit = diff_summary(good, old.join(good.select("symbol").distinct(), "symbol", "left_semi"), keys)
+        gaps = missing_dates(*(t.select("symbol", F.col(date).alias("date")) for t in (good, old)), calendar)
+        audit = audit.join(gaps, "symbol", "left").withColumn("date_continuous", F.coalesce(F.size("missing_dates") == 0, F.lit(True)))
+        merged = merge(good, old, keys)
         if kind == "adjustment":
             broken = hfq_violations(merged).groupBy("symbol").agg(F.array_sort(F.collect_list("date")).alias("hfq_violations"))
             audit = audit.join(broken, "symbol", "left").withColumn("hfq_monotonic", F.col("hfq_violations").isNull())
@@ -182,8 +207,10 @@ class Repository:
         audit = audit.withColumn("data_type", F.lit(kind)).withColumn("updated_at", F.current_timestamp())
         audit = self._staged(audit)
         if not dry_run and not good.isEmpty():
-            self._write(kind, self._staged(merged.join(good.select("symbol").distinct(), "symbol", "left_semi")))
-        return audit
+            staged = self._staged(merged.join(good.select("symbol").distinct(), "symbol", "left_semi"))
+            self._write(kind, staged)
+            self._remove(staged._staged_at)
+        return audit  # its copy stays, as the caller reads it
 
 
 def audit_text(row: Any) -> str:

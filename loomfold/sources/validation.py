@@ -96,7 +96,7 @@ def diff_summary(new: DataFrame, old: DataFrame, keys: Sequence[str] = KEYS) ->
     joined = joined.withColumn("_c", F.when(both, changed).otherwise(0))
     return joined.groupBy("symbol").agg(
         _count(F.col("_o").isNull()).alias("new_rows"), _count(both).alias("overlap_rows"), _count(F.col("_n").isNull()).alias("kept_rows"), F.sum("_c").cast("long").alias("updated_cells"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("_c") > 0, F.col("date")))), 1, 20).alias("changed_dates"),
+        F.slice(F.array_sort(F.collect_set(F.when(F.col("_c") > 0, F.col(keys[-1])))), 1, 20).alias("changed_dates"),
     ).withColumn("column_consistent", F.lit(set(new.columns) == set(old.columns)))
 
 
