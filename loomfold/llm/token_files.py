@@ -18,6 +18,7 @@ one longer block.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -54,19 +55,31 @@ _SPLIT[:, _BLANK] = True
 _SPLIT[np.ix_(_BLANK, _BLANK)] = False
 
 
+#: The normaliser and splitter whose chunks may be encoded apart.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
 class ChunkedTokenizer:
     """The tokenizers library on distinct chunks of text between which its pre-tokenizer always splits.
 
     Chunks begin with white space or where two ASCII characters never share a
     pre-token. A chunk that is one word of Latin letters is one pre-token and
     goes to the library's model at once; other chunks go through its whole
-    pipeline. Texts with the start of a special token are encoded whole.
+    pipeline. Texts with the start of a special token are encoded whole, and so
+    are all texts where a file has another normaliser or splitter.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        self.chunked = (parts["normalizer"], parts["pre_tokenizer"]) == (_NORMALIZER, _SPLITTER)
         self.special = tuple(t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[bytes, bytes] = {}
         #: Letters that normalisation only lower-cases, one to one.
@@ -100,6 +113,8 @@ class ChunkedTokenizer:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Token ids of each row."""
+        if not self.chunked:
+            return self._ids([t or "" for t in column.to_pylist()])
         data, offsets = utf8(column)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * (len(offsets) - 1)
         raw = data.tobytes()
