@@ -11,9 +11,15 @@ threshold are retrieved and verified by the overlap of their question and of
 their answer with the document around the passage, as word n-gram containment.
 
 Passages overlap by half and are twice as long as the longest item, so a leak
-lies whole in one of them. Large benchmarks are split into shards of bounded
-size; term statistics always cover all items. Null texts and texts without words match
-nothing; equal items are all reported; an empty benchmark gives no rows.
+lies whole in one of them. Large benchmarks are split into shards of bounded size,
+of which one pass over the documents takes SHARDS_A_PASS; term statistics and the
+length of passages always are those of all items, so shards change no result.
+
+Null texts and texts without words match nothing; equal items are all reported, and
+of passages with one score the one with the larger overlaps; repeated rows give
+repeated results, null ids are kept as they are; whole texts are read, however long.
+An empty benchmark or table gives no rows. Only doc_id, item_id and text are read,
+so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .textio import LOWER, distinct_by_row, mix, row_of, slices, span_hashes, utf8, words
 
 K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK = 8
-#: Text bytes of the items of one shard, about.
-SHARD_BYTES = 1 << 19
+#: Text bytes of the items of one shard, about, and shards of one pass: they bound what a task holds.
+SHARD_BYTES, SHARDS_A_PASS = 1 << 17, 16
 _STEP = np.uint64(0x100000001B3D)
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -84,7 +91,7 @@ class Index:
     longest: int
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], idf: dict[int, float], mean_length: float) -> Index:
+    def build(cls, items: list[tuple[int, str]], idf: dict[int, float], mean_length: float, longest: int) -> Index:
         items = sorted(items)
         h, firsts = hashed_words(pa.array([t for _, t in items], pa.large_string()))
         rows = row_of(firsts)
@@ -108,7 +115,7 @@ class Index:
         halves = [[hashed_words(pa.array([part], pa.large_string()))[0] for part in split_item(t)] for _, t in items]
         return cls(
             np.array([i for i, _ in items], np.int64), terms, block_max.max(axis=1) if len(terms) else np.zeros(0, np.float32), block_max,
-            block_starts, rows, share, [q for q, _ in halves], [a for _, a in halves], int(np.diff(firsts).max(initial=1)),
+            block_starts, rows, share, [q for q, _ in halves], [a for _, a in halves], max(1, longest),
         )
 
     def candidates(self, h: np.ndarray, firsts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
@@ -175,19 +182,20 @@ def _matcher(shared, threshold: float, question: float, answer: float, gram: int
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for batch in batches:
             for part in slices(batch):
                 h, firsts = hashed_words(part.column("text"))
                 ids = part.column("doc_id").to_pylist()
                 best: dict[tuple[int, int], tuple] = {}
-                for row, start, end, item, share in index.candidates(h, firsts, threshold):
-                    q, a = index.questions[item], index.answers[item]
-                    found = [overlap(x, h[start:end], gram) for x in (q, a)]
-                    if found[0] >= question and found[1] >= answer and (len(q) or len(a)):
-                        best[row, item] = max(best.get((row, item), (0.0,)), (share, *found))
+                for index in shared.value:
+                    for row, start, end, item, share in index.candidates(h, firsts, threshold):
+                        q, a = index.questions[item], index.answers[item]
+                        found = [overlap(x, h[start:end], gram) for x in (q, a)]
+                        if found[0] >= question and found[1] >= answer and (len(q) or len(a)):
+                            key = row, int(index.items[item])
+                            best[key] = max(best.get(key, (0.0,)), (share, *found))
                 if best:
-                    rows = [(ids[r], int(index.items[i]), *v) for (r, i), v in sorted(best.items())]
+                    rows = [(ids[r], i, *v) for (r, i), v in sorted(best.items())]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3, strict=True)], names=names)
 
     return run
@@ -219,18 +227,21 @@ def matches(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, questi
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int"))
-    n, mean_length = items.select("text").mapInArrow(_lengths, "n bigint").agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
+    lengths = items.select("text").mapInArrow(_lengths, "n bigint")
+    n, mean_length, longest = lengths.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(1))).first()
     postings = items.select("shard", "text").mapInArrow(_item_words, "shard int, h bigint")
     df = postings.groupBy("h").agg(F.count("*").alias("df"), F.collect_set("shard").alias("shards"))
+    df = df if shards == 1 else materialize(df, "terms")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for shard in range(shards):  # each of bounded size
-        own = [(r.item_id, r.text) for r in items.where(F.col("shard") == shard).collect()]
-        counts = df.where(F.array_contains("shards", F.lit(shard))).select("h", "df").collect()
-        idf = {r.h: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in counts}
-        if not idf:
-            continue
-        shared = spark.sparkContext.broadcast(Index.build(own, idf, mean_length))
-        part = rows.mapInArrow(_matcher(shared, threshold, question, answer, gram), out)
-        found = part if found is None else found.unionByName(part)
+    for first in range(0, shards, SHARDS_A_PASS):
+        indexes = []
+        for shard in range(first, min(first + SHARDS_A_PASS, shards)):  # each of bounded size
+            own = [(r.item_id, r.text) for r in items.where(F.col("shard") == shard).collect()]
+            counts = df.where(F.array_contains("shards", F.lit(shard))).select("h", "df").collect()
+            idf = {r.h: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in counts}
+            indexes += [Index.build(own, idf, mean_length, longest)] if idf else []
+        if indexes:
+            part = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(indexes), threshold, question, answer, gram), out)
+            found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], out) if found is None else found
