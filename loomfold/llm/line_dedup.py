@@ -11,14 +11,23 @@ far as some run needs them.
 
 A run of lines counts from ``least_words`` words on. For every line, the
 shortest such run that starts or ends with it is named exactly by two
-overlapping ranks; all runs that are repeated are unions of these. A line is
-deleted if it lies in a run that occurs earlier, by (doc_id, place), without
-overlapping it. The first copy of every line thus stays.
+overlapping ranks; the suffixes that share both are the interval whose common
+prefix is at least that run, and its first suffix by (doc_id, place) is what the
+others are copies of. Where the runs of a copy and of its first go on side by side,
+line after line, they are one: :func:`maximal_runs` joins them, so that its length is
+the longest common prefix that the two suffixes have as first and later copy. A line
+is deleted if it lies in a maximal run whose first copy it doesn't overlap. The
+first copy of every line thus stays.
+
+Runs under ``least_words`` words stay on purpose: lines of a dozen words, such as a
+license, are shared by documents that are otherwise clean.
 
 Lines are compared without the white space around them; blank lines take no
-part and stay. Null texts have no lines. Rows equal in doc_id and text are one
-document and get the same result; rows with one doc_id and different texts are
-ordered by a hash of the text, null ids come first. An empty table stays empty.
+part and stay. Null texts have no lines; very long ones are read whole. Rows equal
+in doc_id and text are one document and get the same result; rows with one doc_id
+and different texts are ordered by a hash of the text, null ids come first. An
+empty table stays empty. Other columns are kept whatever their names; a column
+named as ``count_as`` is replaced by the count.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,8 +168,8 @@ def document_key() -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(F.col("text").cast("string"))
 
 
-def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
-    """(d, t, runs): for each document with later copies, their (seq, m) in lines that aren't blank."""
+def _copies(docs: DataFrame, least_words: int) -> DataFrame:
+    """(d, t, seq, m, first): later copies of the shortest runs, with their interval's first suffix."""
     d, t = document_key()
     lines = materialize(docs.select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(_lines, _LINES), "lines")
     ranks = _ranked(lines, ["h1", "h2"], "ranks")
@@ -174,7 +183,7 @@ def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
         runs = step.where("m > 0").select("d", "t", "seq", "m", "a", "b")
         firsts = runs.groupBy("m", "a", "b").agg(F.min(F.struct("d", "t", "seq")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         same = (F.col("first.d") == F.col("d")) & (F.col("first.t") == F.col("t"))
-        later = runs.join(firsts, ["m", "a", "b"]).where(~same | (F.col("first.seq") + F.col("m") <= F.col("seq"))).select("d", "t", "seq", "m")
+        later = runs.join(firsts, ["m", "a", "b"]).where(~same | (F.col("first.seq") + F.col("m") <= F.col("seq"))).select("d", "t", "seq", "m", "first")
         later = materialize(later, "later")  # ends the stage with the join, so AQE may split a hot run
         flagged = later if flagged is None else flagged.union(later)
         pairs = step.where("m = 0")
@@ -185,7 +194,27 @@ def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
         state = pairs.join(ranks, ["a", "b"]).select("d", "t", F.struct("seq", "rank", "ms").alias("item"))
         k += 1
     discard(step)
-    return flagged.groupBy("d", "t").agg(F.collect_set(F.struct("seq", "m")).alias("runs"))
+    return flagged
+
+
+def maximal_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
+    """(d, t, seq, m, first_d, first_t, first_seq): maximal later copies of line runs and their first copies.
+
+    Places and lengths count lines that aren't blank. Runs of one copy and one
+    first at one distance join where they overlap or touch.
+    """
+    side = ["d", "t", "first_d", "first_t", "apart"]
+    rows = _copies(docs, least_words).select("d", "t", "seq", "m", F.col("first.d").alias("first_d"), F.col("first.t").alias("first_t"), (F.col("seq") - F.col("first.seq")).alias("apart"))
+    before = Window.partitionBy(*side).orderBy("seq", "m").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.coalesce(F.col("seq") > F.max(F.col("seq") + F.col("m")).over(before), F.lit(True)).cast("int")
+    numbered = rows.repartition("d", "t").withColumn("new", starts).withColumn("run", F.sum("new").over(Window.partitionBy(*side).orderBy("seq", "m").rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy(*side, "run").agg(F.min("seq").alias("seq"), F.max(F.col("seq") + F.col("m")).alias("end"))
+    return joined.select("d", "t", "seq", (F.col("end") - F.col("seq")).alias("m"), "first_d", "first_t", (F.col("seq") - F.col("apart")).alias("first_seq"))
+
+
+def repeated_runs(docs: DataFrame, *, least_words: int = 50) -> DataFrame:
+    """(d, t, runs): for each document with later copies, their (seq, m) in lines that aren't blank."""
+    return maximal_runs(docs, least_words=least_words).groupBy("d", "t").agg(F.collect_set(F.struct("seq", "m")).alias("runs"))
 
 
 def cut(text: str, runs: list[dict]) -> tuple[str, int]:
@@ -220,6 +249,7 @@ def _cut(at: int, names: list[str], count_as: str | None):
 
 def dedup_lines(docs: DataFrame, *, least_words: int = 50, count_as: str | None = "lines_gone") -> DataFrame:
     """``docs`` with later copies cut from their texts, and a last column of how many lines went unless ``count_as`` is None."""
+    docs = docs.drop(*(c for c in docs.columns if count_as and c.lower() == count_as.lower()))
     runs = repeated_runs(docs, least_words=least_words).select(F.col("d").alias("_loom_d"), F.col("t").alias("_loom_t"), "runs")
     names, d, t = docs.columns, *document_key()
     keyed = docs.withColumns({"_loom_d": d, "_loom_t": t})

@@ -41,6 +41,14 @@ def test_chunked_tokenizer_equals_the_library():
     assert all(np.array_equal(a, b) for a, b in zip(t.encode(pa.array(texts)), t._ids(texts), strict=True))
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_file_gives_the_library_s_ids(name):
+    t = token_files.ChunkedTokenizer(queries.vocabulary(name))
+    texts = ["Hello  World's 12a3\n", "", "Ünïcödé x", None]
+    assert t.chunked == (name == "word_bpe_49k.json")
+    assert all(np.array_equal(a, b) for a, b in zip(t.encode(pa.array(texts)), t._ids([x or "" for x in texts]), strict=True))
+
+
 def test_op1(spark, sf_dir, documents):
     got = queries.op1_token_files(spark, sf_dir).orderBy("doc_id").collect()
     t = token_files.ChunkedTokenizer(queries.vocabulary("word_bpe_49k.json"))
@@ -51,11 +59,15 @@ def test_op1(spark, sf_dir, documents):
         start += len(ids)
 
 
+def lines_of(text):
+    return [x for x in (y.strip(" \t\n\v\f\r") for y in (text or "").split("\n")) if x]
+
+
 def repeated(docs, least):
-    """Lines in runs of ``least`` words that occur earlier without overlap, by brute force."""
+    """Places of lines in runs of ``least`` words that occur earlier without overlap, by brute force."""
     seen, gone = {}, []
     for k, text in enumerate(docs):
-        lines = [x for x in (y.strip(" \t\n\v\f\r") for y in (text or "").split("\n")) if x]
+        lines = lines_of(text)
         mine = set()
         for a in range(len(lines)):
             for b in range(a, len(lines)):
@@ -63,18 +75,56 @@ def repeated(docs, least):
                     first = seen.setdefault(tuple(lines[a : b + 1]), (k, a))
                     if first[0] != k or first[1] + b - a + 1 <= a:
                         mine.update(range(a, b + 1))
-        gone.append(len(mine))
+        gone.append(mine)
     return gone
 
 
-def test_line_dedup(spark):
+def without(text, gone):
+    """The text without the lines at some places among those that aren't blank."""
+    kept, place = [], 0
+    for line in text.split("\n"):
+        blank = not line.strip(" \t\n\v\f\r")
+        if blank or place not in gone:
+            kept.append(line)
+        place += not blank
+    return "\n".join(kept)
+
+
+@pytest.fixture(scope="module")
+def lined(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(" ".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 1, 2]))) for _ in range(rng.randint(0, 14)))) for i in range(150)]
     rows += [(900, None), (901, ""), (902, rows[3][1])]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for least in (1, 4, 9):
-        got = [r.lines_gone for r in line_dedup.dedup_lines(docs, least_words=least).orderBy("doc_id").collect()]
-        assert got == repeated([t for _, t in rows], least)
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_line_dedup(lined, least):
+    rows, docs = lined
+    got = {r.doc_id: (r.text, r.lines_gone) for r in line_dedup.dedup_lines(docs, least_words=least).collect()}
+    for (i, text), gone in zip(rows, repeated([t for _, t in rows], least), strict=True):
+        assert got[i] == (text if text is None else without(text, gone), len(gone))
+
+
+def test_maximal_runs(lined):
+    rows, docs = lined
+    texts, runs = dict(rows), line_dedup.maximal_runs(docs, least_words=4).collect()
+    covered = {}
+    for r in runs:
+        own, first = lines_of(texts[r.d]), lines_of(texts[r.first_d])
+        assert own[r.seq : r.seq + r.m] == first[r.first_seq : r.first_seq + r.m] and (r.first_d, r.first_seq) < (r.d, r.seq)
+        covered.setdefault(r.d, set()).update(range(r.seq, r.seq + r.m))
+    assert [covered.get(i, set()) for i, _ in rows] == repeated([t for _, t in rows], 4)
+    # of two copies of a long run there is one maximal run, as long as the common prefix
+    text = "\n".join(f"line {i} of a run" for i in range(20))
+    (r,) = line_dedup.maximal_runs(docs.sparkSession.createDataFrame([(1, "before\n" + text + "\nafter"), (2, "x\ny\n" + text + "\nz")], "doc_id bigint, text string"), least_words=10).collect()
+    assert (r.d, r.seq, r.m, r.first_d, r.first_seq) == (2, 2, 20, 1, 1)
+
+
+def test_line_counts_replace_a_column_of_that_name(spark):
+    docs = spark.createDataFrame([(1, "a b\nc d", 7), (2, "a b\nc d", 8)], "doc_id bigint, text string, lines_gone bigint")
+    got = {r.doc_id: (r.text, r.lines_gone) for r in line_dedup.dedup_lines(docs, least_words=3).collect()}
+    assert got == {1: ("a b\nc d", 0), 2: ("", 2)}
 
 
 def test_piece_sampling_follows_the_posterior():
@@ -348,6 +398,14 @@ def test_decontamination_finds_all_leaks(spark, sf_dir, documents):
     assert want and want <= got and len(got - want) <= 1
 
 
+def test_shards_change_no_result(spark, sf_dir, monkeypatch):
+    once = sorted(map(tuple, queries.op7_decontaminate(spark, sf_dir).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1 << 11)
+    monkeypatch.setattr(decontaminate, "SHARDS_A_PASS", 6)
+    again = sorted(map(tuple, queries.op7_decontaminate(spark, sf_dir).collect()))
+    assert once and [r[:2] for r in once] == [r[:2] for r in again] and np.allclose([r[2:] for r in once], [r[2:] for r in again])
+
+
 def test_wand_equals_full_bm25():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
@@ -356,7 +414,7 @@ def test_wand_equals_full_bm25():
     hashed = {i: decontaminate.hashed_words(pa.array([t]))[0].tolist() for i, t in items}
     df = Counter(h for x in hashed.values() for h in set(x))
     idf = {int(np.uint64(h).view(np.int64)): math.log(1 + (40 - n + 0.5) / (n + 0.5)) for h, n in df.items()}
-    index = decontaminate.Index.build(items, idf, np.mean([len(x) for x in hashed.values()]))
+    index = decontaminate.Index.build(items, idf, np.mean([len(x) for x in hashed.values()]), max(len(x) for x in hashed.values()))
     h, firsts = decontaminate.hashed_words(pa.array(texts))
     got = {(r, s, i): x for r, s, _, i, x in index.candidates(h, firsts, 0.5)}
     mean = np.mean([len(x) for x in hashed.values()])
