@@ -16,8 +16,9 @@
 
 Classes of mixed buckets with over BLOCK classes are first counted for shingles
 that no other of them has. These can be in no intersection, which bounds a class's
-similarity to all others, exactly; so classes that share boilerplate only leave
-their buckets before any pair is made.
+similarity to all others of these buckets, exactly; so classes that share boilerplate
+only leave them before any pair is made. Their smaller buckets may hold other classes,
+for which the bound does not hold, and keep them.
 
 A bucket of n classes is cut into at most MOST_BLOCKS blocks (more where a block
 would pass BLOCK_ROWS rows or BLOCK_BYTES), and each class is sent once for each
@@ -368,7 +369,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     large = mixed.where(F.col("n") > BLOCK)
     common = materialize(without_own_shingles(large, held, sizes), "common")
     # percent times the size of the largest class that can be near, were all common shingles in it
-    bounded = mixed.join(common, "rep", "left").withColumn("common", F.coalesce("common", "n_shingles"))
+    bounded = mixed.join(common, "rep", "left").withColumn("common", F.coalesce(F.when(F.col("n") > BLOCK, F.col("common")), "n_shingles"))
     bounded = bounded.withColumn("reach", (100 + percent) * F.col("common") - percent * F.col("n_shingles")).where(100 * F.col("reach") >= percent * percent * F.col("n_shingles"))
     least = bounded.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
     bounded = materialize(bounded.join(least, "bucket").where(F.col("reach") >= percent * F.col("least")).drop("reach", "least", "n"), "bounded")
