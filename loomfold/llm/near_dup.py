@@ -14,6 +14,8 @@
    signatures leave possible are verified, block by block with the sets at hand,
    but for those that a confirmed link has joined meanwhile.
 
+A pair that shares several bands is compared in the bucket of the first one only.
+
 Classes of mixed buckets with over BLOCK classes are first counted for shingles
 that no other of them has. These can be in no intersection, which bounds a class's
 similarity to all others of these buckets, exactly; so classes that share boilerplate
@@ -88,17 +90,24 @@ def _signed(size: int):
     return run
 
 
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def _buckets(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature."""
+    acc = np.tile(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sig), 1))
+    for j in range(WIDTH):
+        acc = mix(acc ^ sig[:, j::WIDTH].astype(np.uint64))
+    return acc.view(np.int64)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salts = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for batch in batches:
         if not len(batch):
             continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(batch), BANDS, WIDTH)
-        acc = np.broadcast_to(salts, (len(batch), BANDS)).copy()
-        for j in range(WIDTH):
-            acc = mix(acc ^ sig[:, :, j].astype(np.uint64))
         ids = np.repeat(batch.column("rep").to_numpy(), BANDS)
-        yield pa.record_batch([pa.array(ids), pa.array(acc.ravel().view(np.int64))], names=["rep", "bucket"])
+        yield pa.record_batch([pa.array(ids), pa.array(_buckets(_signatures_of(batch.column("sig"))).ravel())], names=["rep", "bucket"])
 
 
 def _sets(size: int):
@@ -124,10 +133,6 @@ def _possible(x: np.ndarray, y: np.ndarray, needed: list[tuple[int, int]]) -> tu
     return at, matches
 
 
-def _signatures_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
-
-
 def _confirmed(percent: int, miss: float):
     """Pairs that their signatures leave possible and their sets confirm."""
     needed = least_matches(percent / 100, miss)
@@ -143,7 +148,7 @@ def _confirmed(percent: int, miss: float):
 
 
 #: Pairs compared at once.
-_PAIRS = 1 << 17
+_PAIRS = 1 << 16
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +175,12 @@ Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
 def _survivors(batch: pa.RecordBatch, percent: int, needed: list[tuple[int, int]], root: np.ndarray | None = None) -> Iterator[Pairs]:
     """Rows of pairs within groups, of different components, that stay possible, and their matches.
 
-    ``root``, changed between steps, joins components further on.
+    A pair counts in the first band that it shares only. ``root``, changed between steps, joins components further on.
     """
     bucket, i, j, side, component, size = (batch.column(c).to_numpy() for c in ("bucket", "i", "j", "side", "component", "n_shingles"))
     common = batch.column("common").to_numpy()
     sig = _signatures_of(batch.column("sig"))
+    band = np.argmax(_buckets(sig) == bucket[:, None], axis=1)
     n = len(batch)
     root = component if root is None else root
     new = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
@@ -193,8 +199,11 @@ def _survivors(batch: pa.RecordBatch, percent: int, needed: list[tuple[int, int]
         fits = (root[left] != root[right]) & ((i[left] == j[left]) | (side[left] != side[right])) & ((100 + percent) * most >= percent * (a + b))
         left, right = left[fits], right[fits]
         at, matches = _possible(sig[left], sig[right], needed)
-        if len(at):
-            yield left[at], right[at], matches
+        left, right = left[at], right[at]
+        shared = (sig[left] == sig[right]).reshape(-1, BANDS, WIDTH).all(axis=2)
+        here = np.argmax(shared, axis=1) == band[left]
+        if here.any():
+            yield left[here], right[here], matches[here]
 
 
 def _likeliest(percent: int, miss: float):
@@ -242,7 +251,11 @@ def _jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def overlaps(values: np.ndarray, firsts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of pairs of sets, all of the pairs of one left set at once."""
+    """Sizes of the intersections of pairs of sets, all of the pairs of one left set at once.
+
+    Of the right sets, only what is in some left set is looked up. A left set that
+    pairs with few of them reads these alone.
+    """
     lefts, rights = np.unique(left), np.unique(right)
     sets = [values[firsts[x] : firsts[x + 1]] for x in lefts]
     union = np.unique(np.concatenate(sets))
@@ -255,11 +268,20 @@ def overlaps(values: np.ndarray, firsts: np.ndarray, left: np.ndarray, right: np
     upto = np.concatenate([[0], np.cumsum(hit)])[np.append(starts, sizes.sum())]
     out, of = np.zeros(len(left), np.int64), np.searchsorted(rights, right)
     order = np.argsort(left, kind="stable")
+    flag = np.zeros(len(union), np.int8)
     for own, at in zip(sets, np.split(order, np.searchsorted(left[order], lefts[1:])), strict=True):
-        flag = np.zeros(len(union), np.int64)
-        flag[np.searchsorted(union, own)] = 1
-        sums = np.concatenate([[0], np.cumsum(flag[place])])
-        out[at] = (sums[upto[1:]] - sums[upto[:-1]])[of[at]]
+        own = np.searchsorted(union, own)
+        flag[own] = 1
+        begin, end = upto[of[at]], upto[of[at] + 1]
+        ends = np.cumsum(end - begin)
+        if 2 * ends[-1] < len(place):
+            begin, end, read = ends - (end - begin), ends, np.repeat(end - ends, end - begin) + np.arange(ends[-1])
+            found = flag[place[read]]
+        else:
+            found = flag[place]
+        sums = np.concatenate([[0], np.cumsum(found, dtype=np.int64)])
+        out[at] = sums[end] - sums[begin]
+        flag[own] = 0
     return out
 
 
@@ -357,12 +379,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
         rows = rows.select("bucket", "rep", "n_shingles", "common", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
         return rows.join(by_rep.select("rep", "sig"), "rep")
 
+    def edges(state: DataFrame) -> DataFrame:
+        return state.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
     def by_group(rows: DataFrame) -> DataFrame:
         return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     first = shared.groupBy("rep").agg(F.min("leader").alias("a")).select("a", F.col("rep").alias("b")).where("a != b")
-    links = verified(first).union(same_id)
-    state = connected_components(links)
+    state = connected_components(verified(first).union(same_id))
 
     sizes = by_rep.select("rep", "n_shingles")
     mixed = materialize(mixed_rows(shared.select("bucket", "n", "rep").join(sizes, "rep"), state), "mixed")
@@ -376,17 +400,19 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     likeliest = by_group(in_blocks(bounded)).mapInArrow(_likeliest(percent, miss), "rep bigint, matches bigint, other bigint")
     likeliest = likeliest.groupBy("rep").agg(F.max(F.struct("matches", (-F.col("other")).alias("other"))).alias("best")).select(F.least("rep", -F.col("best.other")).alias("a"), F.greatest("rep", -F.col("best.other")).alias("b"))
     pairs = materialize(likeliest.distinct(), "pairs")
-    links = links.union(verified(pairs))
+    found = verified(pairs)
     spent += [pairs, state, mixed, common, bounded]
-    state = connected_components(links)
+    state = connected_components(edges(state).union(found))
 
     schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, common bigint, component bigint, sig binary"
     left = materialize(by_group(in_blocks(mixed_rows(bounded, state))).mapInArrow(_open_rows(percent, miss), schema), "open")
     if not left.isEmpty():
         settled = by_group(left.join(held.select("rep", "held"), "rep")).mapInArrow(_settled(percent, miss), "a bigint, b bigint")
         settled = materialize(settled, "links")
-        spent += [settled, state]
-        state = connected_components(links.union(settled))
+        spent.append(settled)
+        if not settled.isEmpty():
+            spent.append(state)
+            state = connected_components(edges(state).union(settled))
     discard(left, *spent)
 
     named = classes.select(*KEY, "doc_id", "rep").join(state.withColumnRenamed("node", "rep"), "rep", "left")
