@@ -401,8 +401,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     likeliest = likeliest.groupBy("rep").agg(F.max(F.struct("matches", (-F.col("other")).alias("other"))).alias("best")).select(F.least("rep", -F.col("best.other")).alias("a"), F.greatest("rep", -F.col("best.other")).alias("b"))
     pairs = materialize(likeliest.distinct(), "pairs")
     found = verified(pairs)
-    spent += [pairs, state, mixed, common, bounded]
-    state = connected_components(edges(state).union(found))
+    spent += [pairs, mixed, common, bounded]
+    if not found.isEmpty():
+        spent.append(state)
+        state = connected_components(edges(state).union(found))
 
     schema = "bucket bigint, i int, j int, side int, rep bigint, n_shingles bigint, common bigint, component bigint, sig binary"
     left = materialize(by_group(in_blocks(mixed_rows(bounded, state))).mapInArrow(_open_rows(percent, miss), schema), "open")
