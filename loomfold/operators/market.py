@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.expr import TIME, Expr, cell, col, eps_guard, ewm_step, fold, let, trailing, ts
+from ..plans.expr import TIME, Expr, cell, col, eps_guard, ewm, let, trailing, ts
 from .crosssection import ZScore
 from .timeseries import Pct_Change, Ts_Delay, Ts_Delta, Ts_Max, Ts_Mean, Ts_Min, Ts_Std, Ts_Sum, _list, rolling
 
@@ -70,7 +70,7 @@ def RangeBreakout(close: Expr, high: Expr, low: Expr, window: int) -> Expr:
 
 def Ewm(x: Expr, span: float, min_periods: int) -> Expr:
     """Exponential mean (no adjustment) with alpha = 2 / (span + 1)."""
-    return fold(("ewm", float(span), min_periods), ewm_step(2.0 / (span + 1), min_periods), x)
+    return ewm(x, 2.0 / (span + 1), min_periods)
 
 
 def RSI(close: Expr, window: int = 14) -> Expr:

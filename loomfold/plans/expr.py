@@ -3,26 +3,33 @@
 A panel is a long table with one row for each (t_idx, symbol) of a dense grid.
 Expressions are trees of four kinds of nodes: ``cell`` (a projection), ``ts``
 (a window over one symbol's rows by t_idx), ``xs`` (a window over one date's
-rows) and ``fold`` (a recursion along one symbol's rows). Window functions do
-not nest in Spark, so the compiler numbers the nodes by depth and adds all
+rows) and ``scan`` (an exponential mean along one symbol's rows). Window functions
+do not nest in Spark, so the compiler numbers the nodes by depth and adds all
 windows of one depth and kind in one projection; equal nodes are computed once,
 and windows of one kind in a row share an exchange.
+
+A scan is done by blocks of a symbol's rows. Inside a block a mean is an affine map
+of the mean at its first value, a running product and a running sum; the maps of a
+symbol's blocks, a row for each block, are applied one after the other, and give
+each block the state it starts from. So a symbol's rows need not be one task's, and
+the block's size changes no result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SYMBOL, TIME = "symbol", "t_idx"
 EPS = 1e-10
+#: Rows of a block of a scan, at most; less where the weights of so many rows would leave the range of doubles.
+SCAN_ROWS = 256
+_LEAST_WEIGHT = 1e-100
 
 
 def along() -> Any:
@@ -153,9 +160,17 @@ def xs(name: Any, build: Callable[..., Column], *args: Any) -> Expr:
     return _node("xs", name, build, *args)
 
 
-def fold(name: Any, make: Callable[[], Callable[[float | None], float | None]], arg: Any) -> Expr:
-    """``make`` returns a fresh step function from a row's value (None for null) to its result."""
-    return _node("fold", name, make, arg)
+def ewm(x: Any, alpha: float, min_periods: int) -> Expr:
+    """Exponential mean without adjustment: through gaps the old weight decays, and the mean is carried on."""
+    x = as_expr(x)
+    if alpha >= 1:  # nothing older than the last value counts
+        value = cell("nan", lambda c: F.nanvl(c.cast("double"), F.lit(None)), x)
+        return ts(("last", min_periods), lambda c: F.when(F.count(c).over(_so_far()) >= max(1, min_periods), F.last(c, ignorenulls=True).over(_so_far())), value)
+    return Expr("scan", ("scan", alpha, min_periods, x.key), (x,), lambda: (alpha, min_periods))
+
+
+def _so_far() -> Any:
+    return along().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -177,8 +192,8 @@ def compile_exprs(panel: DataFrame, outputs: dict[str, Any]) -> DataFrame:
     def number(e: Expr) -> int:
         if e.key not in depth:
             below = max((number(a) for a in e.args), default=0)
-            depth[e.key] = below + (e.kind in ("ts", "xs", "fold"))
-            if e.kind in ("ts", "xs", "fold"):
+            depth[e.key] = below + (e.kind in ("ts", "xs", "scan"))
+            if e.kind in ("ts", "xs", "scan"):
                 nodes[e.key] = e
         return depth[e.key]
 
@@ -195,9 +210,8 @@ def compile_exprs(panel: DataFrame, outputs: dict[str, Any]) -> DataFrame:
 
     for level in range(1, max(depth.values(), default=0) + 1):
         now = [e for k, e in nodes.items() if depth[k] == level]
-        folds = [e for e in now if e.kind == "fold"]
-        if folds:
-            panel = _folded(panel, {names[e.key]: (column(e.args[0]), e.build) for e in folds})
+        scans = {names[e.key]: (column(e.args[0]), *e.build()) for e in now if e.kind == "scan"}
+        panel = _scanned(panel, scans) if scans else panel
         for kind in ("ts", "xs"):
             windows = {names[e.key]: e.build(*map(column, e.args)) for e in now if e.kind == kind}
             panel = panel.withColumns(windows) if windows else panel
@@ -205,50 +219,52 @@ def compile_exprs(panel: DataFrame, outputs: dict[str, Any]) -> DataFrame:
     return panel.drop(*names.values())
 
 
-def _folded(panel: DataFrame, folds: dict[str, tuple[Column, Callable]]) -> DataFrame:
-    """Recursions of one depth in one pass over rows sorted by symbol and time; state is a few numbers."""
-    makes = {k: make for k, (_, make) in folds.items()}
-    prepared = panel.withColumns({k: c.cast("double") for k, (c, _) in folds.items()})
-    names = prepared.columns
+def _scanned(panel: DataFrame, means: dict[str, tuple[Column, float, int]]) -> DataFrame:
+    """``panel`` with exponential means (value, alpha, min_periods) of one depth."""
+    rows = min(SCAN_ROWS, *(max(1, int(math.log(_LEAST_WEIGHT) / math.log1p(-alpha))) for _, alpha, _ in means.values()))
+    block = Window.partitionBy(SYMBOL, "_block").orderBy(TIME)
+    upto, before = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, -1)
+    alphas = {n: alpha for n, (_, alpha, _) in means.items()}
+    df = panel.withColumns({n: F.nanvl(x.cast("double"), F.lit(None)) for n, (x, _, _) in means.items()} | {"_block": F.floor(F.col(TIME) / rows).cast("int")})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, steps = object(), {}
-        for batch in batches:
-            symbols = batch.column(names.index(SYMBOL)).to_pylist()
-            columns = {k: batch.column(names.index(k)).to_pylist() for k in makes}
-            out: dict[str, list] = {k: [] for k in makes}
-            for i, s in enumerate(symbols):
-                if s != symbol:
-                    symbol, steps = s, {k: make() for k, make in makes.items()}
-                for k, step in steps.items():
-                    out[k].append(step(columns[k][i]))
-            arrays = [pa.array(out[n], pa.float64()) if n in makes else batch.column(i) for i, n in enumerate(names)]
-            yield pa.record_batch(arrays, names=names)
+    def decay(gap: Column, alpha: float) -> Column:
+        return F.pow(F.lit(1 - alpha), gap)
 
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in prepared.schema.fields])
-    return prepared.repartition(SYMBOL).sortWithinPartitions(SYMBOL, TIME).mapInArrow(run, schema)
+    # in a block, from its first value on: the weight of that value's mean, and what later values add, by that weight
+    seen = {n: F.when(F.col(n).isNotNull(), F.col(TIME).cast("bigint")) for n in means}
+    df = df.withColumns({f"{n}_d": F.when(F.col(n).isNotNull(), decay(F.col(TIME) - F.last(seen[n], ignorenulls=True).over(before), a)) for n, a in alphas.items()})
+    df = df.withColumns({f"{n}_w": F.product(F.coalesce(F.col(f"{n}_d") / (F.col(f"{n}_d") + a), F.lit(1.0))).over(upto) for n, a in alphas.items()})
+    added = {f"{n}_s": F.coalesce(F.sum(a * F.col(n) / (F.col(f"{n}_d") + a) / F.col(f"{n}_w")).over(upto), F.lit(0.0)) for n, a in alphas.items()}
+    df = df.withColumns(added | {f"{n}_n": F.count(n).over(upto) for n in means})
 
+    # a row for each block, with its own rows, and the state that those before it lead to
+    def end(n: str) -> Column:
+        parts = {"first": F.min(seen[n]), "last": F.max(seen[n]), "x": F.min_by(n, seen[n]), "w": F.max_by(f"{n}_w", TIME), "s": F.max_by(f"{n}_s", TIME), "n": F.count(n)}
+        return F.struct(*(c.alias(k) for k, c in parts.items())).alias(n)
 
-def ewm_step(alpha: float, min_periods: int) -> Callable[[], Callable[[float | None], float | None]]:
-    """Exponential mean without adjustment: through gaps the old weight decays, and the mean is carried on."""
+    def first_mean(state: Column, end: Column, alpha: float) -> Column:
+        d = decay(end["first"] - state["last"], alpha)
+        return F.when(state["mean"].isNull(), end["x"]).otherwise((d * state["mean"] + alpha * end["x"]) / (d + alpha))
 
-    def make() -> Callable[[float | None], float | None]:
-        mean, weight, seen = None, 1.0, 0
-
-        def step(x: float | None) -> float | None:
-            nonlocal mean, weight, seen
-            if x is not None and not np.isnan(x):
-                seen += 1
-                if mean is None:
-                    mean = x
-                else:
-                    weight *= 1 - alpha
-                    mean = (weight * mean + alpha * x) / (weight + alpha)
-                weight = 1.0
-            elif mean is not None:
-                weight *= 1 - alpha
-            return mean if seen >= max(1, min_periods) else None
+    def advance(alpha: float) -> Callable[[Column, Column], Column]:
+        def step(state: Column, end: Column) -> Column:
+            mean = end["w"] * (first_mean(state, end, alpha) + end["s"])
+            return F.when(end["n"] == 0, state).otherwise(F.struct(mean.alias("mean"), end["last"].alias("last"), (state["n"] + end["n"]).alias("n")))
 
         return step
 
-    return make
+    own = [*panel.columns, *(f"{n}_{k}" for n in means for k in "wsn")]
+    nothing = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
+    earlier = Window.partitionBy(SYMBOL).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(SYMBOL, "_block").agg(F.collect_list(F.struct(*own)).alias("_rows"), *map(end, means))
+    blocks = blocks.withColumn("_ends", F.collect_list(F.struct(*means)).over(earlier))
+    blocks = blocks.withColumns({f"{n}_at": F.aggregate(f"_ends.{n}", nothing, advance(a)) for n, a in alphas.items()})
+    blocks = blocks.select("_rows", *(F.struct(F.col(f"{n}_at.mean"), F.col(f"{n}_at.n"), F.col(f"{n}.first"), first_mean(F.col(f"{n}_at"), F.col(n), a).alias("first_mean")).alias(f"{n}_at") for n, a in alphas.items()))
+    df = blocks.select(F.explode("_rows").alias("_row"), *(f"{n}_at" for n in means)).select("_row.*", *(f"{n}_at" for n in means))
+
+    def mean_at(n: str, least: int) -> Column:
+        at = F.col(f"{n}_at")
+        mean = F.when(F.col(TIME) >= at["first"], F.col(f"{n}_w") * (at["first_mean"] + F.col(f"{n}_s"))).otherwise(at["mean"])
+        return F.when(at["n"] + F.col(f"{n}_n") >= max(1, least), mean)
+
+    return df.select(*panel.columns, *(mean_at(n, least).alias(n) for n, (_, _, least) in means.items()))
