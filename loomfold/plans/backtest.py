@@ -61,17 +61,26 @@ class VectorEngine:
         self.cost_rate, self.initial_capital, self.delay, self.decay, self.industry = cost_rate, initial_capital, delay, decay, industry
         self.start_date, self.end_date = start_date, end_date
 
+    def _kept(self) -> list[str]:
+        return ["date", "t_idx", "symbol", "symbol_pos", "close", "is_suspended", "is_limit", *(c for c in _CONTEXT if c in self.panel.df.columns)]
+
     def aligned(self) -> DataFrame:
         """The common grid with ``factor``, clipped to the date range and renumbered."""
-        keep = ["date", "t_idx", "symbol", "symbol_pos", "close", "is_suspended", "is_limit", *(c for c in _CONTEXT if c in self.panel.df.columns)]
+        keep = self._kept()
         if isinstance(self.factor, Expr):
-            df = compile_exprs(self.panel.df, {"factor": self.factor}).select(*keep, "factor")
+            df = compile_exprs(self.panel.df, {"factor": self.factor})
         else:
             values = self.factor.select("date", "symbol", F.col("value").alias("factor"))
             df = self.panel.df.select(*keep).join(values.select("date").distinct(), "date", "left_semi").join(values.select("symbol").distinct(), "symbol", "left_semi")
             df = df.join(values, ["date", "symbol"], "left")
-        if self.start_date is None and self.end_date is None and isinstance(self.factor, Expr):
-            return df
+        return self.clipped(df, ["factor"]) if isinstance(self.factor, Expr) else self._renumbered(df)
+
+    def clipped(self, df: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows of ``df``, a panel with further columns, in the date range, and renumbered if there is one."""
+        df = df.select(*self._kept(), *columns)
+        return df if self.start_date is None and self.end_date is None else self._renumbered(df)
+
+    def _renumbered(self, df: DataFrame) -> DataFrame:
         df = df if self.start_date is None else df.where(F.col("date") >= F.lit(self.start_date).cast("date"))
         df = df if self.end_date is None else df.where(F.col("date") <= F.lit(self.end_date).cast("date"))
         calendar = calendar_of(df)

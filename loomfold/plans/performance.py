@@ -17,17 +17,24 @@ METRICS = (
 )
 
 
-def ic_series(panel: DataFrame, factor: str, returns: str) -> DataFrame:
-    """(t_idx, ic): rank correlation by date.
+def ic_table(panel: DataFrame, factors: list[str], returns: str) -> DataFrame:
+    """(t_idx, ic_0, …): rank correlation of each factor with the returns by date.
 
     Each side is ranked and centred on its own non-null names; the numerator
     sums over names that have both, each denominator over its own names.
     """
-    ranked = compile_exprs(panel, {"rf": ops.Rank(_col(factor)), "rr": ops.Rank(_col(returns))})
+    names = [f"_r{i}" for i in range(len(factors))]
+    ranked = compile_exprs(panel, {n: ops.Rank(_col(f)) for n, f in zip(names, factors, strict=True)} | {"_rr": ops.Rank(_col(returns))})
     day = Window.partitionBy("t_idx")
-    centred = ranked.select("t_idx", *((F.col(c) - F.avg(c).over(day)).alias(c) for c in ("rf", "rr")))
-    sums = centred.groupBy("t_idx").agg(F.coalesce(F.sum(F.col("rf") * F.col("rr")), F.lit(0.0)).alias("n"), F.sum(F.col("rf") ** 2).alias("f"), F.sum(F.col("rr") ** 2).alias("r"))
-    return sums.select("t_idx", F.try_divide("n", F.nullif(F.sqrt("f") * F.sqrt("r"), F.lit(0.0))).alias("ic"))
+    centred = ranked.select("t_idx", *((F.col(c) - F.avg(c).over(day)).alias(c) for c in (*names, "_rr")))
+    sums = [x for n in names for x in (F.coalesce(F.sum(F.col(n) * F.col("_rr")), F.lit(0.0)).alias(f"{n}n"), F.sum(F.col(n) ** 2).alias(f"{n}f"))]
+    table = centred.groupBy("t_idx").agg(*sums, F.sum(F.col("_rr") ** 2).alias("_rr"))
+    return table.select("t_idx", *(F.try_divide(F.col(f"{n}n"), F.nullif(F.sqrt(f"{n}f") * F.sqrt("_rr"), F.lit(0.0))).alias(f"ic_{i}") for i, n in enumerate(names)))
+
+
+def ic_series(panel: DataFrame, factor: str, returns: str) -> DataFrame:
+    """(t_idx, ic) of one factor, see :func:`ic_table`."""
+    return ic_table(panel, [factor], returns).withColumnRenamed("ic_0", "ic")
 
 
 def forward_ic(panel: DataFrame, factor: str, price: str, horizon: int, least_names: int = 10) -> DataFrame:
@@ -55,17 +62,18 @@ def rolling_ic(daily: DataFrame, window: int = 20) -> DataFrame:
     return daily.select("t_idx", "ic", mean.alias("rolling_ic"), total.alias("cumulative_ic"))
 
 
-def drawdown(daily: DataFrame) -> DataFrame:
-    """(t_idx, nav, drawdown) of a daily table."""
-    top = F.max("nav").over(Window.orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0))
-    return daily.select("t_idx", "nav", F.try_divide(F.col("nav") - top, top).alias("drawdown"))
+def drawdown(daily: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(t_idx, nav, drawdown) of a daily table, or of each of the tables named by ``by``."""
+    top = F.max("nav").over(Window.partitionBy(*by).orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0))
+    return daily.select(*by, "t_idx", "nav", F.try_divide(F.col("nav") - top, top).alias("drawdown"))
 
 
-def summary(daily: DataFrame) -> DataFrame:
-    """One row of all metrics from (t_idx, nav, net_return, cost, turnover, ic)."""
-    x = daily.join(drawdown(daily).select("t_idx", "drawdown"), "t_idx")
+def summary(daily: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row of all metrics from (t_idx, nav, net_return, cost, turnover, ic), or one for each of the tables named by ``by``."""
+    top = F.max("nav").over(Window.partitionBy(*by).orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0))
+    x = daily.withColumn("drawdown", F.try_divide(F.col("nav") - top, top))
     n = F.col("n")
-    base = x.agg(
+    base = x.groupBy(*by).agg(
         F.count("*").alias("n"), F.max_by("nav", "t_idx").alias("last"), F.min_by("nav", "t_idx").alias("first"), F.avg("net_return").alias("mean"), F.stddev_samp("net_return").alias("sd"),
         F.min("drawdown").alias("dd"), F.avg("turnover").alias("avg_turnover"), F.avg("cost").alias("mean_cost"),
         F.count("ic").alias("n_ic"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_sd"), 
@@ -88,7 +96,7 @@ def summary(daily: DataFrame) -> DataFrame:
     base = base.withColumn("ic_std", F.when(known, F.col("ic_sd"))).withColumn("ann_cost", F.col("mean_cost") * YEAR)
     idle = (F.abs("ann_return") < EPS) | (F.coalesce("avg_turnover", F.lit(0.0)) < EPS)
     base = base.withColumn("fitness", unless(idle, F.col("sharpe") * F.sqrt(F.try_divide(F.abs("ann_return"), F.col("avg_turnover")))))
-    return base.select(*METRICS)
+    return base.select(*by, *METRICS)
 
 
 def mean_factor_correlation(panel: DataFrame, a: str, b: str, least_names: int = 5) -> DataFrame:

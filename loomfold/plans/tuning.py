@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from .backtest import VectorEngine
 from .expr import Expr, col
+from .grid import metrics, signal_of
 from .panel import Panel
 
 BACKTEST_KEYS = ("rebalance_freq", "top_n", "weight_method", "cost_rate", "delay", "decay", "start_date", "end_date")
@@ -35,8 +36,10 @@ def build_combos(factor_params: dict[str, list], backtest_params: dict[str, list
 class ParameterTuner:
     """Back-tests every combination of ``factor_fn(close, volume, high, low, **params)`` and ranks them.
 
-    The panel is cached; combinations are jobs of one session, ``n_jobs`` at a
-    time. A combination that fails has null metrics; if all fail, run raises.
+    All combinations of one date range are one plan over one scan of the panel
+    (:mod:`.grid`). A combination that fails has null metrics: those that cannot be
+    built or analysed leave the plan; if a plan fails when it runs, its combinations
+    run one by one, ``n_jobs`` at a time. If all fail, run raises.
     """
 
     def __init__(
@@ -64,22 +67,45 @@ class ParameterTuner:
         factor = self.factor_fn(col("close"), col("volume"), col("high"), col("low"), **combo["factor_params"])
         return VectorEngine(factor, self.panel, industry=self.industry, **combo["backtest_params"])
 
-    def _metrics(self, combo: dict[str, Any]) -> dict[str, Any]:
-        row = {"combo_id": combo["id"], **{f"f_{k}": v for k, v in combo["factor_params"].items()}, **{f"b_{k}": v for k, v in combo["backtest_params"].items()}}
+    def _row(self, combo: dict[str, Any]) -> dict[str, Any]:
+        return {"combo_id": combo["id"], **{f"f_{k}": v for k, v in combo["factor_params"].items()}, **{f"b_{k}": v for k, v in combo["backtest_params"].items()}}
+
+    def _prepared(self, combo: dict[str, Any]) -> VectorEngine | str:
+        """The combination's engine, or what is wrong with it."""
         try:
-            found = self._engine(combo).run().metrics.select(*METRICS).first().asDict()
+            engine = self._engine(combo)
+            if isinstance(engine.factor, Expr):
+                engine.panel.with_factors(_probe=signal_of(engine.factor, engine))  # analyses, runs nothing
+            return engine
         except Exception as e:  # a user's factor may fail for some parameters
-            return {**row, **dict.fromkeys(METRICS), "error": str(e)[:500]}
-        return {**row, **found, "error": None}
+            return str(e)[:500]
 
-    def run(self) -> pd.DataFrame:
-        cached = self.panel.df.persist()
-        self.panel = Panel(cached, self.panel.industry)
+    def _alone(self, engine: VectorEngine) -> dict[str, Any]:
+        try:
+            return engine.run().metrics.select(*METRICS).first().asDict() | {"error": None}
+        except Exception as e:
+            return {**dict.fromkeys(METRICS), "error": str(e)[:500]}
+
+    def _together(self, engines: dict[int, VectorEngine]) -> dict[int, dict[str, Any]]:
+        """Metrics of engines of one date range."""
         try:
+            return {n: {k: found[k] for k in METRICS} | {"error": None} for n, found in metrics(engines).items()}
+        except Exception:  # which of them it was shows when each runs alone
             with ThreadPoolExecutor(self.n_jobs) as pool:
-                rows = list(pool.map(self._metrics, self.combos))
-        finally:
-            cached.unpersist()
+                return dict(zip(engines, pool.map(self._alone, engines.values()), strict=True))
+
+    def run(self) -> pd.DataFrame:
+        prepared = [self._prepared(c) for c in self.combos]
+        found = {n: {**dict.fromkeys(METRICS), "error": e} for n, e in enumerate(prepared) if isinstance(e, str)}
+        ranges: dict[tuple, dict[int, VectorEngine]] = {}
+        for n, engine in enumerate(prepared):
+            if n not in found and isinstance(engine.factor, Expr):
+                ranges.setdefault((str(engine.start_date), str(engine.end_date)), {})[n] = engine
+            elif n not in found:
+                found[n] = self._alone(engine)  # a table of values is aligned to its own dates
+        for engines in ranges.values():
+            found |= self._together(engines)
+        rows = [self._row(c) | found[n] for n, c in enumerate(self.combos)]
         if all(r["error"] is not None for r in rows):
             raise RuntimeError(f"all combinations failed, the first with: {rows[0]['error']}")
         table = pd.DataFrame(rows).sort_values(list(self.targets), ascending=[d == "asc" for d in self.targets.values()], na_position="last", kind="stable")
