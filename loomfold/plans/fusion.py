@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ops
+from ..sources.shared import fresh_folder
 from .backtest import BacktestResult, VectorEngine
 from .expr import EPS, Expr, as_expr, cell, col, compile_exprs
-from .panel import Panel
+from .forest import LEAST_ROWS, Forest, grow, predict
+from .panel import Panel, broadcast_if_small
 
 TARGETS, METHODS = ("close", "open", "vwap"), ("return", "log_return")
 
@@ -157,11 +159,11 @@ class StatisticalCombiner(FactorCombiner):
 
 
 def _save_json(spark: SparkSession, path: str, state: dict) -> None:
-    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
 def _load_json(spark: SparkSession, path: str, kind: str) -> dict:
-    state = json.loads(spark.read.text(path).first()[0])
+    state = json.loads(spark.read.text(f"{path}/model").first()[0])
     if state.get("kind") != kind:
         raise TypeError(f"{path} holds no {kind} combiner")
     return state
@@ -174,8 +176,14 @@ class MLCombiner(FactorCombiner):
     """Models of factor ranks, refitted on an expanding window.
 
     A model fitted on rows before ``end`` predicts rows from ``end`` to the
-    next refit. ``purge`` rows before ``end`` can be left out, so that labels
-    do not look past it; by default none are.
+    next refit, on panels with the dates and symbols it was fitted on; the last
+    one, of all rows, predicts any other panel. ``purge`` rows before ``end`` can be
+    left out, so that labels do not look past it; by default none are.
+
+    ``fit`` writes the ranked panel once, to the session's shared folder, and the
+    predictions of it when they are first asked for. ``predict`` returns that table
+    for the panel and factors it was fitted on, which it knows by their plans, so
+    other values of the same dates and symbols are predicted anew.
     """
 
     def __init__(
@@ -190,104 +198,163 @@ class MLCombiner(FactorCombiner):
             except ImportError as e:
                 raise ImportError("model_type 'xgboost' needs the xgboost package") from e
         self.model_type, self.min_train_periods, self.refit_freq, self.ridge_alpha, self.purge = model_type, min_train_periods, refit_freq, ridge_alpha, purge
-        self.trees = {"random_forest": (rf_n_estimators, rf_max_depth, None), "xgboost": (xgb_n_estimators, xgb_max_depth, xgb_learning_rate)}.get(model_type)
+        self.rf_n_estimators, self.rf_max_depth = rf_n_estimators, rf_max_depth
+        self.boosting = (xgb_n_estimators, xgb_max_depth, xgb_learning_rate)
+        self.ends: list[int] = []
         self.blocks: list[dict] = []
         self.importances = np.zeros(0)
-        self.models: list[tuple[int, int, Any]] = []
+        self.forest: Forest | None = None
+        self.boosted: list[tuple[int, int, Any]] = []
+        self.grid: list[str] = []
+        self._fitted: tuple[DataFrame, tuple, DataFrame] | None = None
+        self._predictions: DataFrame | None = None
 
     def _ends(self, periods: int) -> list[int]:
-        ends = list(range(self.min_train_periods, periods, self.refit_freq))
-        return ends if ends and ends[-1] == periods else [*ends, periods]
+        return [*range(self.min_train_periods, periods, self.refit_freq), periods]
 
     def fit(self, panel: Panel, factors: Sequence[Any], label: Expr) -> MLCombiner:
         self.factors = tuple(map(as_expr, factors))
         k = len(self.factors)
+        if not k:
+            raise ValueError("no factors given")
         names = [f"x{i}" for i in range(k)]
-        df = self._ranked(panel, self.factors, y=label)
+        df = _written(self._ranked(panel, self.factors, y=label), "ranked")
+        self._fitted, self._predictions = (panel.df, tuple(f.key for f in self.factors), df), None
+        self.grid = _grid_of(df)
         periods = df.agg(F.max("t_idx")).first()[0]
-        periods = 0 if periods is None else periods + 1
+        ends = self.ends = self._ends(0 if periods is None else periods + 1)
         full = df.dropna(subset=[*names, "y"])
-        self.blocks, self.models, found = [], [], []
-        if self.trees:
-            for end in self._ends(periods):
+        self.blocks, self.boosted, self.forest = [], [], None
+        if self.model_type == "random_forest":
+            rows = full.select("t_idx", F.xxhash64("symbol", "t_idx").alias("key"), *names, "y")
+            self.forest = grow(rows, k, ends, trees=self.rf_n_estimators, depth=self.rf_max_depth, purge=self.purge)
+            mean = self.forest.importances(k)
+        elif self.model_type == "xgboost":
+            found = []
+            for end in ends:
                 train = full.where(F.col("t_idx") < end - self.purge)
-                if train.count() >= 10:
-                    model = self._tree_model(train, names)
-                    self.models.append((end, min(end + self.refit_freq, periods), model))
+                if train.count() >= LEAST_ROWS:
+                    model = self._boosted_model(train, names)
+                    self.boosted.append((end, min(end + self.refit_freq, ends[-1]), model))
                     found.append(np.abs(model.stages[-1].featureImportances.toArray()))
+            mean = np.mean(found, axis=0) if found else np.zeros(k)
         else:
-            pairs = [(i, j) for i in range(k) for j in range(i, k)]
-            sums = [F.count("*"), F.sum("y"), *(F.sum(n) for n in names), *(F.sum(F.col(n) * F.col("y")) for n in names), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs)]
-            # sufficient statistics, one row for each date
-            rows = full.groupBy("t_idx").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).collect()
-            daily = np.zeros((periods, len(sums)))
-            for r in rows:
-                daily[r[0]] = r[1:]
-            total = np.concatenate([np.zeros((1, len(sums))), np.cumsum(daily, axis=0)])
-            for end in self._ends(periods):
-                s = total[max(0, end - self.purge)]
-                n = s[0]
-                if n < 10:
-                    continue
-                sy, sx, sxy = s[1], s[2 : 2 + k], s[2 + k : 2 + 2 * k]
-                xx = np.zeros((k, k))
-                for (i, j), v in zip(pairs, s[2 + 2 * k :], strict=True):
-                    xx[i, j] = xx[j, i] = v
-                gram = xx - np.outer(sx, sx) / n
-                right = sxy - sx * sy / n
-                w = np.linalg.solve(gram + self.ridge_alpha * np.eye(k), right) if self.model_type == "ridge" else np.linalg.lstsq(gram, right, rcond=None)[0]
-                self.blocks.append({"start": end, "stop": min(end + self.refit_freq, periods), "intercept": float((sy - w @ sx) / n), "coef": w.tolist()})
-                found.append(np.abs(w))
-        mean = np.mean(found, axis=0) if found else np.full(k, 1 / k)
+            mean = self._fit_linear(full, names, ends)
         self.importances = mean / mean.sum() if mean.sum() > 0 else np.full(k, 1 / k)
         return self
 
-    def _tree_model(self, train: DataFrame, names: list[str]) -> Any:
+    def _fit_linear(self, full: DataFrame, names: list[str], ends: list[int]) -> np.ndarray:
+        """Blocks of coefficients from sufficient statistics, one row for each date; returns their mean size."""
+        k = len(names)
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.count("*"), F.sum("y"), *(F.sum(n) for n in names), *(F.sum(F.col(n) * F.col("y")) for n in names), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs)]
+        daily = np.zeros((ends[-1], len(sums)))
+        for r in full.groupBy("t_idx").agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).collect():
+            daily[r[0]] = r[1:]
+        total = np.concatenate([np.zeros((1, len(sums))), np.cumsum(daily, axis=0)])
+        found = []
+        for end in ends:
+            s = total[max(0, end - self.purge)]
+            n = s[0]
+            if n < LEAST_ROWS:
+                continue
+            sy, sx, sxy = s[1], s[2 : 2 + k], s[2 + k : 2 + 2 * k]
+            xx = np.zeros((k, k))
+            for (i, j), v in zip(pairs, s[2 + 2 * k :], strict=True):
+                xx[i, j] = xx[j, i] = v
+            gram = xx - np.outer(sx, sx) / n
+            right = sxy - sx * sy / n
+            w = np.linalg.solve(gram + self.ridge_alpha * np.eye(k), right) if self.model_type == "ridge" else np.linalg.lstsq(gram, right, rcond=None)[0]
+            self.blocks.append({"start": end, "stop": min(end + self.refit_freq, ends[-1]), "intercept": float((sy - w @ sx) / n), "coef": w.tolist()})
+            found.append(np.abs(w))
+        return np.mean(found, axis=0) if found else np.zeros(k)
+
+    def _boosted_model(self, train: DataFrame, names: list[str]) -> Any:
         from pyspark.ml import Pipeline
         from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import RandomForestRegressor
+        from xgboost.spark import SparkXGBRegressor
 
-        count, depth, rate = self.trees
-        if rate is None:
-            model = RandomForestRegressor(labelCol="y", featuresCol="features", numTrees=count, maxDepth=depth, seed=42)
-        else:
-            from xgboost.spark import SparkXGBRegressor
-
-            model = SparkXGBRegressor(label_col="y", features_col="features", n_estimators=count, max_depth=depth, learning_rate=rate)
+        count, depth, rate = self.boosting
+        model = SparkXGBRegressor(label_col="y", features_col="features", n_estimators=count, max_depth=depth, learning_rate=rate)
         return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model]).fit(train)
 
     def predict(self, panel: Panel, factors: Sequence[Any] | None = None) -> DataFrame:
         """Predictions from row ``min_train_periods`` on, for cells with all factors."""
         own = self._given(factors)
-        names = [f"x{i}" for i in range(len(own))]
-        df = self._ranked(panel, own)
+        windows = [(end, min(end + self.refit_freq, self.ends[-1])) for end in self.ends]
+        if self._fitted is None or tuple(f.key for f in own) != self._fitted[1] or not panel.df.sameSemantics(self._fitted[0]):
+            return self._predicted(self._ranked(panel, own), windows if _grid_of(panel.df) == self.grid else None)
+        if self._predictions is None:
+            self._predictions = _written(self._predicted(self._fitted[2], windows), "predictions")
+        return self._predictions
+
+    def _predicted(self, df: DataFrame, windows: list[tuple[int, int]] | None) -> DataFrame:
+        """Values of a ranked panel by each refit's window of rows, or by the last model."""
         keys = ["date", "t_idx", "symbol", "symbol_pos"]
-        if self.trees:
+        names = [f"x{i}" for i in range(len(self.factors))]
+        rest = (self.min_train_periods, np.iinfo(np.int32).max)
+        if self.forest:
+            trained = [r for r in range(len(self.forest.ends)) if self.forest.trained(r)]
+            own = [(r, *windows[r]) for r in trained] if windows else [(r, *rest) for r in trained[-1:]]
+            return predict(df, len(names), self.forest, own, keys)
+        if self.boosted:
             full = df.dropna(subset=names)
-            parts = [m.transform(full.where((F.col("t_idx") >= a) & (F.col("t_idx") < b))).select("t_idx", "symbol", F.col("prediction").alias("value")) for a, b, m in self.models if a < b]
-            if not parts:
-                return df.select(*keys, F.lit(None).cast("double").alias("value"))
-            out = parts[0]
+            own = self.boosted if windows else [(*rest, self.boosted[-1][2])]
+            parts = [m.transform(full.where((F.col("t_idx") >= a) & (F.col("t_idx") < b))).select("t_idx", "symbol", F.col("prediction").alias("value")) for a, b, m in own if a < b]
+            found = parts[0]
             for p in parts[1:]:
-                out = out.unionByName(p)
-            return df.select(*keys).join(out, ["t_idx", "symbol"], "left").select(*keys, "value")
-        rows = [(t, b["intercept"], b["coef"]) for b in self.blocks for t in range(b["start"], b["stop"])]
-        if not rows:
+                found = found.unionByName(p)
+            return df.select(*keys).join(found, ["t_idx", "symbol"], "left").select(*keys, "value")
+        if not self.blocks:
             return df.select(*keys, F.lit(None).cast("double").alias("value"))
-        table = F.broadcast(df.sparkSession.createDataFrame(rows, "t_idx int, b double, w array<double>"))  # a row for each date
-        value = sum((F.col("w")[i] * F.col(n) for i, n in enumerate(names)), F.col("b"))
-        return df.join(table, "t_idx", "left").select(*keys, value.alias("value"))
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        if self.trees:
-            raise TypeError("tree models are saved one by one with their own write()")
-        state = {k: getattr(self, k) for k in ("model_type", "min_train_periods", "refit_freq", "ridge_alpha", "purge", "blocks")}
-        _save_json(spark, path, {"kind": "ml", **state, "importances": self.importances.tolist()})
+        def value(intercept: Any, coef: Any) -> Any:
+            return sum((coef[i] * F.col(n) for i, n in enumerate(names)), intercept)
+
+        if windows is None:
+            last = self.blocks[-1]
+            return df.select(*keys, F.when(F.col("t_idx") >= self.min_train_periods, value(F.lit(last["intercept"]), [F.lit(w) for w in last["coef"]])).alias("value"))
+        rows = [(t, b["intercept"], b["coef"]) for b in self.blocks for t in range(b["start"], b["stop"])]
+        table = broadcast_if_small(df.sparkSession.createDataFrame(rows, "t_idx int, b double, w array<double>"))  # a row for each date
+        return df.join(table, "t_idx", "left").select(*keys, value(F.col("b"), F.col("w")).alias("value"))
+
+    def save(self, spark: SparkSession, path: str, save_predictions: bool = False) -> None:
+        """Parameters and coefficients as JSON at ``path/model``, trees as a table of nodes at ``path/nodes``.
+
+        With ``save_predictions`` those of the fitted panel go to ``path/predictions``.
+        """
+        if self.boosted:
+            raise TypeError("boosted models are saved one by one with their own write()")
+        kept = ("model_type", "min_train_periods", "refit_freq", "ridge_alpha", "rf_n_estimators", "rf_max_depth", "purge", "grid", "ends", "blocks")
+        _save_json(spark, path, {"kind": "ml", **{k: getattr(self, k) for k in kept}, "importances": self.importances.tolist()})
+        if self.forest:
+            self.forest.to_table(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+        if save_predictions and self._fitted:
+            self.predict(Panel(self._fitted[0])).write.mode("overwrite").parquet(f"{path}/predictions")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, factors: Sequence[Any]) -> MLCombiner:
+    def load(cls, spark: SparkSession, path: str, factors: Sequence[Any], panel: Panel | None = None) -> MLCombiner:
+        """The saved model; given the panel it was fitted on, saved predictions are returned for it."""
         state = _load_json(spark, path, "ml")
-        out = cls(**{k: state[k] for k in ("model_type", "min_train_periods", "refit_freq", "ridge_alpha", "purge")})
-        out.blocks, out.importances, out.factors = state["blocks"], np.array(state["importances"]), tuple(map(as_expr, factors))
+        out = cls(**{k: state[k] for k in ("model_type", "min_train_periods", "refit_freq", "ridge_alpha", "rf_n_estimators", "rf_max_depth", "purge")})
+        out.grid, out.ends, out.blocks, out.importances, out.factors = state["grid"], state["ends"], state["blocks"], np.array(state["importances"]), tuple(map(as_expr, factors))
+        if out.model_type == "random_forest":
+            out.forest = Forest.from_table(spark.read.parquet(f"{path}/nodes"), out.ends, out.rf_n_estimators, out.rf_max_depth)
+        if panel is not None:
+            out._fitted = panel.df, tuple(f.key for f in out.factors), out._ranked(panel, out.factors)
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/predictions")
+            if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+                out._predictions = spark.read.parquet(f"{path}/predictions")
         return out
 
+
+def _grid_of(df: DataFrame) -> list[str]:
+    """What tells a panel's dates and symbols from others'."""
+    return [str(v) for v in df.agg(F.count("*"), F.sum(F.xxhash64("date", "t_idx", F.col("symbol").cast("string")).cast("decimal(38,0)"))).first()]
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the session's shared folder."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
