@@ -221,8 +221,11 @@ def _pass(docs: DataFrame, own: DataFrame, k: int, segment_bytes: int) -> DataFr
     weight = {r.terms: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * r.df + 1))) for r in by_term.collect()}
     queries = [[(t, weight[t]) for t in sorted(terms_of[i]) if t in weight] for i in items]
 
+    # a segment is small to read and long to search, so segments are dealt out one by one
+    tasks = max(1, min(index.count(), 8 * spark.sparkContext.defaultParallelism))
+
     def search(segments: DataFrame, wanted: dict[int, int]) -> DataFrame:
-        columns = segments.select("ids", "lengths", "terms", "counts", "places", "tfs")
+        columns = segments.select("ids", "lengths", "terms", "counts", "places", "tfs").repartition(tasks)
         return columns.mapInArrow(_searcher(spark.sparkContext.broadcast((queries, wanted)), k, n_docs, n_words), "number int, doc_id bigint, score bigint")
 
     of_first = F.pmod(F.xxhash64("docs", "words", F.element_at("ids", 1)), F.lit(FIRST)) == 0
