@@ -41,7 +41,7 @@ SLICE = 1 << 22
 #: Shares are counted in parts of SCALE; PRIOR is added to each count.
 SCALE, PRIOR = 1_000_000_000, 5
 #: Sources of a block, terms compared at once, and kept counts of a bucket of terms, about.
-BLOCK, TERMS, BUCKET = 256, 512, 500_000
+BLOCK, TERMS, BUCKET = 256, 512, 50_000
 _HIGH = np.array([0] + [~0 << (64 - 8 * n) & (1 << 64) - 1 for n in range(1, 9)], np.uint64)
 
 
