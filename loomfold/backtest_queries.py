@@ -28,8 +28,8 @@ def _rounded(df: DataFrame, *exact: str, nudge: float = 0.0) -> DataFrame:
     return df.select(*exact, *((F.round(F.col(c) + nudge, 6) + F.lit(0.0)).alias(c) for c in df.columns if c not in exact))
 
 
-def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False, *, ranked: bool | None = None, days: int = 20, freq: int = FREQ, top: int = TOP) -> str:
-    """CTEs up to ``daily`` of the engine."""
+def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False, *, ranked: bool | None = None, days: int = 20, freq: int = FREQ, top: int = TOP, move: str | None = None, factor: str | None = None) -> str:
+    """CTEs up to ``daily`` of the engine; ``move`` replaces the move d by other SQL over the panel, ``factor`` what is made of d."""
     ranked = not neutral if ranked is None else ranked
     f1 = f"lag(f0) OVER {BY} AS f1"
     f2 = f"{decay_sql('f1', decay)} AS f2" if decay else "f1 AS f2"
@@ -41,8 +41,8 @@ def engine_sql(method: str = "equal", decay: int = 0, neutral: bool = False, *,
     )
     weight = "1.0 / n" if method == "equal" else "CASE WHEN s > 1e-10 THEN abs(x) / s ELSE 1.0 / n END"
     return f"""WITH {PANEL_SQL},
-a0 AS (SELECT *, round(close - lag(close, {days}) OVER {BY}, 6) AS d, close / nullif(lag(close) OVER {BY}, 0) - 1 AS ret FROM panel),
-a1 AS (SELECT *, {rank_sql('d') if ranked else 'd'} AS f0 FROM a0),
+a0 AS (SELECT *, {move or f"round(close - lag(close, {days}) OVER {BY}, 6)"} AS d, close / nullif(lag(close) OVER {BY}, 0) - 1 AS ret FROM panel),
+a1 AS (SELECT *, {factor or (rank_sql('d') if ranked else 'd')} AS f0 FROM a0),
 a2 AS (SELECT *, {f1} FROM a1),
 a3 AS (SELECT *, {f2} FROM a2),
 a4 AS (SELECT *, {f3} FROM a3),

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ops
-from ..sources.shared import fresh_folder
+from ..sources.shared import written
 from .backtest import BacktestResult, VectorEngine
 from .expr import EPS, Expr, as_expr, cell, col, compile_exprs
 from .forest import LEAST_ROWS, Forest, grow, predict
-from .panel import Panel, broadcast_if_small
+from .panel import Panel, broadcast_if_small, intersected
 
 TARGETS, METHODS = ("close", "open", "vwap"), ("return", "log_return")
 
@@ -68,8 +68,19 @@ def min_variance_weights(cov: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
+def from_tables(factors: Sequence[DataFrame], label: DataFrame | None = None) -> tuple[Panel, list[Expr], Expr | None]:
+    """Panel, factors and label to fit or predict on, from tables (date, symbol, value): the grid is what they have in common."""
+    names = [f"f{i}" for i in range(len(factors))]
+    panel = Panel(intersected(dict(zip(names, factors, strict=True)) | ({} if label is None else {"y": label})))
+    return panel, [col(n) for n in names], None if label is None else col("y")
+
+
 class FactorCombiner(ABC):
-    """Fits on a panel's factors and a label, predicts one value for each cell."""
+    """Fits on a panel's factors and a label, predicts one value for each cell.
+
+    Factors and label are expressions over the panel, or tables (date, symbol,
+    value) of any grids, see :meth:`fit_tables`.
+    """
 
     factors: tuple[Expr, ...] = ()
 
@@ -79,6 +90,15 @@ class FactorCombiner(ABC):
     @abstractmethod
     def predict(self, panel: Panel, factors: Sequence[Any] | None = None) -> DataFrame: ...
 
+    def fit_tables(self, factors: Sequence[DataFrame], label: DataFrame) -> FactorCombiner:
+        """Fit on the dates and symbols that all the tables have."""
+        return self.fit(*from_tables(factors, label))
+
+    def predict_tables(self, factors: Sequence[DataFrame]) -> DataFrame:
+        """Predictions for the dates and symbols that all the tables have."""
+        panel, own, _ = from_tables(factors)
+        return self.predict(panel, own)
+
     def _ranked(self, panel: Panel, factors: Sequence[Any], **more: Expr) -> DataFrame:
         """The panel's keys with ranks x0 … of the factors and further columns."""
         columns = {f"x{i}": ops.Rank(as_expr(f)) for i, f in enumerate(factors)}
@@ -218,7 +238,7 @@ class MLCombiner(FactorCombiner):
         if not k:
             raise ValueError("no factors given")
         names = [f"x{i}" for i in range(k)]
-        df = _written(self._ranked(panel, self.factors, y=label), "ranked")
+        df = written(self._ranked(panel, self.factors, y=label), "ranked")
         self._fitted, self._predictions = (panel.df, tuple(f.key for f in self.factors), df), None
         self.grid = _grid_of(df)
         periods = df.agg(F.max("t_idx")).first()[0]
@@ -285,7 +305,7 @@ class MLCombiner(FactorCombiner):
         if self._fitted is None or tuple(f.key for f in own) != self._fitted[1] or not panel.df.sameSemantics(self._fitted[0]):
             return self._predicted(self._ranked(panel, own), windows if _grid_of(panel.df) == self.grid else None)
         if self._predictions is None:
-            self._predictions = _written(self._predicted(self._fitted[2], windows), "predictions")
+            self._predictions = written(self._predicted(self._fitted[2], windows), "predictions")
         return self._predictions
 
     def _predicted(self, df: DataFrame, windows: list[tuple[int, int]] | None) -> DataFrame:
@@ -351,10 +371,3 @@ class MLCombiner(FactorCombiner):
 def _grid_of(df: DataFrame) -> list[str]:
     """What tells a panel's dates and symbols from others'."""
     return [str(v) for v in df.agg(F.count("*"), F.sum(F.xxhash64("date", "t_idx", F.col("symbol").cast("string")).cast("decimal(38,0)"))).first()]
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the session's shared folder."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

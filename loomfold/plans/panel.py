@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .expr import compile_exprs
 
 #: Calendars are broadcast up to so many dates; longer ones are joined by shuffle.
@@ -45,6 +46,25 @@ def densify(facts: DataFrame, symbols: DataFrame | None = None, calendar: DataFr
     return grid.join(facts, ["date", "symbol"], "left").select("date", "t_idx", "symbol", "symbol_pos", *fields)
 
 
+def intersected(tables: dict[str, DataFrame]) -> DataFrame:
+    """Tables (date, symbol, value) as columns of the grid of the dates and symbols that all of them have.
+
+    A date or symbol counts for a table with any row, also one without a value. The
+    tables meet in one aggregation by date and symbol; of repeated cells the largest value counts.
+    """
+    if not tables:
+        raise ValueError("no tables given")
+    rows = None
+    for i, table in enumerate(tables.values()):
+        own = without_nan(table.select("date", "symbol", F.col("value").cast("double").alias("value"))).withColumn("i", F.lit(i)).where("date is not null and symbol is not null")
+        rows = own if rows is None else rows.unionByName(own)
+    rows = written(rows, "tables")
+    common = {c: broadcast_if_small(rows.groupBy(c).agg(F.countDistinct("i").alias("n")).where(F.col("n") == len(tables)).select(c)) for c in ("date", "symbol")}
+    inside = rows.join(common["date"], "date", "left_semi").join(common["symbol"], "symbol", "left_semi")
+    cells = inside.groupBy("date", "symbol").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(tables)))
+    return densify(cells)
+
+
 @dataclass(frozen=True)
 class Panel:
     """A dense long table and its symbols' industries (symbol, industry), if known."""
