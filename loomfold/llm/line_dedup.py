@@ -171,7 +171,9 @@ def document_key() -> tuple[Column, Column]:
 def _copies(docs: DataFrame, least_words: int) -> DataFrame:
     """(d, t, seq, m, first): later copies of the shortest runs, with their interval's first suffix."""
     d, t = document_key()
-    lines = materialize(docs.select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(_lines, _LINES), "lines")
+    lines = docs.select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text")).mapInArrow(_lines, _LINES)
+    # rows equal in id and text are one document: their lines meet within a task before they are shuffled
+    lines = materialize(lines.groupBy("d", "t", "seq").agg(*(F.first(c).alias(c) for c in ("h1", "h2", "w"))), "lines")
     ranks = _ranked(lines, ["h1", "h2"], "ranks")
     used = [lines, ranks]
     state = lines.join(ranks, ["h1", "h2"]).select("d", "t", F.struct("seq", "rank", "w").alias("item"))
