@@ -8,7 +8,7 @@ passage is scored in three steps, each only where the one before leaves the
 threshold possible: the sum of its terms' largest shares, the sums of their
 block maxima, and the items of the remaining blocks. All items above the
 threshold are retrieved and verified by the overlap of their question and of
-their answer with the document around the passage, as word n-gram containment.
+their answer with the document around the passage: the share of their words found there in order.
 
 Passages overlap by half and are twice as long as the longest item, so a leak
 lies whole in one of them. Large benchmarks are split into shards of bounded size,
@@ -24,6 +24,7 @@ so other columns may have any name.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,14 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textio import LOWER, distinct_by_row, mix, row_of, slices, span_hashes, utf8, words
+from .textio import LOWER, distinct_by_row, row_of, slices, span_hashes, utf8, words
 
 K1, B = 1.2, 0.75
 #: Items of a block.
 BLOCK = 8
 #: Text bytes of the items of one shard, about, and shards of one pass: they bound what a task holds.
 SHARD_BYTES, SHARDS_A_PASS = 1 << 17, 16
-_STEP = np.uint64(0x100000001B3D)
+#: Words by which a leaked item may drift from its alignment; a quarter of the item, if that is more.
+DRIFT = 6
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -52,14 +54,6 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), firsts
 
 
-def _grams(h: np.ndarray, size: int) -> np.ndarray:
-    n = max(0, len(h) - size + 1)
-    acc = np.zeros(n, np.uint64)
-    for j in range(size):
-        acc = acc * _STEP + h[j : n + j]
-    return mix(acc)
-
-
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer: what follows the last inner sentence end, or the second half if that has under three words."""
     body = text.rstrip(".?!\n ")
@@ -69,10 +63,36 @@ def split_item(text: str) -> tuple[str, str]:
     return text[:cut], text[cut:]
 
 
-def overlap(part: np.ndarray, around: np.ndarray, gram: int) -> float:
-    """Share of the word n-grams of ``part`` that ``around`` has; 1 for a part without words."""
-    gram = min(gram, len(part))
-    return float(np.isin(_grams(part, gram), _grams(around, gram)).mean()) if gram else 1.0
+def overlaps(parts: list[np.ndarray], around: np.ndarray) -> list[float]:
+    """Share of the words of each of an item's consecutive parts that ``around`` has in the same order and about the same place.
+
+    The item is laid along ``around`` where most of its words agree, give or take a
+    drift; a part's share is its longest common subsequence there, so words changed,
+    put in or left out cost no more than themselves. A part without words has 1.
+    """
+    item = np.concatenate(parts)
+    order = np.argsort(around, kind="stable")
+    lo, hi = (np.searchsorted(around[order], item, side) for side in ("left", "right"))
+    n = hi - lo
+    i = np.repeat(np.arange(len(item)), n)
+    j = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(i))]
+    drift = max(DRIFT, len(item) // 4)
+    cell = (j - i + len(item)) // drift + 1
+    # words of the item with a match in two cells side by side
+    pairs = np.unique(np.concatenate([cell, cell - 1]) * len(item) + np.tile(i, 2)) if len(i) else i
+    first = int(np.bincount(pairs // max(1, len(item)), minlength=1).argmax())
+    near = (cell == first) | (cell == first + 1)
+    i, j = i[near], j[near]
+    shares, start = [], 0
+    for part in parts:
+        own = (i >= start) & (i < start + len(part))
+        tails: list[int] = []  # the least last place of a common subsequence of each length
+        for place in j[own][np.lexsort((-j[own], i[own]))].tolist():
+            at = bisect_left(tails, place)
+            tails[at : at + 1] = [place]
+        shares.append(len(tails) / len(part) if len(part) else 1.0)
+        start += len(part)
+    return shares
 
 
 @dataclass
@@ -178,7 +198,7 @@ class Index:
                 yield row, first, min(first + 2 * step, int(firsts[row + 1])), item, share
 
 
-def _matcher(shared, threshold: float, question: float, answer: float, gram: int):
+def _matcher(shared, threshold: float, question: float, answer: float):
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +210,7 @@ def _matcher(shared, threshold: float, question: float, answer: float, gram: int
                 for index in shared.value:
                     for row, start, end, item, share in index.candidates(h, firsts, threshold):
                         q, a = index.questions[item], index.answers[item]
-                        found = [overlap(x, h[start:end], gram) for x in (q, a)]
+                        found = overlaps([q, a], h[start:end])
                         if found[0] >= question and found[1] >= answer and (len(q) or len(a)):
                             key = row, int(index.items[item])
                             best[key] = max(best.get(key, (0.0,)), (share, *found))
@@ -215,7 +235,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.diff(hashed_words(part.column("text"))[1]))], names=["n"])
 
 
-def matches(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, question: float = 0.5, answer: float = 0.5, gram: int = 3) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, question: float = 0.5, answer: float = 0.5) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap of every leaked item.
 
     ``items`` has item_id and text; rows with a null in either are ignored. A
@@ -242,6 +262,6 @@ def matches(docs: DataFrame, items: DataFrame, *, threshold: float = 0.6, questi
             idf = {r.h: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in counts}
             indexes += [Index.build(own, idf, mean_length, longest)] if idf else []
         if indexes:
-            part = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(indexes), threshold, question, answer, gram), out)
+            part = rows.mapInArrow(_matcher(spark.sparkContext.broadcast(indexes), threshold, question, answer), out)
             found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], out) if found is None else found
