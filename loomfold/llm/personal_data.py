@@ -4,24 +4,29 @@ Patterns find e-mail and IP addresses, card and phone numbers. The field then
 labels every token of a document that has a digit or an at-sign (also written
 ``[at]``): its unary potentials are shape features of the token and its
 neighbours, chain edges join tokens that stand together, and skip edges join
-tokens that are equal or similar, that is of the same address or of the same last
-seven digits. Each joins the nearest such token before it and the hubs of its
-group: one token of each label that patterns gave it. Evidence thus reaches every
-repeat in one step, however far and however many there are.
-Loopy sum-product message passing runs over all documents of a slice at once.
+tokens that are equal or similar, that is of the same address, or numbers of which
+the shorter, of seven digits or more, is the whole end of the longer. Each joins the
+nearest such token before it and the hubs of its group: one token of each label that
+patterns gave it. Evidence thus reaches every repeat in one step, however far and
+however many there are. Loopy sum-product message passing runs over all documents of
+a slice at once, each until its messages rest; where they would swing for ever, the
+steps shorten from round to round, so they come to rest as well.
 
 Tokens inside a pattern's match are observed. Others become part of a further
 span when their most probable label is an entity with at least ``least``;
 neighbours of one label join to one span. A span has to keep its kind's own rule
-(four parts of at most 255, a Luhn number of 16 to 19 digits, 7 to 15 digits, an
-address with a dotted domain), and so has every token as far as it can tell.
+(four parts of at most 255, a Luhn number of 16 to 19 digits, 7 to 15 digits in a
+phone's writing and no date or time, an address with a dotted domain), and so has
+every token as far as it can tell. A phone without a plus sign also has to repeat one
+that a pattern found in the document, and so has an IP address unless its dots are
+bracketed: nothing else tells them from other numbers.
 
 The weights are fitted by pseudo-likelihood on a bounded sample of about
 ``max_training`` documents of at most ``max_chars``, chosen by a hash of their
-id. As patterns alone would teach the field nothing but themselves, a share of
+id and text. As patterns alone would teach the field nothing but themselves, a share of
 their labels is hidden, mentions are added in writings that no pattern takes
-(other separators, no country code), and so are look-alike numbers that repeat
-nothing, labelled as none. Tokens without digits or at-signs are outside: no
+(other separators, no country code), and so are look-alikes labelled as none:
+numbers that repeat nothing, dates, times, amounts, and longer numbers that end alike. Tokens without digits or at-signs are outside: no
 feature speaks for them, and a document without any has only its (empty) pattern
 matches.
 
@@ -63,6 +68,11 @@ _MARK = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
 _WORD = re.compile(r"\S+")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _NUMBERS = re.compile(r"[0-9]+")
+#: Dates and times, and what separates the parts of an IP address in other writings.
+_DATE = re.compile(r"(?:1[89]|2[01])[0-9]{2}([-./]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[-./](?:0?[1-9]|[12][0-9]|3[01])[-./](?:(?:1[89]|2[01])[0-9]{2}|[0-9]{2})")
+_TIME = re.compile(r"[0-2]?[0-9]:[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?")
+_IP_WRITING = re.compile(r"[0-9]+(?:(?P<s>\[\.\]|\(\.\)|[-_.])[0-9]+)(?:(?P=s)[0-9]+){2}")
+_PHONE_WRITING = re.compile(r"[+(]*[0-9](?:[\s().-]*[0-9])*")
 #: Digits of one span of each kind, at most; tokens join to one span within them.
 _MOST_DIGITS = (0, 0, 19, 15)
 _EDGE = "\"'`.,;:!?()[]{}<>|*#&$%"
@@ -133,7 +143,7 @@ def marked_tokens(text: str) -> list[tuple[int, int]]:
 #: Log potential of what cannot be, below any sum of messages.
 _NEVER = -1e9
 #: Number of values of each feature.
-_SIZES = (10, 5, 2, 2, 2, 2, 3, 6, 2, 2, 12, 12)
+_SIZES = (10, 5, 2, 2, 2, 2, 3, 6, 2, 2, 12, 12, 2, 2)
 _OFFSETS = np.concatenate([[0], np.cumsum(_SIZES)])
 
 
@@ -152,10 +162,15 @@ def _features(tokens: list[str], at: int, near: tuple[bool, bool]) -> list[int]:
         bucket, min(dots, 4), "@" in t, t.startswith("+"), "(" in t or ")" in t, "-" in t,
         0 if not letters else 1 if letters < len(t) - letters else 2, min(5, len(t) // 6), 16 <= n <= 19 and luhn(digits),
         dots == 3 and n <= 12, _shape(tokens[at - 1]) if near[0] else 0, _shape(tokens[at + 1]) if near[1] else 0,
+        _dated(t), any(c in t for c in ",:/"),
     )
     return [int(o + v) for o, v in zip(_OFFSETS, values, strict=False)]
 
 
+def _dated(token: str) -> bool:
+    return bool(_DATE.fullmatch(token) or _TIME.fullmatch(token))
+
+
 def _plain(token: str) -> str:
     """An address without the brackets that hide its at-sign and dots."""
     return _DOT.sub(".", _AT.sub("@", token)) if "(" in token or "[" in token or "{" in token else token
@@ -168,6 +183,12 @@ def _key(token: str) -> str:
     return plain.casefold() if "@" in plain or len(digits) < 7 else digits[-7:]
 
 
+def _similar(a: str, b: str) -> bool:
+    """Whether one of two rows of digits is the end of the other, zeros before them aside; not numbers, not longer: True."""
+    a, b = a.lstrip("0"), b.lstrip("0")
+    return min(len(a), len(b)) < 7 or a.endswith(b) or b.endswith(a)
+
+
 def keeps_rule(kind: int, text: str) -> bool:
     """Whether a span of a kind keeps the kind's own rule, in whatever writing."""
     if kind == 0:
@@ -177,7 +198,9 @@ def keeps_rule(kind: int, text: str) -> bool:
     parts = _NUMBERS.findall(text)
     digits = "".join(parts)
     if kind == 1:
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
+        return _IP_WRITING.fullmatch(text) is not None and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
+    if kind == 3 and (_PHONE_WRITING.fullmatch(text) is None or any(map(_dated, text.split()))):
+        return False
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
 
 
@@ -186,7 +209,18 @@ def _possible(token: str) -> list[bool]:
     mixed = any(c.isalpha() for c in token)
     n = len(_NOT_DIGIT.sub("", token))
     card = not mixed and 0 < n <= 19 and (n < 16 or keeps_rule(2, token))
-    return [True, keeps_rule(0, token), keeps_rule(1, token), card, not mixed and 0 < n <= 15]
+    phone = not mixed and 0 < n <= 15 and not _dated(token) and not any(c in token for c in ",:/_")
+    return [True, keeps_rule(0, token), keeps_rule(1, token), card, phone]
+
+
+def stands(kind: int, text: str, known: list[str]) -> bool:
+    """Whether a span outside patterns may stand, beside the texts that patterns found of its kind."""
+    if kind == 3:
+        own = _NOT_DIGIT.sub("", text)
+        return text.lstrip("(").startswith("+") or any(_similar(own, _NOT_DIGIT.sub("", k)) for k in known)
+    if kind == 1 and not _DOT.search(text):
+        return _NUMBERS.findall(text) in [_NUMBERS.findall(k) for k in known]
+    return True
 
 
 @dataclass
@@ -224,21 +258,22 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
         labels = _labels_of(tokens, known)
         base = len(observed)
         close = [b[0] - a[1] <= 3 for a, b in zip(tokens[:-1], tokens[1:], strict=True)]
-        groups: dict[str, list[int]] = {}
+        groups: dict[str, dict[int, str]] = {}  # digits by node
         for i, word in enumerate(words):
             features.append(_features(words, i, (i > 0 and close[i - 1], i + 1 < len(tokens) and close[i])))
             possible.append(_possible(word))
-            groups.setdefault(_key(word), []).append(i)
+            groups.setdefault(_key(word), {})[i] = _NOT_DIGIT.sub("", word)
         for _, a, b in known:  # what several tokens spell is repeated with the last of them
             if inside := [i for i in range(bisect_left(tokens, (a, a)), bisect_left(tokens, (b, b))) if tokens[i][1] <= b][1:]:
-                groups.setdefault(_key(text[a:b]), []).append(inside[-1])
+                groups.setdefault(_key(text[a:b]), {})[inside[-1]] = _NOT_DIGIT.sub("", text[a:b])
         edges += [(base + i, base + i + 1, 0) for i, c in enumerate(close) if c]
-        for group in map(sorted, map(set, groups.values())):
+        for digits in groups.values():
+            group = sorted(digits)
             if len(group) > 1:
                 hubs = {labels[i]: i for i in reversed(group) if labels[i]}.values()
                 pairs = set(zip(group[:-1], group[1:], strict=True))
                 pairs |= {(min(h, i), max(h, i)) for h in hubs for i in group if i != h}
-                edges += [(base + a, base + b, 1) for a, b in sorted(pairs)]
+                edges += [(base + a, base + b, 1) for a, b in sorted(pairs) if _similar(digits[a], digits[b])]
         observed += labels
         doc += [d] * len(tokens)
         places += tokens
@@ -260,29 +295,39 @@ class Field:
     unary: np.ndarray
     pair: np.ndarray
 
-    def marginals(self, g: Graph, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-        """Label probabilities of each node after loopy message passing."""
+    def marginals(self, g: Graph, damping: float = 0.3, patience: int = 30, tolerance: float = 1e-3) -> np.ndarray:
+        """Label probabilities of each node after loopy message passing.
+
+        A document's messages are passed until none moves by ``tolerance``. After
+        ``patience`` rounds each step is 3 % shorter than the one before, so that
+        messages that would swing for ever come to rest.
+        """
         n, labels = len(g.observed), len(KINDS) + 1
         unary = self.unary[g.features].sum(axis=1) if n else np.zeros((0, labels))
         unary = np.where(g.possible, unary, _NEVER)
         seen = np.flatnonzero(g.observed)
         unary[seen] = _NEVER
         unary[seen, g.observed[seen]] = 0.0
-        a, b = np.concatenate([g.edges[:, 0], g.edges[:, 1]]), np.concatenate([g.edges[:, 1], g.edges[:, 0]])
-        pair = self.pair[g.edges[:, 2]]
-        pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
-        back = np.roll(np.arange(len(a)), len(g.edges))
-        messages = np.zeros((len(a), labels))
-        belief = unary
-        for _ in range(rounds if len(a) else 0):
+        edges, belief = g.edges, unary.copy()
+        messages = np.zeros((2 * len(edges), labels))
+        stride, round_ = 1 - damping, 0
+        while len(edges):
+            a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+            pair = self.pair[edges[:, 2]]
+            pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
+            back = np.roll(np.arange(len(a)), len(edges))
             out = _log_sum((belief[a] - messages[back])[:, :, None] + pair, axis=1)
-            out -= _log_sum(out, axis=1)[:, None]
-            out = damping * messages + (1 - damping) * out
-            moved = np.abs(out - messages).max()
-            messages = out
-            belief = unary + np.stack([np.bincount(b, messages[:, k], n) for k in range(labels)], axis=1)
-            if moved < 1e-3:
-                break
+            step = stride * (out - _log_sum(out, axis=1)[:, None] - messages)
+            messages = messages + step
+            own = np.unique(b)
+            place = np.searchsorted(own, b)
+            belief[own] = unary[own] + np.stack([np.bincount(place, messages[:, k], len(own)) for k in range(labels)], axis=1)
+            moved = np.zeros(int(g.doc[-1]) + 1)
+            np.maximum.at(moved, g.doc[a], np.abs(step).max(axis=1))
+            going = moved[g.doc[edges[:, 0]]] >= tolerance  # documents at rest leave
+            edges, messages = edges[going], messages[np.tile(going, 2)]
+            round_ += 1
+            stride *= 0.97 if round_ > patience else 1.0
         return np.exp(belief - _log_sum(belief, axis=1)[:, None]) if n else unary
 
 
@@ -337,10 +382,20 @@ def _otherwise_written(kind: int, text: str, rng: random.Random) -> str:
 
 
 def _look_alike(kind: int, text: str, rng: random.Random) -> str:
-    """A number in a similar writing that repeats nothing, or breaks the kind's rule."""
+    """What is written alike but is no mention: it repeats nothing, breaks the kind's rule, or only ends alike."""
+    digits = _NOT_DIGIT.sub("", text)
+    day = f"{rng.randrange(1950, 2050)}", f"{rng.randrange(1, 13):02}", f"{rng.randrange(1, 29):02}"
+    other = rng.randrange(6)
+    if other == 0:
+        return rng.choice(("-", "/", ".", "")).join(day if rng.random() < 0.7 else day[::-1])
+    if other == 1:
+        return f"{rng.randrange(24)}:{rng.randrange(60):02}" + rng.choice(("", f":{rng.randrange(60):02}"))
+    if other == 2:  # an amount, or a number with the same last digits
+        tail = digits[-7:] if rng.random() < 0.5 else str(rng.randrange(10**3, 10**8))
+        return f"{int(tail or '0'):,}" if rng.random() < 0.9 else f"{rng.randrange(1, 10**4)}{tail}"
     if kind == 1:
-        return ".".join(str(rng.choice((rng.randrange(300), rng.randrange(256, 5000)))) for _ in range(rng.choice((2, 3, 4, 4))))
-    digits = "".join(str(rng.randrange(10)) for _ in _NOT_DIGIT.sub("", text))
+        return rng.choice((".", ".", "/")).join(str(rng.choice((rng.randrange(300), rng.randrange(256, 5000)))) for _ in range(rng.choice((2, 3, 4, 4))))
+    digits = "".join(str(rng.randrange(10)) for _ in digits)
     return _otherwise_written(kind, digits, rng) if kind > 1 else digits[:6] or "17"
 
 
@@ -391,7 +446,7 @@ def train(docs: DataFrame, *, max_training: int = 3000, max_chars: int = 20_000)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= max_chars))
     total = max(1, rows.count())
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20))
     sample = rows.where(turn < max_training / total * (1 << 20)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,9 +467,10 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def added_spans(g: Graph, p: np.ndarray, texts: list[str], least: float) -> list[list[Span]]:
-    """Spans of tokens outside patterns, by document; neighbours of one label join."""
+def added_spans(g: Graph, p: np.ndarray, texts: list[str], base: list[list[Span]], least: float) -> list[list[Span]]:
+    """Spans of tokens outside patterns, by document; neighbours of one label join. ``base`` are the patterns' spans."""
     out: list[list[Span]] = [[] for _ in texts]
+    known = [{k: list({text[a:b] for kind, a, b in spans if kind == k}) for k in (1, 3)} for text, spans in zip(texts, base, strict=True)]
     label = np.where(g.observed == 0, p.argmax(axis=1), 0) if len(p) else g.observed
     label = np.where(p.max(axis=1, initial=0.0) >= least, label, 0)
     run: list[int] | None = None
@@ -424,7 +480,10 @@ def added_spans(g: Graph, p: np.ndarray, texts: list[str], least: float) -> list
             if run and run[:2] == [d, k] and run[4] == node - 1 and a - run[3] <= 3 and len(_NOT_DIGIT.sub("", texts[d][run[2] : b])) <= _MOST_DIGITS[k]:
                 run[3:] = [b, node]
                 continue
-        if run and run[2] < run[3] and keeps_rule(run[1], texts[run[0]][run[2] : run[3]]):
+        if run and run[2] and texts[run[0]][run[2] - 1] == "(" and ")" in texts[run[0]][run[2] : run[3]].partition("(")[0]:
+            run[2] -= 1  # tokens are without the bracket they start with
+        span = texts[run[0]][run[2] : run[3]] if run else ""
+        if span and keeps_rule(run[1], span) and stands(run[1], span, known[run[0]].get(run[1], [])):
             out[run[0]].append((run[1], run[2], run[3]))
         run = [d, k, a, b, node] if node >= 0 else None
     return out
@@ -448,7 +507,7 @@ def scan(docs: DataFrame, field: Field, *, least: float = 0.5) -> DataFrame:
                     base[i] = pattern_spans(texts[i])
                 spans = list(base)
                 g = graph([texts[i] for i in marked], [base[i] for i in marked])
-                for d, found in enumerate(added_spans(g, own.marginals(g), [texts[i] for i in marked], least)):
+                for d, found in enumerate(added_spans(g, own.marginals(g), [texts[i] for i in marked], [base[i] for i in marked], least)):
                     spans[marked[d]] = [*spans[marked[d]], *found]
                 counts = np.zeros((len(texts), len(KINDS)), np.int64)
                 for i in marked:
