@@ -6,10 +6,11 @@ No network client is included; a provider is any object with the methods of
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Column names of providers.
@@ -158,6 +159,29 @@ def complete_dataset(bars: DataFrame, values: DataFrame) -> DataFrame:
     return bars.join(values, ["symbol", "date"], "left")
 
 
+#: Columns of the tables of a bundle, for those that could not be fetched.
+BUNDLE = {
+    "ohlcv": "symbol string, date date, open double, high double, low double, close double, volume double", "adjustment": "symbol string, date date, qfq_factor double, hfq_factor double",
+    "market_value": "symbol string, date date, total_market_cap double, circulating_market_cap double, pe double",
+    "financial": "symbol string, report_date date, revenue double, net_profit double, total_assets double, total_equity double, operating_cash_flow double, roe double, gross_profit_margin double",
+}
+
+
+def complete_bundle(spark: SparkSession, fetch: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The four tables of BUNDLE and aligned_daily, the bars with market values where there are any; and what failed.
+
+    A fetch that fails or is not given leaves an empty table.
+    """
+    tables, errors = {}, {}
+    for kind, schema in BUNDLE.items():
+        try:
+            found = fetch[kind]() if kind in fetch else None
+        except Exception as e:  # a vendor's failure is that table's only
+            found, errors[kind] = None, str(e)[:500]
+        tables[kind] = spark.createDataFrame([], schema) if found is None else found
+    return tables | {"aligned_daily": complete_dataset(tables["ohlcv"], tables["market_value"])}, errors
+
+
 def fundamentals(pairs: DataFrame, items: list[str]) -> DataFrame:
     """One row for each symbol from (symbol, item, value)."""
     return pairs.groupBy("symbol").pivot("item", items).agg(F.first("value"))

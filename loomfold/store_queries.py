@@ -15,7 +15,7 @@ from .backtest_queries import _rounded
 from .factor_queries import PANEL_SQL
 from .sources import importers, loader, providers, validation
 from .sources.bars import supplier_bars, supplier_industries
-from .sources.repository import Repository, audit_text
+from .sources.repository import Repository, audit_lines, audit_text, get_repository
 from .sources.shared import fresh_folder
 
 START, END = "1996-01-01", "1998-12-31"
@@ -298,13 +298,98 @@ def import_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importers.industry_hierarchy(members, third, region.select(F.col("r_name").alias("sw2_name"), F.upper(F.substring("r_name", 1, 1)).alias("sw1_name")))
 
 
+def repository_metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata of stored statements as they are written beside the table."""
+    repository = _repository(spark)
+    repository.save("financial", _statements(_bars(spark, sf_dir)))
+    repository.write_metadata("financial")
+    found = spark.read.json(f"{repository.root}/financial_metadata")
+    return found.select("symbol", "data_type", "start_date", "end_date", F.col("rows").cast("int").alias("rows"), "available", F.col("updated_at").isNotNull().alias("stamped"))
+
+
+def repository_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of four tables of a bundle, read back whole."""
+    repository, bars = _repository(spark), _bars(spark, sf_dir)
+    repository.save("ohlcv", bars)
+    repository.save("adjustment", _factors(bars))
+    repository.save("market_value", _caps(bars))
+    repository.save_industry(_industries(spark, sf_dir))
+    found = get_repository(spark, repository.root).load_complete()
+    named = {"ohlcv": ("close", "volume"), "adjustment": ("qfq_factor", "hfq_factor"), "market_value": ("pe", "total_market_cap")}
+    parts = [_rounded(found[k].select("symbol", F.lit(k).alias("kind"), "date", F.col(a).alias("first"), F.col(b).alias("second")), "symbol", "kind", "date").withColumn("sw3_name", F.lit(None).cast("string")) for k, (a, b) in named.items()]
+    industries = repository.load_industry().select("symbol", F.lit("industry").alias("kind"), F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("second"), "sw3_name")
+    out = industries
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def update_audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit of an update says of each symbol: bars that overlap, some changed and some invalid, and a kind that cannot be updated."""
+    repository, bars = _repository(spark), _bars(spark, sf_dir)
+    repository.save("ohlcv", bars.where(F.col("date") < F.lit(END).cast("date")))
+    new = bars.where(F.col("date") > F.lit(START).cast("date")).withColumn("high", F.when(_number() % 9 == 0, F.col("low") - 1).otherwise(F.col("high") + F.when(_number() % 4 == 0, 1).otherwise(0)))
+    audit = repository.update_all({"ohlcv": new, "adjustment": _factors(bars), "market_value": bars.select("symbol")})
+    lines = audit_lines(audit)
+    return lines.withColumn("line", F.when(F.col("symbol").isNull(), F.regexp_replace("line", r"(?s)failed \(.*, 0 new", "failed (…), 0 new")).otherwise(F.col("line")))  # the error's words are Spark's
+
+
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of files written from bars: one for each symbol, some without closes, one column short, or empty."""
+    folder, bars = fresh_folder(spark, "files"), _bars(spark, sf_dir)
+    close = F.when(_number() % 6 == 0, F.lit("--")).when((_number() % 4 == 0) & (F.month("date") == 2), F.lit("")).otherwise(F.col("close").cast("string"))
+    line = F.concat_ws(",", F.col("date").cast("string"), "open", "high", "low", close, F.col("volume").cast("string"), F.when(_number() % 3 != 0, F.col("volume").cast("string")).otherwise(""))
+    header = F.when(_number() % 10 == 7, F.lit("date,PX_OPEN,PX_HIGH,PX_LOW,PX_LAST")).otherwise(F.lit("Date,PX_OPEN,PX_HIGH,PX_LOW,('A Equity','PX_LAST'),VOLUME,PE_RATIO"))
+    header = F.regexp_replace(header, r"\('A Equity','(\w+)'\)", "$1")
+    text = bars.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body")).select("symbol", F.when(_number() % 10 == 9, F.lit("")).otherwise(F.concat(header, F.lit("\n"), "body")).alias("value"))
+    text.repartition("symbol").write.partitionBy("symbol").text(folder)
+    # a file is named after its symbol: its folder's name here
+    files = spark.read.text(f"{folder}/*/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "symbol=([^/]*)", 1).alias("symbol"), "value")
+    return importers.import_texts(files)[1]
+
+
+def import_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that such files hold, of those that can be imported."""
+    bars = _bars(spark, sf_dir)
+    line = F.concat_ws(",", F.col("date").cast("string"), "open", "high", "low", F.when(F.month("date") != 2, F.col("close").cast("string")).otherwise("-"), F.col("volume").cast("string"))
+    files = bars.groupBy("symbol").agg(F.concat(F.lit("date,open,high,low,close,"), F.when(F.first(_number()) % 5 == 0, F.lit("vol")).otherwise(F.lit("volume")), F.lit("\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    return _rounded(importers.import_texts(files)[0].drop("pe"), "symbol", "date")
+
+
+def provider_latest_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caps of today by item, from a spot table where a symbol has none."""
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_acctbal").alias("v"))
+    items = own.where(_number() % 3 != 0).select("symbol", F.explode(F.create_map(F.lit("总市值"), F.col("v") * 1e7, F.lit("流通市值"), F.when(_number() % 4 != 0, F.col("v") * 1e6), F.lit("行业"), F.lit(1.0))).alias("item", "value"))
+    spot = own.where(_number() % 2 == 0).select("symbol", (F.col("v") * 2e7).alias("total"), (F.col("v") * 2e6).alias("circulating"))
+    return _rounded(providers.latest_caps(items, spot, END), "symbol", "date", nudge=3e-8)
+
+
+def provider_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tables of a bundle, whose statements cannot be fetched, as rows of kind, symbol and date."""
+    bars = _bars(spark, sf_dir)
+
+    def broken() -> DataFrame:
+        raise OSError("no line")
+
+    tables, errors = providers.complete_bundle(spark, {"ohlcv": lambda: bars, "adjustment": lambda: _factors(bars), "market_value": lambda: _caps(bars).where(_number() % 3 != 0), "financial": broken})
+    parts = [_rounded(t.select(F.lit(k).alias("kind"), "symbol", F.col("report_date" if k == "financial" else "date").alias("date"), F.col(c).cast("double").alias("value"), F.lit(errors.get(k)).alias("error")), "kind", "symbol", "date", "error") for (k, t), c in zip(tables.items(), ("close", "hfq_factor", "pe", "revenue", "pe"), strict=True)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def field_panel_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(loader.field_panel(_caps(_bars(spark, sf_dir)), ["pe", "total_market_cap"]).select("date", "symbol", "pe", "total_market_cap"), "date", "symbol")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         repository_ohlcv, repository_adjustment, repository_financial, repository_market_value, repository_derived, repository_industry, repository_bundle, repository_catalog, validate_adjustment,
         validate_market_value, duplicate_rows, update_gaps, weekday_gaps, update_audit, loader_flags, loader_vwap, loader_summary, field_panel_financial, field_panel_caps, provider_stock_list,
         provider_trading_days, provider_kline, provider_market_values, provider_complete, provider_statements, provider_fundamentals, provider_constituents, import_ohlcv, import_market_value,
-        import_supplement, import_industries,
+        import_supplement, import_industries, repository_metadata_json, repository_whole, update_audit_lines, import_files, import_bars, provider_latest_caps, provider_bundle, field_panel_whole,
     )
 }
 
@@ -374,4 +459,18 @@ SELECT {SYMBOL} AS symbol, date AS report_date, {_r('rev', 'revenue', ' + 3e-8')
     "import_supplement": f"{BARS}, {_E_SQL}, {_C_SQL} SELECT c.symbol, c.date, {_r('c.total_market_cap', 'total_market_cap')}, {_r('coalesce(e.pe, c.pe)', 'pe')}, {_r('e.turnover', 'turnover')} FROM c JOIN e USING (symbol, date)",
     "import_industries": """SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, s_name AS name, upper(r_name[1]) AS sw1_name, r_name AS sw2_name, n_name AS sw3_name, s_nationkey AS sw3_code
 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",
+    "repository_metadata_json": f"{BARS}, {_S_SQL} SELECT symbol, 'financial' AS data_type, CAST(min(report_date) AS VARCHAR) AS start_date, CAST(max(report_date) AS VARCHAR) AS end_date, CAST(count(*) AS INTEGER) AS rows, true AS available, true AS stamped FROM s GROUP BY symbol",
+    "repository_whole": f"""{BARS}, {_F_SQL}, {_C_SQL} SELECT {SYMBOL} AS symbol, 'ohlcv' AS kind, date, {_r('close', 'first')}, {_r('volume', 'second')}, NULL AS sw3_name FROM bars UNION ALL SELECT symbol, 'adjustment', date, {_r('qfq_factor', 'first')}, {_r('hfq_factor', 'second')}, NULL FROM f
+UNION ALL SELECT symbol, 'market_value', date, {_r('pe', 'first')}, {_r('total_market_cap', 'second')}, NULL FROM c UNION ALL SELECT {SYMBOL}, 'industry', NULL, NULL, NULL, industry || '-3' FROM inds""",
+    "update_audit_lines": f"""{BARS}, o AS (SELECT symbol, symbol % 9 = 0 AS bad, sum(CASE WHEN date >= DATE '{END}' THEN 1 ELSE 0 END) AS fresh, sum(CASE WHEN date < DATE '{END}' THEN 1 ELSE 0 END) AS common FROM bars WHERE date > DATE '{START}' GROUP BY symbol)
+SELECT {SYMBOL} AS symbol, 'ohlcv' AS data_type, {SYMBOL} || ' ohlcv: ' || CASE WHEN bad THEN 'failed (invalid rows), 0 new, 0 overlapping, 0 cells changed' ELSE 'ok, ' || fresh || ' new, ' || common || ' overlapping, ' || CASE WHEN symbol % 4 = 0 THEN common ELSE 0 END || ' cells changed' END AS line FROM o
+UNION ALL SELECT {SYMBOL}, 'adjustment', {SYMBOL} || ' adjustment: ok, ' || count(*) || ' new, 0 overlapping, 0 cells changed' FROM bars GROUP BY symbol UNION ALL SELECT NULL, 'market_value', '* market_value: failed (…), 0 new, 0 overlapping, 0 cells changed'""",
+    "import_files": f"""{BARS}, n AS (SELECT symbol, CASE WHEN symbol % 10 = 9 THEN 'no header' WHEN symbol % 10 = 7 THEN 'missing columns: volume' END AS e, count(*) FILTER (WHERE symbol % 6 <> 0 AND NOT (symbol % 4 = 0 AND month(date) = 2)) AS k, count(*) FILTER (WHERE symbol % 3 <> 0) AS p FROM bars GROUP BY symbol)
+SELECT {SYMBOL} AS symbol, e IS NULL AND k > 0 AS success, CASE WHEN e IS NULL THEN k ELSE 0 END AS rows, CASE WHEN e IS NULL THEN p ELSE 0 END AS pe_rows, CASE WHEN e IS NOT NULL THEN e WHEN k = 0 THEN 'no rows with a close' END AS error FROM n""",
+    "import_bars": f"{BARS} SELECT {SYMBOL} AS symbol, date, {_r('open')}, {_r('high')}, {_r('low')}, {_r('close')}, {_r('volume')} FROM bars WHERE month(date) <> 2 AND symbol % 5 <> 0",
+    "provider_latest_caps": f"""SELECT CAST(s_suppkey AS VARCHAR) AS symbol, DATE '{END}' AS date, round(coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal * 1e7 END, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal * 2e7 END) / 1e8 + 3e-8, 6) + 0.0 AS total_market_cap,
+  round(coalesce(CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 THEN s_acctbal * 1e6 END, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal * 2e6 END) / 1e8 + 3e-8, 6) + 0.0 AS circulating_market_cap FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0""",
+    "provider_bundle": f"""{BARS}, {_F_SQL}, {_C_SQL} SELECT 'ohlcv' AS kind, {SYMBOL} AS symbol, date, {_r('close', 'value')}, CAST(NULL AS VARCHAR) AS error FROM bars UNION ALL SELECT 'adjustment', symbol, date, {_r('hfq_factor', 'value')}, NULL FROM f
+UNION ALL SELECT 'market_value', symbol, date, {_r('pe', 'value')}, NULL FROM c WHERE {_N} % 3 <> 0 UNION ALL SELECT 'aligned_daily', symbol, date, round(CASE WHEN {_N} % 3 <> 0 THEN pe END, 6) + 0.0, NULL FROM c""",
+    "field_panel_whole": f"{BARS}, {_C_SQL} SELECT d.date, y.symbol, {_r('c.pe', 'pe')}, {_r('c.total_market_cap', 'total_market_cap')} FROM (SELECT DISTINCT date FROM c) d CROSS JOIN (SELECT DISTINCT symbol FROM c) y LEFT JOIN c ON c.date = d.date AND c.symbol = y.symbol",
 }

@@ -160,3 +160,61 @@ def test_update_all_and_panels(spark, bars, tmp_path):
     assert r.fetch_start("adjustment", date(2024, 2, 1)) == date(2024, 1, 2) and r.fetch_start("ohlcv", 5) == 5
     grid = loader.field_panel(bars, ["close"])
     assert grid.count() == 8 and loader.matrix(grid, "close").columns == ["date", "000001", "000002"]
+
+
+def test_a_version_is_whole_or_not_there(spark, bars, tmp_path, monkeypatch):
+    r = Repository(spark, f"file://{tmp_path}/versions", buckets=3)
+    r.save("ohlcv", bars)
+    before = sorted(map(tuple, r.load("ohlcv").collect()))
+    raised = bars.withColumns({c: F.col(c) + 5 for c in ("open", "high", "low", "close")})
+
+    def lost(*a):
+        raise KeyboardInterrupt("the driver is gone")
+
+    with monkeypatch.context() as m:  # files are written, the manifest is not
+        m.setattr(Repository, "_commit", lost)
+        for change in (lambda: r.save("ohlcv", raised), lambda: r.update("ohlcv", raised), lambda: r.delete("000001", "ohlcv")):
+            with pytest.raises(KeyboardInterrupt):
+                change()
+    assert r.versions("ohlcv") == [1] and sorted(map(tuple, r.load("ohlcv").collect())) == before
+    stale = r._manifest("ohlcv")
+    reading = r.load("ohlcv")  # a reader of version 1
+    r.save("ohlcv", raised)
+    assert sorted(map(tuple, reading.collect())) == before == sorted(map(tuple, r.load("ohlcv", version=1).collect()))
+    assert sorted(x.close for x in r.load("ohlcv").collect()) == [17.0, 18.0, 19.0, 20.0, 25.0, 25.0]
+    with pytest.raises(RuntimeError, match="another writer"):
+        r._commit("ohlcv", stale, None, {})
+    r.save("ohlcv", bars.withColumn("extra", F.lit(1.5)).where("symbol = '000002'"))
+    assert {(x.symbol, x.extra) for x in r.load("ohlcv").select("symbol", "extra").distinct().collect()} == {("000001", None), ("000002", 1.5)}
+    assert r.versions("ohlcv") == [1, 2, 3] and r.vacuum("ohlcv", keep=1) > 0 and r.versions("ohlcv") == [3]
+    assert r.load("ohlcv").count() == len(before) and r.vacuum("ohlcv") == 0
+    assert r.delete("000001", "ohlcv") and r.delete("000002", "ohlcv") and not r.exists("ohlcv")
+    with pytest.raises(FileNotFoundError):
+        r.load("ohlcv")
+    r.save("ohlcv", bars)
+    assert sorted(map(tuple, r.load("ohlcv").collect())) == before
+
+
+def test_import_of_files_reports_each(spark, tmp_path):
+    good = "date,PX_OPEN,PX_HIGH,PX_LOW,PX_LAST,VOLUME,PE_RATIO\n2024-01-02,1,2,1,1.5,10,7\n2024-01-03,1,2,1,,10,\n2024-01-04,1,2,1,1.6,x,8\n"
+    for name, text in {"000001": good, "000002": "date,PX_LAST\n2024-01-02,1\n", "000003": "", "000004": good.replace("1.5", "?").replace("1.6", "--"), "000005": good.replace("\n", "\r\n").replace("2024-01-04", "04/01/24")}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows, status = importers.import_files(spark, f"file://{tmp_path}/*.csv")
+    got = {r.symbol: (r.success, r.rows, r.pe_rows, r.error) for r in status.collect()}
+    assert got == {
+        "000001": (True, 2, 2, None), "000002": (False, 0, 0, "missing columns: open, high, low, volume"), "000003": (False, 0, 0, "no header"), "000004": (False, 0, 2, "no rows with a close"),
+        "000005": (True, 1, 1, None),
+    }
+    assert sorted((r.symbol, str(r.date), r.close, r.volume, r.pe) for r in rows.collect()) == [("000001", "2024-01-02", 1.5, 10.0, 7.0), ("000001", "2024-01-04", 1.6, None, 8.0), ("000005", "2024-01-02", 1.5, 10.0, 7.0)]
+
+
+def test_bundle_keeps_going_when_a_fetch_fails(spark, bars):
+    def broken():
+        raise OSError("no line")
+
+    values = bars.where("symbol = '000001'").select("symbol", "date", F.lit(3.0).alias("pe"))
+    found, errors = providers.complete_bundle(spark, {"ohlcv": lambda: bars, "market_value": lambda: values, "financial": broken, "adjustment": broken})
+    assert set(found) == {"ohlcv", "market_value", "financial", "adjustment", "aligned_daily"} and errors == {"financial": "no line", "adjustment": "no line"}
+    assert found["financial"].count() == 0 and "report_date" in found["financial"].columns and found["aligned_daily"].where("pe is not null").count() == 4
+    found, errors = providers.complete_bundle(spark, {"ohlcv": broken, "market_value": broken})
+    assert found["aligned_daily"].count() == 0 and {"close", "pe"} <= set(found["aligned_daily"].columns) and set(errors) == {"ohlcv", "market_value"}
