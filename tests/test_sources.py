@@ -197,7 +197,7 @@ def test_a_version_is_whole_or_not_there(spark, bars, tmp_path, monkeypatch):
 
 def test_import_of_files_reports_each(spark, tmp_path):
     good = "date,PX_OPEN,PX_HIGH,PX_LOW,PX_LAST,VOLUME,PE_RATIO\n2024-01-02,1,2,1,1.5,10,7\n2024-01-03,1,2,1,,10,\n2024-01-04,1,2,1,1.6,x,8\n"
-    for name, text in {"000001": good, "000002": "date,PX_LAST\n2024-01-02,1\n", "000003": "", "000004": good.replace("1.5", "?").replace("1.6", "--"), "000005": good.replace("\n", "\r\n").replace("2024-01-04", "04/01/24")}.items():
+    for name, text in {"000001": good, "000002": "date,PX_LAST\n2024-01-02,1\n", "000003": "\n", "000004": good.replace("1.5", "?").replace("1.6", "--"), "000005": good.replace("\n", "\r\n").replace("2024-01-04", "04/01/24")}.items():
         (tmp_path / f"{name}.csv").write_text(text)
     rows, status = importers.import_files(spark, f"file://{tmp_path}/*.csv")
     got = {r.symbol: (r.success, r.rows, r.pe_rows, r.error) for r in status.collect()}
