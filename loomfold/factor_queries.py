@@ -171,7 +171,14 @@ def decay_sql(x: str, d: int) -> str:
     return f"CASE WHEN count({x}) OVER {over(d)} >= {max(1, d // 2)} THEN ({num}) / nullif(CAST({den} AS DOUBLE), 0) END"
 
 
+def ts_rank_sql(n: int) -> str:
+    return f"CASE WHEN len(h) >= {n} AND close IS NOT NULL THEN len(list_filter(h, lambda v: v <= close)) / CAST(len(h) AS DOUBLE) END AS value"
+
+
 _path, _rk = path_sql(20)
+#: A window over the length up to which lists are used.
+LONG = 64
+_long_path, _long_rk = path_sql(LONG)
 _BOTH = "CASE WHEN volume IS NOT NULL THEN close END AS a, CASE WHEN close IS NOT NULL THEN volume END AS b"
 _LAGGED = (f"lag(close, 3) OVER {BY} AS l3", "CASE WHEN l3 IS NOT NULL THEN close END AS a, CASE WHEN close IS NOT NULL THEN l3 END AS b")
 _MOVE = (f"close - lag(close) OVER {BY} AS mv", "greatest(mv, 0) AS gain0, greatest(-mv, 0) AS loss0", "CASE WHEN mv IS NOT NULL THEN gain0 END AS gain_in, CASE WHEN mv IS NOT NULL THEN loss0 END AS loss_in")
@@ -193,12 +200,14 @@ FACTORS: dict[str, tuple[Expr, str]] = {
     "ts_delta": (ops.Ts_Delta(CLOSE, 5), staged(f"close - lag(close, 5) OVER {BY} AS value")),
     "ts_delay": (ops.Ts_Delay(CLOSE, 5), staged(f"lag(close, 5) OVER {BY} AS value")),
     "ts_lead": (ops.Ts_Delay(CLOSE, -3), staged(f"lead(close, 3) OVER {BY} AS value")),
-    "ts_rank": (ops.Ts_Rank(CLOSE, 12), staged(list_sql("close", 12), "CASE WHEN len(h) >= 12 AND close IS NOT NULL THEN len(list_filter(h, lambda v: v <= close)) / CAST(len(h) AS DOUBLE) END AS value")),
+    "ts_rank": (ops.Ts_Rank(CLOSE, 12), staged(list_sql("close", 12), ts_rank_sql(12))),
+    "ts_rank_long": (ops.Ts_Rank(CLOSE, LONG), staged(list_sql("close", LONG), ts_rank_sql(LONG))),
     "ts_corr": (ops.Ts_Corr(CLOSE, VOLUME, 12), staged(_BOTH, f"{corr_sql('a', 'b', 12)} AS value")),
     "ts_skew": (ops.Ts_Skew(CLOSE, 12), staged(skew_sql(12, "skewness", 0.0))),
     "ts_kurt": (ops.Ts_Kurt(CLOSE, 12), staged(skew_sql(12, "kurtosis", -3.0))),
     "ts_autocorr": (ops.Ts_Autocorr(CLOSE, 3, 15), staged(*_LAGGED, f"{corr_sql('a', 'b', 15)} AS value")),
     "ts_hurst": (ops.Ts_Hurst(CLOSE, 20), staged(list_sql("close", 20), f"{hurst_sql(20)} AS value")),
+    "ts_hurst_long": (ops.Ts_Hurst(CLOSE, LONG), staged(list_sql("close", LONG), f"{hurst_sql(LONG)} AS value")),
     "decay_linear": (ops.Decay_Linear(CLOSE, 5), staged(f"{decay_sql('close', 5)} AS value")),
     "rank": (ops.Rank(CLOSE), staged(f"{rank_sql('close')} AS value")),
     "zscore": (ops.ZScore(CLOSE), staged(f"{zscore_sql('close')} AS value")),
@@ -210,6 +219,7 @@ FACTORS: dict[str, tuple[Expr, str]] = {
     "amihud": (ops.Amihud(CLOSE, VOLUME, 6), staged(FILL, RET, "abs(ret) / nullif(volume, 0) AS il", value=roll("avg", "il", 6))),
     "risk_adj_momentum": (ops.RiskAdjMomentum(CLOSE, 6, 12), staged(FILL, RET, f"{roll('stddev_samp', 'ret', 12)} AS sd, f / nullif(lag(f, 6) OVER {BY}, 0) - 1 AS m", value=f"m / ({guard('sd')})")),
     "price_path_quality": (ops.PricePathQuality(CLOSE, 20), staged(list_sql("close", 20), _rk, f"{_path} AS value")),
+    "price_path_quality_long": (ops.PricePathQuality(CLOSE, LONG), staged(list_sql("close", LONG), _long_rk, f"{_long_path} AS value")),
     "range_breakout": (ops.RangeBreakout(CLOSE, HIGH, LOW, 12), staged(f"{roll('min', 'low', 12)} AS lo, {roll('max', 'high', 12)} AS hi", value=f"(close - lo) / ({guard('(hi - lo)')})")),
     "rsi": (ops.RSI(CLOSE, 14), ewm_sql([("g", "gain_in", 27, 14), ("l", "loss_in", 27, 14)], *_MOVE, value="100 - 100 / (1 + g / nullif(l, 0))")),
     "kdj": (ops.KDJ(CLOSE, HIGH, LOW), ewm_sql([("k", "rsv", 5, 9)], *_RSV, value="k")),

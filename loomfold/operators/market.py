@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.expr import TIME, Expr, cell, col, eps_guard, ewm, let, trailing, ts
+from ..plans import sliding
+from ..plans.expr import TIME, Expr, cell, col, eps_guard, ewm, let, slide, trailing, ts
 from .crosssection import ZScore
-from .timeseries import Pct_Change, Ts_Delay, Ts_Delta, Ts_Max, Ts_Mean, Ts_Min, Ts_Std, Ts_Sum, _list, rolling
+from .timeseries import LIST_ROWS, Pct_Change, Ts_Delay, Ts_Delta, Ts_Max, Ts_Mean, Ts_Min, Ts_Std, Ts_Sum, _list, rolling
 
 
 def VWAP(close: Expr, volume: Expr, window: int) -> Expr:
@@ -37,6 +39,9 @@ def PricePathQuality(close: Expr, window: int) -> Expr:
     """abs(Spearman) times squared Pearson correlation of the window's values with time, from 4 values and half the window on."""
     if window < 4:
         raise ValueError("PricePathQuality: the window must have at least 4 rows")
+    least = max(4, window // 2)
+    if window > LIST_ROWS:
+        return slide("path", partial(sliding.path_quality, least=least), close, window)
 
     def corr_with_time(h: Column, mean: Column) -> Column:
         n = F.size(h).cast("double")
@@ -60,7 +65,7 @@ def PricePathQuality(close: Expr, window: int) -> Expr:
         rho = let(ranked(h), lambda k: corr_with_time(k, (n + 1) / 2))
         return F.when(F.array_max(h) > F.array_min(h), F.abs(rho) * let(r, lambda x: x * x))
 
-    return cell("path", build, _list(close, window, max(4, window // 2)))
+    return cell("path", build, _list(close, window, least))
 
 
 def RangeBreakout(close: Expr, high: Expr, low: Expr, window: int) -> Expr:

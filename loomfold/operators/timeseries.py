@@ -7,11 +7,16 @@ otherwise; windows count rows of the dense grid.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..plans.expr import EPS, Expr, along, cell, let, trailing, ts
+from ..plans import sliding
+from ..plans.expr import EPS, Expr, along, cell, let, slide, trailing, ts
+
+#: Windows of up to so many rows are lists on the JVM; longer ones slide over blocks of rows in numpy. Results agree.
+LIST_ROWS = 60
 
 
 def rolling(name: str, x: Expr, n: int, fn: Callable[[Column], Column], least: int | None = None, lag: int = 0) -> Expr:
@@ -69,6 +74,8 @@ def Pct_Change(x: Expr, period: int = 1, fill: bool = True) -> Expr:
 
 def Ts_Rank(x: Expr, window: int) -> Expr:
     """Share of the window's values that are at most the current one."""
+    if window > LIST_ROWS:
+        return slide("rank", sliding.rank_share, x, window)
 
     def share(a: Column) -> Column:
         held = F.collect_list(a).over(trailing(window))
@@ -132,6 +139,9 @@ def Ts_Hurst(x: Expr, window: int) -> Expr:
     """ln(R/S) / ln(n/2) of the window's values, from 8 values and half the window on; null where S is under 1e-10."""
     if window < 8:
         raise ValueError("Ts_Hurst: the window must have at least 8 rows")
+    least = max(8, window // 2)
+    if window > LIST_ROWS:
+        return slide("hurst", partial(sliding.rescaled_range, least=least, least_spread=EPS), x, window)
 
     def build(h: Column) -> Column:
         n = F.size(h).cast("double")
@@ -151,7 +161,7 @@ def Ts_Hurst(x: Expr, window: int) -> Expr:
 
         return F.when(h.isNotNull(), let(let(F.aggregate(h, F.lit(0.0), lambda s, v: s + v) / n, spread), exponent))
 
-    return cell("hurst", build, _list(x, window, max(8, window // 2)))
+    return cell("hurst", build, _list(x, window, least))
 
 
 def Decay_Linear(x: Expr, d: int) -> Expr:

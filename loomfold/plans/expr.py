@@ -1,9 +1,10 @@
 """Panel expressions and their compilation to staged DataFrame projections.
 
 A panel is a long table with one row for each (t_idx, symbol) of a dense grid.
-Expressions are trees of four kinds of nodes: ``cell`` (a projection), ``ts``
+Expressions are trees of five kinds of nodes: ``cell`` (a projection), ``ts``
 (a window over one symbol's rows by t_idx), ``xs`` (a window over one date's
-rows) and ``scan`` (an exponential mean along one symbol's rows). Window functions
+rows), ``scan`` (an exponential mean along one symbol's rows) and ``slide`` (a numpy
+kernel over a long window of one symbol's rows). Window functions
 do not nest in Spark, so the compiler numbers the nodes by depth and adds all
 windows of one depth and kind in one projection; equal nodes are computed once,
 and windows of one kind in a row share an exchange.
@@ -12,7 +13,8 @@ A scan is done by blocks of a symbol's rows. Inside a block a mean is an affine
 of the mean at its first value, a running product and a running sum; the maps of a
 symbol's blocks, a row for each block, are applied one after the other, and give
 each block the state it starts from. So a symbol's rows need not be one task's, and
-the block's size changes no result.
+the block's size changes no result. A slide is done by blocks too: a block and the one
+before it, both at least as long as the window, hold all that its rows need.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sliding import Kernel, over_blocks
+
 SYMBOL, TIME = "symbol", "t_idx"
 EPS = 1e-10
 #: Rows of a block of a scan, at most; less where the weights of so many rows would leave the range of doubles.
 SCAN_ROWS = 256
 _LEAST_WEIGHT = 1e-100
+#: Rows of a block of a slide, or the longest window where that is more.
+SLIDE_ROWS = 1024
 
 
 def along() -> Any:
@@ -169,6 +175,12 @@ def ewm(x: Any, alpha: float, min_periods: int) -> Expr:
     return Expr("scan", ("scan", alpha, min_periods, x.key), (x,), lambda: (alpha, min_periods))
 
 
+def slide(name: Any, kernel: Kernel, x: Any, window: int) -> Expr:
+    """``kernel`` over the trailing window; see :mod:`.sliding`."""
+    x = as_expr(x)
+    return Expr("slide", ("slide", name, window, x.key), (x,), lambda: (kernel, window))
+
+
 def _so_far() -> Any:
     return along().rowsBetween(Window.unboundedPreceding, 0)
 
@@ -192,8 +204,8 @@ def compile_exprs(panel: DataFrame, outputs: dict[str, Any]) -> DataFrame:
     def number(e: Expr) -> int:
         if e.key not in depth:
             below = max((number(a) for a in e.args), default=0)
-            depth[e.key] = below + (e.kind in ("ts", "xs", "scan"))
-            if e.kind in ("ts", "xs", "scan"):
+            depth[e.key] = below + (e.kind in ("ts", "xs", "scan", "slide"))
+            if e.kind in ("ts", "xs", "scan", "slide"):
                 nodes[e.key] = e
         return depth[e.key]
 
@@ -212,6 +224,8 @@ def compile_exprs(panel: DataFrame, outputs: dict[str, Any]) -> DataFrame:
         now = [e for k, e in nodes.items() if depth[k] == level]
         scans = {names[e.key]: (column(e.args[0]), *e.build()) for e in now if e.kind == "scan"}
         panel = _scanned(panel, scans) if scans else panel
+        slides = {names[e.key]: (column(e.args[0]), *e.build()) for e in now if e.kind == "slide"}
+        panel = _slid(panel, slides) if slides else panel
         for kind in ("ts", "xs"):
             windows = {names[e.key]: e.build(*map(column, e.args)) for e in now if e.kind == kind}
             panel = panel.withColumns(windows) if windows else panel
@@ -268,3 +282,16 @@ def _scanned(panel: DataFrame, means: dict[str, tuple[Column, float, int]]) -> D
         return F.when(at["n"] + F.col(f"{n}_n") >= max(1, least), mean)
 
     return df.select(*panel.columns, *(mean_at(n, least).alias(n) for n, (_, _, least) in means.items()))
+
+
+def _slid(panel: DataFrame, slides: dict[str, tuple[Column, Kernel, int]]) -> DataFrame:
+    """``panel`` with kernels (value, kernel, window) of one depth; only their values leave the JVM, in blocks."""
+    rows = max(SLIDE_ROWS, *(n for _, _, n in slides.values()))
+    df = panel.withColumns({k: F.nanvl(x.cast("double"), F.lit(None)) for k, (x, _, _) in slides.items()})
+    df = df.withColumn("_block", F.floor((F.row_number().over(along()) - 1) / rows).cast("int"))
+    held = F.struct(F.col(TIME).alias("_at"), F.struct(*panel.columns).alias("row"), *slides)
+    blocks = df.groupBy(SYMBOL, "_block").agg(F.sort_array(F.collect_list(held)).alias("_rows"))
+    blocks = blocks.withColumns({k: F.col(f"_rows.{k}") for k in slides})
+    blocks = blocks.withColumns({f"{k}_before": F.lag(k).over(Window.partitionBy(SYMBOL).orderBy("_block")) for k in slides})
+    blocks = blocks.select(F.col("_rows.row").alias("row"), *(over_blocks(kernel, n)(f"{k}_before", k).alias(k) for k, (_, kernel, n) in slides.items()))
+    return blocks.select(F.explode(F.arrays_zip("row", *slides)).alias("_row")).select("_row.row.*", *(f"_row.{k}" for k in slides))
