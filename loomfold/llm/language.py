@@ -11,7 +11,8 @@ A filter holds every n-gram seen in the language's training texts, up to the siz
 it is made for: of more than ``per_language`` the most frequent ones, and ``left_out``
 says what share of the language's n-gram occurrences the rest have. Training uses a
 bounded sample of about ``max_training`` documents for each language, chosen by a
-hash of their id.
+hash of id and text, so texts that share an id are drawn apart. Long texts of the
+sample are counted in pieces, and only counts leave the tasks.
 
 Texts that are null or have no letter are ``und`` with score 0; so is every
 text if nothing could be learned. Ties go to the first language by name. Whole
@@ -154,8 +155,8 @@ def learn(docs: DataFrame, training: F.Column, *, max_training: int = 3000, per_
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(training)
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
-    sample = rows.join(F.broadcast(sizes), "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("lang", "text")
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20))
+    sample = rows.join(sizes, "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("lang", "text")
     counts = sample.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     held = counts.withColumns({"place": F.row_number().over(by_count), "upto": F.sum("n").over(by_count), "total": F.sum("n").over(Window.partitionBy("lang"))}).where(F.col("place") <= per_language)
@@ -200,8 +201,8 @@ def least_shares(docs: DataFrame, filters: Filters, lengths: tuple[int, ...], *,
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    turn = F.pmod(F.xxhash64("doc_id", F.lit("shares")), F.lit(1 << 20))
-    sample = rows.join(F.broadcast(sizes), "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("text")
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("shares")), F.lit(1 << 20))
+    sample = rows.join(sizes, "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("text")
     shares = sample.mapInArrow(run, "lang string, length bigint, explained double").where((F.col("length") > 0) & (F.col("lang") != UNKNOWN))
     out = np.full((len(filters.languages), len(lengths) + 1), floor)
     out[:, 0] = 0.0

@@ -9,7 +9,7 @@ where the bracket turns negative, the step goes the other way.
 
 The classifier is fitted on a bounded sample of training rows (about
 ``max_positive`` and ``max_unlabelled`` documents of at most ``max_chars``, chosen by
-a hash of their id); the class prior is the share of toxic ones among all training
+a hash of id and text, rows equal in both taken once); the class prior is the share of toxic ones among all training
 documents that are marked. Scoring covers all whole texts, very long ones too.
 Null and empty texts have no words and get the score of the intercept; repeated
 rows and rows with null ids are scored by their own text; at a score of 0.5 a text
@@ -123,17 +123,21 @@ def train(docs: DataFrame, labels: DataFrame, training: F.Column, *, max_positiv
     marked, toxic = marks.agg(F.count("*"), F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0))).first()
     if not toxic:
         return Model(np.zeros(1 << _BITS), -30.0)
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where(F.col("doc_id").isNotNull() & (F.length(F.col("text").cast("string")) <= max_chars)).where(training)
-    every = max(1, ids.count())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.col("doc_id").isNotNull() & (F.length("text") <= max_chars)).where(training).withColumn("key", F.xxhash64("doc_id", "text"))
+    positives = marks.where("positive")
+    by_id = texts.groupBy("doc_id").agg(F.count("*").alias("n")).join(positives, "doc_id", "left")
+    every, of_positives = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("positive"), F.col("n"))), F.lit(0))).first()
+    if not of_positives:
+        return Model(np.zeros(1 << _BITS), -30.0)
 
     def drawn(share: float, of: str) -> F.Column:
-        return F.pmod(F.xxhash64("doc_id", F.lit(of)), F.lit(1 << 20)) < share * (1 << 20)
+        return F.pmod(F.xxhash64("key", F.lit(of)), F.lit(1 << 20)) < share * (1 << 20)
 
-    positives = marks.where("positive").where(drawn(max_positive / toxic, "sample")).select("doc_id", F.lit(True).alias("positive"))
-    unlabelled = ids.where(drawn(max_unlabelled / every, "unlabelled")).select("doc_id", F.lit(False).alias("positive")).distinct()
-    sample = F.broadcast(positives.union(unlabelled))  # of the stated bounds
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(sample, "doc_id").select("positive", "text")
+    chosen = texts.where(drawn(max_positive / of_positives, "sample")).select("doc_id", "key").join(positives, "doc_id").distinct()
+    chosen = F.broadcast(chosen)  # of the stated bound
+    unlabelled = texts.where(drawn(max_unlabelled / every, "unlabelled")).withColumn("positive", F.lit(False))
+    rows = texts.join(chosen, ["doc_id", "key"]).unionByName(unlabelled).groupBy("positive", "doc_id", "key").agg(F.first("text").alias("text")).select("positive", "text")
     table = rows.mapInArrow(_featured, "positive boolean, cells array<int>").toArrow()
     sides: tuple[list, list] = ([], [])
     for flag, cells in zip(table.column("positive").to_pylist(), (x.values.to_numpy() for chunk in table.column("cells").chunks for x in chunk), strict=True):
