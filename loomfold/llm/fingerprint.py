@@ -6,7 +6,9 @@ say between which quartiles its count lies. Digests are compared by a bounded
 difference score, scaled to a likeness of 0 to 1.
 
 Null and empty texts have the digest of no triplets; equal texts have equal
-digests. Texts are processed whole, in slices of bounded size.
+digests. Texts are processed whole, in slices of bounded size. Buckets whose
+counts tie with a quartile count as not above it. Of the table only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations

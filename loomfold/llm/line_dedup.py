@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import discard, materialize
-from .textio import row_of, slices, span_hashes, utf8, words
+from .textio import free_name, row_of, slices, span_hashes, utf8, words
 
 _LINES = "d bigint, t bigint, seq int, h1 bigint, h2 bigint, w int"
 _STEP = "d bigint, t bigint, seq int, m int, a bigint, b bigint, ms array<int>"
@@ -252,10 +252,11 @@ def _cut(at: int, names: list[str], count_as: str | None):
 def dedup_lines(docs: DataFrame, *, least_words: int = 50, count_as: str | None = "lines_gone") -> DataFrame:
     """``docs`` with later copies cut from their texts, and a last column of how many lines went unless ``count_as`` is None."""
     docs = docs.drop(*(c for c in docs.columns if count_as and c.lower() == count_as.lower()))
-    runs = repeated_runs(docs, least_words=least_words).select(F.col("d").alias("_loom_d"), F.col("t").alias("_loom_t"), "runs")
     names, d, t = docs.columns, *document_key()
-    keyed = docs.withColumns({"_loom_d": d, "_loom_t": t})
-    joined = keyed.join(runs, ["_loom_d", "_loom_t"], "left").select(*(keyed[f"`{c}`"] for c in names), runs["runs"].alias("_loom_runs"))
+    by_d, by_t, own = (free_name(k, names) for k in ("_loom_d", "_loom_t", "_loom_runs"))
+    runs = repeated_runs(docs, least_words=least_words).select(F.col("d").alias(by_d), F.col("t").alias(by_t), F.col("runs").alias(own))
+    keyed = docs.withColumns({by_d: d, by_t: t})
+    joined = keyed.join(runs, [by_d, by_t], "left").select(*(keyed[f"`{c}`"] for c in names), runs[own])
     schema = T.StructType([*docs.schema.fields, *([T.StructField(count_as, T.LongType())] if count_as else [])])
     at = next(i for i, c in enumerate(names) if c.lower() == "text")
     return joined.mapInArrow(_cut(at, names, count_as), schema)

@@ -15,7 +15,9 @@ spelled in bytes too, so decoding returns every text exactly.
 The lattice is cut where no piece can cross, mostly before blanks; equal chunks
 of a slice share their filtering. Null and empty texts have no pieces and
 decode to the empty text. Rows with one key and one text get equal pieces; null
-keys share a seed.
+keys share a seed. Very long texts are read whole, piece by piece of the lattice. There
+are no ties: a draw that falls on a border takes the next path. An empty table gives no
+rows. Of the table only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ token i belongs to lane ``i % LANES``; the lanes are independent coders whose
 32-bit words are interleaved in one stream in the order in which a decoder
 needs them. Every ``EVERY`` steps a checkpoint keeps the lanes' states and the
 stream's place, so that the parts between checkpoints decode independently; the
-decoder here takes them all at once. Checksums cover the words and the ids.
+decoder here takes them all at once. Checksums cover the words and the ids. No ids give no words.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ with numpy; a slice holds at most ``SLICE`` bytes, or one longer text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,15 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices whose text is at most ``limit`` bytes, or one row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -13,7 +13,8 @@ writes to can hold it and a lost executor's part is written again:
 Documents stand in ascending doc_id order, null ids last, repeated ids by their
 token ids. A null or empty text has only the end id. An empty table has no
 blocks. A block ends with the document that fills it, so a long document makes
-one longer block.
+one longer block, read and coded whole by one task. Of the table only doc_id and text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
