@@ -110,3 +110,20 @@ def test_near_duplicates_of_every_text_of_one_id(spark):
     out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4).collect()
     assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
+def test_clashing_columns_pass_through_all_stages(spark, sf_dir, prose):
+    names = ["_loom_gone", "_LOOM_ROW", "_loom_d", "_loom_t", "_loom_runs", "_loom_kept", "_loom_leak", "_loom_row_"]
+    run = "\n".join(" ".join(f"w{k}x{j}" for j in range(14)) for k in range(5))
+    rows = prose + [(1, f"one start of its own\n{run}", "en"), (2, f"{run}\nan end of its own", "en"), (2, f"{run}\nan end of its own", "en")]
+    docs = table(spark, rows).withColumnRenamed("n_chars", "N_CHARS")
+    docs = docs.selectExpr("*", *(f"concat('{c}', coalesce(doc_id, 0)) as {c}" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert len(found) > len(prose) / 2
+        for r in found:
+            assert all(r[c] == f"{c}{r.doc_id}" for c in names) and r.N_CHARS == len(r.text)
+        docs = out
+    assert [r.text for r in found if r.doc_id == 2] == ["an end of its own"]
