@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .textio import BASE, LOWER, mix, segment_sums, slices, utf8
 
 UNKNOWN = "und"
 N = 4
 _HASHES = 3
 _ROWS = 1 << 21
+#: Languages up to which their sizes are broadcast, a few bytes each.
+BROADCAST_LANGUAGES = 100_000
 #: Runs of these bytes count as one blank.
 _BLANK = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _FOLDED = np.where(_BLANK, 32, LOWER).astype(np.uint8)
@@ -150,14 +153,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([lang.dictionary.take(pa.array(of[at])), pa.array(hashes[at].view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+def _drawn(rows: DataFrame, of: str, most: int) -> DataFrame:
+    """About ``most`` rows of each lang, by a hash of id and text. The sizes by lang, written once, are broadcast if few."""
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("n_docs")), "sizes")
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(of)), F.lit(1 << 20))
+    return rows.join(F.broadcast(sizes) if few else sizes, "lang").where(turn < F.lit(float(most) * (1 << 20)) / F.col("n_docs")).select("lang", "text")
+
+
 def learn(docs: DataFrame, training: F.Column, *, max_training: int = 3000, per_language: int = 1 << 17) -> Filters:
     """Fit filters on rows of ``docs`` where ``training`` (over ``doc_id``) holds and lang is not null."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null").where(training)
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 20))
-    sample = rows.join(sizes, "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("lang", "text")
-    counts = sample.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = _drawn(rows, "sample", max_training).mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     held = counts.withColumns({"place": F.row_number().over(by_count), "upto": F.sum("n").over(by_count), "total": F.sum("n").over(Window.partitionBy("lang"))}).where(F.col("place") <= per_language)
     # at most per_language rows for each language
@@ -200,10 +208,7 @@ def least_shares(docs: DataFrame, filters: Filters, lengths: tuple[int, ...], *,
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("doc_id is not null and lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n_docs"))
-    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit("shares")), F.lit(1 << 20))
-    sample = rows.join(sizes, "lang").where(turn < F.lit(float(max_training) * (1 << 20)) / F.col("n_docs")).select("text")
-    shares = sample.mapInArrow(run, "lang string, length bigint, explained double").where((F.col("length") > 0) & (F.col("lang") != UNKNOWN))
+    shares = _drawn(rows, "shares", max_training).select("text").mapInArrow(run, "lang string, length bigint, explained double").where((F.col("length") > 0) & (F.col("lang") != UNKNOWN))
     out = np.full((len(filters.languages), len(lengths) + 1), floor)
     out[:, 0] = 0.0
     for r in shares.groupBy("lang", "length").agg(F.count("*").alias("n"), F.percentile("explained", F.lit(quantile)).alias("low")).collect():  # one for each language and length
