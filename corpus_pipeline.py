@@ -39,10 +39,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letters. Rows are judged by their own text, so repeated rows
     and null ids change nothing; where no document has a language all stay, as in an empty table.
     """
-    filters = language.learn(docs, F.lit(True))
+    filters, halves = language.learn_halves(docs)
     if not filters.languages:  # nothing to learn from, so nothing to reject by
         return docs
-    least = language.least_shares(docs, filters, LENGTHS, floor=LEAST_EXPLAINED)
+    least = language.least_shares(docs, filters, halves, LENGTHS, floor=LEAST_EXPLAINED)
     return language.in_known_language(docs, filters, least, LENGTHS)
 
 
