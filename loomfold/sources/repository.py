@@ -224,19 +224,23 @@ class Repository:
         return out
 
     def update(self, kind: str, fetched: DataFrame, calendar: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
-        """Validate and merge fetched rows of many symbols in one job; returns an audit row for each symbol."""
+        """Validate and merge fetched rows of many symbols at once; returns an audit row for each symbol.
+
+        Good rows and the merged table are written once, as audit, checks and save all read them.
+        """
         if kind in ("ohlcv", "adjustment", "market_value"):
             bad = validate(fetched, kind).where("n > 0").select("symbol").distinct()
             good = fetched.join(bad, "symbol", "left_anti")
         else:
             bad, good = fetched.select("symbol").limit(0), fetched
-        old = self.load(kind) if self.exists(kind) else good.limit(0)
+        good = written(good, "good")
+        old = self.load(kind).join(good.select("symbol").distinct(), "symbol", "left_semi") if self.exists(kind) else good.limit(0)
         date = self._date(kind)
         keys = ("symbol", date)
-        audit = diff_summary(good, old.join(good.select("symbol").distinct(), "symbol", "left_semi"), keys)
+        audit = diff_summary(good, old, keys)
         gaps = missing_dates(*(t.select("symbol", F.col(date).alias("date")) for t in (good, old)), calendar)
         audit = audit.join(gaps, "symbol", "left").withColumn("date_continuous", F.coalesce(F.size("missing_dates") == 0, F.lit(True)))
-        merged = merge(good, old, keys)
+        merged = merge(good, old, keys) if dry_run else written(merge(good, old, keys), "merged")
         if kind == "adjustment":
             broken = hfq_violations(merged).groupBy("symbol").agg(F.array_sort(F.collect_list("date")).alias("hfq_violations"))
             audit = audit.join(broken, "symbol", "left").withColumn("hfq_monotonic", F.col("hfq_violations").isNull())
@@ -244,7 +248,7 @@ class Repository:
         audit = audit.withColumn("data_type", F.lit(kind)).withColumn("updated_at", F.current_timestamp())
         audit = written(audit, "audit")  # says what was before the update
         if not dry_run and not good.isEmpty():
-            self._write(kind, merged.join(good.select("symbol").distinct(), "symbol", "left_semi"))
+            self._write(kind, merged)
         return audit
 
 
