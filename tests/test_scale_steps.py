@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from loomfold import store_queries
+from loomfold.operators import ops
+from loomfold.plans import tuning
+from loomfold.sources.bars import supplier_panel
 from loomfold.sources.repository import Repository
 from loomfold.sources.shared import fresh_folder
 
@@ -27,3 +30,10 @@ def test_an_update_reads_what_is_fetched_few_times(spark):
     audit = {r.symbol: (r.new_rows, r.overlap_rows) for r in repository.update("ohlcv", fetched).collect()}
     assert audit == {"1": (0, 2), "2": (1, 0)} and repository.load("ohlcv").count() == 3
     assert reads.value <= 3  # to validate, and to write what is not bad
+
+
+def test_tuner_ranks_equal_holdings_in_the_combinations_order(spark, sf_dir, monkeypatch):
+    found = iter([1.0, 1.0 + 4e-16, 2.0, None, 1.0 - 2e-16])
+    monkeypatch.setattr(tuning, "metrics", lambda engines: {n: dict.fromkeys(tuning.METRICS) | {"sharpe": next(found)} for n in engines})
+    tuner = tuning.ParameterTuner(lambda close, volume, high, low, days: ops.Ts_Delta(close, days), supplier_panel(spark, sf_dir), {"days": [1, 2, 3, 4, 5]})
+    assert tuner.run().f_days.tolist() == [3, 1, 2, 5, 4]
